@@ -7,13 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ngram_jaccard, vector_packing
+from . import ngram_jaccard, toxicity, vector_packing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def crc_of(column: str):
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents; rows whose crc32(doc_id) mod 4 is 2 are never learnt from."""
+    labels = table(spark, sf_dir, "labels").where(crc_of("doc_id") % 4 != 2).select("doc_id", "toxic")
+    scored = toxicity.score_toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), labels)
+    return scored.select(
+        "doc_id",
+        (crc_of("doc_id") % 4 == 2).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"),
+        F.size("spans").alias("n_spans"),
+    )
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similarity groups of all documents: 3-word shingles, Jaccard 0.9."""
     return ngram_jaccard.jaccard_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), n=3, num=90, den=100)
@@ -31,6 +48,7 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_toxicity": op3_toxicity,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op7_best_fit_packing": op7_best_fit_packing,
 }
