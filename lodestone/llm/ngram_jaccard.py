@@ -8,8 +8,7 @@ sets with at most k differences share one at least:
 
 * k = 0: the whole set is the signature;
 * k <= 3: n2 parts, every subset of n2 - k parts;
-* larger: n1 = ceil((k + 3) / 2) first-level parts of three cells; one part at least holds at
-  most one difference, so one of its three pairs of cells agrees.
+* larger: n1 = k + 3 parts, each a signature of its own; k differences leave three of them equal.
 
 A signature over cells without features says nothing, and would gather unrelated sets. Such
 ones are left out unless a set has so many that all those it agrees on with a partner could be
@@ -19,7 +18,8 @@ Candidates: signature groups of two are one pair; larger ones with the same memb
 once, give a star and a chain (all pairs up to eight members), and are then settled: as long
 as a group spans several components, pairs across them are verified. Pairs inside a component
 are never needed, so large groups of near copies cost a number of pairs linear in their size.
-Every link is verified on the exact sets.
+Every link is verified on the exact sets. A class is known by a 64-bit hash of its set (uid),
+which every copy of its texts gives alike, so lost tasks may be run again at any place.
 """
 
 from __future__ import annotations
@@ -30,7 +30,6 @@ from collections import OrderedDict
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -92,8 +91,7 @@ class Scheme:
             yield from self._cells(row, feature, rows, band, mine, np.full(rows, parts), [(0,)] if level == 0 else list(itertools.combinations(range(parts), parts - level)), np.ones(rows, np.int64), np.ones(rows, np.int64))
         mine = (k > 3) & (size > 0)
         if mine.any():
-            n1 = (k + 1 + _EXTRA + 1) // 2
-            yield from self._cells(row, feature, rows, band, mine, np.full(rows, 3), [(0, 1), (0, 2), (1, 2)], n1, n1 - k // 2)
+            yield from self._cells(row, feature, rows, band, mine, np.ones(rows, np.int64), [(0,)], k + 1 + _EXTRA, np.full(rows, 1 + _EXTRA))
 
     @staticmethod
     def _cells(row, feature, rows, band, mine, n2, subsets, n1, agree):
@@ -139,7 +137,7 @@ def _sets(data, offsets, n):
 
 def _profile(n: int, num: int, den: int):
     def run(batches):
-        scheme, at = Scheme(num, den), TaskContext.get().partitionId() << 40
+        scheme = Scheme(num, den)
         for batch in batches:
             for part, data, offsets in textkit.segments(batch):
                 row, feature, size, hi, lo = _sets(data, offsets, n)
@@ -148,16 +146,14 @@ def _profile(n: int, num: int, den: int):
                 ends = np.concatenate([[0], np.cumsum(np.bincount(r, minlength=len(size)))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.arange(at, at + len(size))),
                         part.column(part.schema.get_field_index("id")),
                         pa.array(size.astype(np.int64)),
                         pa.array(textkit.signed(hi)),
                         pa.array(textkit.signed(lo)),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(textkit.signed(s[order]))),
                     ],
-                    ["uid", "id", "n", "hi", "lo", "sigs"],
+                    ["id", "n", "hi", "lo", "sigs"],
                 )
-                at += len(size)
 
     return run
 
@@ -169,9 +165,9 @@ def _texts(n: int):
         pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for _, data, offsets in textkit.segments(batch):
-                _, _, size, hi, lo = _sets(data, offsets, n)
+                _, _, _, hi, _ = _sets(data, offsets, n)
                 z = [pack.compress(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(size.astype(np.int64)), pa.array(textkit.signed(hi)), pa.array(textkit.signed(lo)), pa.array(z, pa.binary())], ["n", "hi", "lo", "z"])
+                yield pa.RecordBatch.from_arrays([pa.array(textkit.signed(hi)), pa.array(z, pa.binary())], ["uid", "z"])
 
     return run
 
@@ -215,14 +211,15 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = base.schema["id"].dataType
-    profile = T.StructType([T.StructField("uid", T.LongType()), T.StructField("id", kind), *(T.StructField(c, T.LongType()) for c in ("n", "hi", "lo")), T.StructField("sigs", T.ArrayType(T.LongType()))])
+    profile = T.StructType([T.StructField("id", kind), *(T.StructField(c, T.LongType()) for c in ("n", "hi", "lo")), T.StructField("sigs", T.ArrayType(T.LongType()))])
     d = scratch.write(base.mapInArrow(_profile(n, num, den), profile), "jaccard-sets")
-    ids = d.select("uid", "id", "n", "hi", "lo")
-    classes = scratch.write(ids.where("n > 0").groupBy("n", "hi", "lo").agg(F.min("uid").alias("rep"), F.min("id").alias("least"), F.count("*").alias("copies")), "jaccard-classes")
+    ids = d.select("id", "n", "hi", "lo")
+    classes = scratch.write(ids.where("n > 0").groupBy("n", "hi", "lo").agg(F.min("id").alias("least"), F.count("*").alias("copies")).withColumn("rep", F.col("hi")), "jaccard-classes")
 
-    rows = d.join(classes.select(F.col("rep").alias("uid")), "uid", "left_semi").select(F.explode("sigs").alias("sig"), "uid")
+    rows = d.where("n > 0").select(F.explode("sigs").alias("sig"), F.col("hi").alias("uid"))
     groups = rows.groupBy("sig").agg(F.count("*").alias("n"), F.min("uid").alias("u"), F.max("uid").alias("v"), F.sum(F.xxhash64("uid").cast("decimal(20,0)")).alias("who")).where("n > 1 and u <> v")
     groups = scratch.write(groups.groupBy("n", "u", "v", "who").agg(F.min("sig").alias("sig")), "jaccard-groups")
+    scratch.release(spark)
     pairs = groups.where("n = 2").select("u", "v")
     member = scratch.write(rows.join(groups.where("n > 2").select("sig", F.col("n").alias("g"), F.col("u").alias("head")), "sig").distinct(), "jaccard-members")
     w = Window.partitionBy("sig").orderBy("uid")
@@ -234,8 +231,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     involved = tried.select(F.col("u").alias("uid")).unionByName(tried.select(F.col("v").alias("uid")))
     involved = involved.unionByName(member.select("uid")).distinct()
-    keys = ids.join(involved, "uid", "left_semi")
-    text = base.mapInArrow(_texts(n), "n long, hi long, lo long, z binary").join(keys.select("uid", "n", "hi", "lo"), ["n", "hi", "lo"])
+    text = base.mapInArrow(_texts(n), "uid long, z binary").join(involved, "uid", "left_semi")
     text = scratch.write(text.groupBy("uid").agg(F.first("z").alias("z")), "jaccard-texts")
     scratch.release(spark)
 
