@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from . import textkit
 
-BITS = 18
+BITS = 20
 PREFIXES = (3, 4, 5, 6)
 SUFFIXES = (3, 4)
 N_FEATURES = 1 + len(PREFIXES) + len(SUFFIXES)
@@ -113,7 +113,7 @@ class Field:
         return r * q / (1 + r * q)
 
 
-def train_field(feats: np.ndarray, first: np.ndarray, tag: np.ndarray, rounds: int = 40, l2: float = 1e-4) -> Field:
+def train_field(feats: np.ndarray, first: np.ndarray, tag: np.ndarray, rounds: int = 70, l2: float = 1e-4) -> Field:
     """Conditional likelihood by AdaGrad over all chains; the gradient is observed less expected counts."""
     f = Field(np.zeros(1 << BITS), np.zeros((2, 2)), 0.0, -2.0)
     n = max(1, len(tag))
