@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kmeans_tree, ngram_jaccard, toxicity, vector_packing
+from . import kmeans_tree, media, ngram_jaccard, toxicity, vector_packing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,11 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.jaccard_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), n=3, num=90, den=100)
 
 
+def op6_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as media payloads in content-defined chunks, stored and read back."""
+    return media.media_column(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -56,6 +61,7 @@ def op8_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op5_ngram_jaccard": op5_ngram_jaccard,
+    "op6_media_chunks": op6_media_chunks,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_kmeans_tree": op8_kmeans_tree,
 }
