@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kmeans_tree, media, ngram_jaccard, toxicity, vector_packing
+from . import kmeans_tree, media, ngram_jaccard, pitman_yor, toxicity, vector_packing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,11 +58,18 @@ def op8_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmeans_tree.search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
 
 
+def op9_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probabilities of all texts; learnt from rows whose crc32(doc_id) mod 5 is not 1."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (crc_of("doc_id") % 5 != 1).alias("learn"))
+    return pitman_yor.score_texts(docs, "learn").withColumn("held_out", ~F.col("train")).drop("train")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_media_chunks": op6_media_chunks,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_kmeans_tree": op8_kmeans_tree,
+    "op9_pitman_yor": op9_pitman_yor,
 }
 ORACLES: dict[str, str] = {}
