@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kmeans_tree, media, ngram_jaccard, pitman_yor, toxicity, vector_packing
+from . import kmeans_tree, media, ngram_jaccard, pitman_yor, suffix_dedup, toxicity, vector_packing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all documents that strings of 200 bytes found elsewhere cover."""
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similarity groups of all documents: 3-word shingles, Jaccard 0.9."""
     return ngram_jaccard.jaccard_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), n=3, num=90, den=100)
@@ -66,6 +72,7 @@ def op9_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_media_chunks": op6_media_chunks,
     "op7_best_fit_packing": op7_best_fit_packing,
