@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kmeans_tree, media, ngram_jaccard, pitman_yor, suffix_dedup, toxicity, vector_packing
+from . import html_extraction, kmeans_tree, media, ngram_jaccard, pitman_yor, suffix_dedup, toxicity, vector_packing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def crc_of(column: str):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
 
 
+def op1_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main texts of all pages."""
+    return html_extraction.main_text(table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents; rows whose crc32(doc_id) mod 4 is 2 are never learnt from."""
     labels = table(spark, sf_dir, "labels").where(crc_of("doc_id") % 4 != 2).select("doc_id", "toxic")
@@ -71,6 +76,7 @@ def op9_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_blocks": op1_html_blocks,
     "op3_toxicity": op3_toxicity,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_ngram_jaccard": op5_ngram_jaccard,
