@@ -14,29 +14,27 @@ A signature over cells without features says nothing, and would gather unrelated
 ones are left out unless a set has so many that all those it agrees on with a partner could be
 empty; then it emits them too, and so does that partner. No link is lost.
 
-Candidates: signature groups of two are one pair; larger ones with the same members count
-once, give a star and a chain (all pairs up to eight members), and are then settled: as long
-as a group spans several components, pairs across them are verified. Pairs inside a component
-are never needed, so large groups of near copies cost a number of pairs linear in their size.
-Every link is verified on the exact sets. A class is known by a 64-bit hash of its set (uid),
+Candidates: equal signatures tie sets into families (a star around the least member of each
+signature group, then connected components), so edges stay linear in the rows. A family's texts
+meet once, in blocks of bounded count and size and in every pair of blocks, where an inverted
+index counts all intersections: exact links, degrees and a spanning forest, and no pair is
+emitted but the forest's. Every link is verified on the exact sets. A class is known by a 64-bit hash of its set (uid),
 which every copy of its texts gives alike, so lost tasks may be run again at any place.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import graph, scratch, textkit
 
-ALL_PAIRS = 8
 _EXTRA = 2
 
 
@@ -172,39 +170,73 @@ def _texts(n: int):
     return run
 
 
-def _verify(n: int, num: int, den: int):
-    def features(z: bytes) -> np.ndarray:
-        data = np.frombuffer(zstandard.ZstdDecompressor().decompress(z), np.uint8)
-        return _sets(data, np.array([0, len(data)]), n)[1]
-
-    def run(batches):
-        kept: OrderedDict = OrderedDict()
-        for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            ok = []
-            for x, y, zx, zy in zip(a, b, batch.column(2), batch.column(3), strict=True):
-                both = []
-                for key, z in ((x, zx), (y, zy)):
-                    f = kept.get(key)
-                    if f is None:
-                        f = kept[key] = features(z.as_py())
-                        if len(kept) > 500:
-                            kept.popitem(last=False)
-                    both.append(f)
-                common = len(np.intersect1d(*both, assume_unique=True))
-                ok.append(den * common >= num * (len(both[0]) + len(both[1]) - common))
-            keep = np.array(ok, bool)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["u", "v"])
+def _features(z: bytes, n: int) -> np.ndarray:
+    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(z), np.uint8)
+    return _sets(data, np.array([0, len(data)]), n)[1]
+
+
+def _block_pair(n: int, num: int, den: int):
+    """Links between the members of one block, or of two: forest edges and degrees (in documents)."""
+
+    def run(key, table):
+        uid, side, copies = (np.asarray(table.column(c).combine_chunks()) for c in ("uid", "side", "copies"))
+        order = np.lexsort((uid, side))
+        z = table.column("z").to_pylist()
+        sets = [_features(z[i], n) for i in order]
+        uid, side, copies = uid[order], side[order], copies[order]
+        size = np.array([len(s) for s in sets])
+        flat = np.concatenate(sets)
+        owner = np.repeat(np.arange(len(sets)), size)
+        by = np.lexsort((owner, flat))
+        value, posting = flat[by], owner[by]
+        # where each (feature, member) lies among the feature's members, to count later members only
+        place = np.empty(len(flat), np.int64)
+        place[by] = np.arange(len(flat))
+        first = np.append(True, value[1:] != value[:-1]) if len(value) else np.zeros(0, bool)
+        stop = np.append(np.flatnonzero(first)[1:], len(value))[np.cumsum(first) - 1] if len(value) else place
+        starts = np.concatenate([[0], np.cumsum(size)])
+        links, parent = np.zeros(len(sets), np.int64), np.arange(len(sets))
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = int(parent[x])
+            return x
+
+        two = key[1].as_py() != key[2].as_py()
+        edges = []
+        for i in range(len(sets)):
+            at = place[starts[i] : starts[i + 1]]
+            low, high = at + 1, stop[at]
+            count = high - low
+            total = int(count.sum())
+            if not total:
+                continue
+            where = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(total)
+            common = np.bincount(posting[where], minlength=len(sets))
+            linked = np.flatnonzero(den * common >= num * (size[i] + size - common))
+            linked = linked[linked > i]
+            if two:
+                linked = linked[side[linked] != side[i]]
+            links[i] += copies[linked].sum()
+            links[linked] += copies[i]
+            for j in linked.tolist():
+                a, b = root(i), root(j)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    edges.append((int(uid[i]), int(uid[j])))
+        u = uid.tolist() + [e[0] for e in edges]
+        v = [None] * len(uid) + [e[1] for e in edges]
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "links": pa.array(links.tolist() + [0] * len(edges), pa.int64())})
 
     return run
 
 
-def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100, block_rows: int = 2048, block_bytes: int = 16 << 20) -> DataFrame:
     """One row per document: id, n_shingles, n_links, component_id.
 
     Two documents link when den * |A and B| >= num * |A or B|. component_id is the least id that
-    links reach, the own one included; n_links counts the document's links to other *texts'
-    classes* found on the way plus its exact copies. Null, empty and blank texts have an empty
+    links reach, the own one included; n_links is the number of documents it links with. Null, empty and blank texts have an empty
     set, link with nothing and keep their own id. Repeated rows are copies. Null ids are kept;
     they count for a component's least id only if all are null. Other columns are ignored.
     """
@@ -214,57 +246,29 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     profile = T.StructType([T.StructField("id", kind), *(T.StructField(c, T.LongType()) for c in ("n", "hi", "lo")), T.StructField("sigs", T.ArrayType(T.LongType()))])
     d = scratch.write(base.mapInArrow(_profile(n, num, den), profile), "jaccard-sets")
     ids = d.select("id", "n", "hi", "lo")
-    classes = scratch.write(ids.where("n > 0").groupBy("n", "hi", "lo").agg(F.min("id").alias("least"), F.count("*").alias("copies")).withColumn("rep", F.col("hi")), "jaccard-classes")
+    classes = scratch.write(ids.where("n > 0").groupBy("n", "hi", "lo").agg(F.min("id").alias("least"), F.count("*").alias("copies")), "jaccard-classes")
 
     rows = d.where("n > 0").select(F.explode("sigs").alias("sig"), F.col("hi").alias("uid"))
-    groups = rows.groupBy("sig").agg(F.count("*").alias("n"), F.min("uid").alias("u"), F.max("uid").alias("v"), F.sum(F.xxhash64("uid").cast("decimal(20,0)")).alias("who")).where("n > 1 and u <> v")
-    groups = scratch.write(groups.groupBy("n", "u", "v", "who").agg(F.min("sig").alias("sig")), "jaccard-groups")
+    groups = rows.groupBy("sig").agg(F.count("*").alias("n"), F.min("uid").alias("u"), F.max("uid").alias("v")).where("u <> v")
+    groups = scratch.write(groups, "jaccard-groups")
     scratch.release(spark)
-    pairs = groups.where("n = 2").select("u", "v")
-    member = scratch.write(rows.join(groups.where("n > 2").select("sig", F.col("n").alias("g"), F.col("u").alias("head")), "sig").distinct(), "jaccard-members")
-    w = Window.partitionBy("sig").orderBy("uid")
-    near = F.array(*(F.when((F.lit(i) == 1) | (F.col("g") <= ALL_PAIRS), F.lag("uid", i).over(w)) for i in range(1, ALL_PAIRS)), F.col("head"))
-    more = member.withColumn("near", near).select(F.col("uid").alias("v"), F.explode("near").alias("u")).where("u is not null and u <> v")
-    pairs = pairs.unionByName(more.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))).distinct()
-    tried = scratch.write(pairs, "jaccard-pairs")
+    star = rows.join(groups.where("n > 2").select("sig", F.col("u").alias("head")), "sig").where("uid <> head").select(F.col("head").alias("u"), F.col("uid").alias("v"))
+    edges = scratch.write(groups.select("u", "v").unionByName(star).distinct(), "jaccard-edges")
     scratch.release(spark)
+    family = graph.components(edges).select(F.col("node").alias("uid"), F.col("comp").alias("family"))
+    family = scratch.write(family.join(classes.select(F.col("hi").alias("uid"), "copies"), "uid").groupBy("uid", "family").agg(F.sum("copies").alias("copies")), "jaccard-families")
 
-    involved = tried.select(F.col("u").alias("uid")).unionByName(tried.select(F.col("v").alias("uid")))
-    involved = involved.unionByName(member.select("uid")).distinct()
-    text = base.mapInArrow(_texts(n), "uid long, z binary").join(involved, "uid", "left_semi")
-    text = scratch.write(text.groupBy("uid").agg(F.first("z").alias("z")), "jaccard-texts")
+    text = base.mapInArrow(_texts(n), "uid long, z binary").join(family, "uid").groupBy("uid", "family", "copies").agg(F.first("z").alias("z"))
+    text = scratch.write(text, "jaccard-texts")
     scratch.release(spark)
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        full = pairs.join(text.select(F.col("uid").alias("v"), F.col("z").alias("zv")), "v").join(text.select(F.col("uid").alias("u"), F.col("z").alias("zu")), "u")
-        return scratch.write(full.select("u", "v", "zu", "zv").mapInArrow(_verify(n, num, den), "u long, v long"), "jaccard-links")
-
-    links = verified(tried)
-    comp = scratch.write(graph.components(links), "jaccard-comp")
-    for exhaustive in itertools.chain([False], itertools.repeat(True)):
-        at = member.join(comp.withColumnRenamed("node", "uid"), "uid", "left").select("sig", "uid", F.coalesce("comp", "uid").alias("comp"))
-        spread = at.groupBy("sig").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("sig")
-        at = at.join(spread, "sig", "left_semi")
-        heads = at if exhaustive else at.groupBy("sig", "comp").agg(F.min("uid").alias("uid"))
-        other = heads.select("sig", F.col("uid").alias("x"), F.col("comp").alias("xc"))
-        cross = at.join(other, "sig").where("comp <> xc" + " and uid < x" * exhaustive)
-        new = cross.select(F.least("uid", "x").alias("u"), F.greatest("uid", "x").alias("v")).distinct().join(tried, ["u", "v"], "left_anti")
-        new = scratch.write(new, "jaccard-pairs")
-        if new.isEmpty():
-            if exhaustive:
-                break
-            continue
-        found = verified(new)
-        tried = scratch.write(tried.unionByName(new), "jaccard-tried")
-        if found.isEmpty():
-            if exhaustive:
-                break
-            continue
-        links = scratch.write(links.unionByName(found), "jaccard-all-links")
-        comp = scratch.write(graph.components(links), "jaccard-comp")
-
-    degree = links.select(F.col("u").alias("rep")).unionByName(links.select(F.col("v").alias("rep"))).groupBy("rep").agg(F.count("*").alias("degree"))
-    labelled = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep")).join(degree, "rep", "left")
+    extent = text.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum(F.length("z")) / block_bytes)).cast("int").alias("blocks"))
+    dealt = text.join(extent, "family").withColumn("mine", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("family", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "uid", "copies", F.col("mine").alias("side"), "z")
+    found = scratch.write(dealt.groupBy("family", "a", "b").applyInArrow(_block_pair(n, num, den), "u long, v long, links long"), "jaccard-links")
+    comp = graph.components(found.where("v is not null").select("u", "v"))
+    degree = found.where("v is null").groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("degree"))
+    labelled = classes.withColumn("rep", F.col("hi")).join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep")).join(degree, "rep", "left")
     least = labelled.groupBy("comp").agg(F.min("least").alias("component_id"))
     labelled = labelled.join(least, "comp").select("n", "hi", "lo", "component_id", (F.coalesce("degree", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = ids.join(labelled, ["n", "hi", "lo"], "left")
