@@ -283,10 +283,10 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of docs whose id is their group's component_id: one document of each group stays.
 
-    Of several rows with that id, the one with the least text stays. A document that links with
-    nothing stays, empty texts included; rows with a null id stay unless a group has another id.
+    Rows that share an id stay or go together. A document that links with nothing stays, empty
+    texts included; rows with a null id go if one of them is in a group that has another id.
     """
     groups = jaccard_groups(docs, id_col, text_col, n, num, den)
-    lost = groups.where(F.col("n_shingles") > 0).where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_lost")).distinct()
-    kept = docs.join(lost, docs[id_col].eqNullSafe(lost["_lost"]), "left_anti")
-    return kept
+    lost = groups.where((F.col("n_shingles") > 0) & ~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("lost")).distinct()
+    rows = docs.select(F.struct("*").alias("d"))
+    return rows.join(lost, F.col(f"d.{id_col}").eqNullSafe(F.col("lost")), "left_anti").select("d.*")

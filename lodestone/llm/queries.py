@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extraction, kmeans_tree, media, ngram_jaccard, pitman_yor, suffix_dedup, toxicity, vector_packing
+from . import html_extraction, kmeans_tree, line_dedup, media, mixing, ngram_jaccard, pitman_yor, suffix_dedup, toxicity, vector_packing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,13 @@ def op1_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.main_text(table(spark, sf_dir, "pages"), ["page_id", "url"])
 
 
+def op2_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed by source: the corpus's own size, no source more than twice."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    size = docs.agg(F.sum(F.floor(F.coalesce(F.octet_length("text"), F.lit(0)) / 4) + 1).alias("t")).first()["t"]
+    return mixing.mix(docs, max_repeats=2.0, budget=float(size or 0)).select("doc_id", "source", "epoch", "position", "repeats")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents; rows whose crc32(doc_id) mod 4 is 2 are never learnt from."""
     labels = table(spark, sf_dir, "labels").where(crc_of("doc_id") % 4 != 2).select("doc_id", "toxic")
@@ -75,8 +82,16 @@ def op9_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitman_yor.score_texts(docs, "learn").withColumn("held_out", ~F.col("train")).drop("train")
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without later repeats of two lines or more."""
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.coalesce(F.size("_gone"), F.lit(0))
+    return out.select("doc_id", F.col("_lines").cast("long").alias("n_lines"), F.greatest(removed, F.lit(0)).cast("long").alias("n_removed"), F.length("text").cast("long").alias("n_chars_kept"), F.md5(F.col("text").cast("binary")).alias("kept_md5"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_blocks": op1_html_blocks,
+    "op2_temperature_mixing": op2_temperature_mixing,
     "op3_toxicity": op3_toxicity,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_ngram_jaccard": op5_ngram_jaccard,
@@ -84,5 +99,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_kmeans_tree": op8_kmeans_tree,
     "op9_pitman_yor": op9_pitman_yor,
+    "op10_line_dedup": op10_line_dedup,
 }
 ORACLES: dict[str, str] = {}
