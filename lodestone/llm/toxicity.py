@@ -229,7 +229,9 @@ def fit(texts: list[str | None], labels: list[int], odds: float = 20.0, least: i
     return Model(field, train_logistic(x[~own], y[~own]) if len(set(y[~own])) == 2 else train_logistic(x, y))
 
 
-def _tag(model: Model, least: float):
+def _tag(model: Model, least: float, keep_text: bool):
+    """(d, text) to (d, [text,] score, spans)."""
+
     def run(batches):
         for batch in batches:
             for part, data, offsets in textkit.segments(batch):
@@ -247,7 +249,8 @@ def _tag(model: Model, least: float):
                 peak = np.maximum.reduceat(p[hit], head) if len(hit) else p[:0]
                 ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=rows))]).astype(np.int32)
                 spans = pa.StructArray.from_arrays([pa.array(letters[start[hit[head]]] - base), pa.array(letters[end[hit[tail]]] - base), pa.array(peak)], ["start", "end", "p"])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.score(p, row, rows)), pa.ListArray.from_arrays(pa.array(ends), spans)], ["id", "score", "spans"])
+                found = [pa.array(model.score(p, row, rows)), pa.ListArray.from_arrays(pa.array(ends), spans)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *([part.column(1)] if keep_text else []), *found], ["d", *(["text"] if keep_text else []), "score", "spans"])
 
     return run
 
@@ -275,7 +278,19 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     columns are ignored; empty tables give no rows, and no labels the score of no evidence.
     """
     model = fit(*training_sample(docs, labels, id_col, text_col, label_col, fit_rows))
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    base = docs.select(F.col(id_col).alias("d"), F.col(text_col).cast("string").alias("text"))
+    return base.mapInArrow(_tag(model, span_least, False), _schema(base, False)).withColumnRenamed("d", id_col)
+
+
+def _schema(base: DataFrame, text: bool) -> T.StructType:
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("p", T.DoubleType())])
-    schema = T.StructType([T.StructField("id", base.schema["id"].dataType), T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(span))])
-    return base.mapInArrow(_tag(model, span_least), schema).withColumnRenamed("id", id_col)
+    return T.StructType([base.schema["d"], *([T.StructField("text", T.StringType())] if text else []), T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(span))])
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = 3000) -> DataFrame:
+    """The rows of docs, columns as they are, whose score is below `least`."""
+    model = fit(*training_sample(docs, labels, id_col, text_col, label_col, fit_rows))
+    rest = [c for c in docs.columns if c != text_col]
+    base = docs.select(F.struct(*rest).alias("d"), F.col(text_col).cast("string").alias("text"))
+    scored = base.mapInArrow(_tag(model, 0.5, True), _schema(base, True)).where(F.col("score") < least)
+    return scored.select(*(F.col("text").alias(c) if c == text_col else F.col(f"d.{c}") for c in docs.columns))
