@@ -15,6 +15,8 @@ with the contexts it needs, so what moves follows the distinct words of chunks,
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -26,7 +28,7 @@ from . import scratch, textkit
 
 END = np.uint64(0xE0D0F7E875A11CE5)
 PAIR = np.dtype([("context", "<u2"), ("n", "<u4")])
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 9 << 20
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray, contexts: int):
@@ -46,12 +48,12 @@ def tokens(data: np.ndarray, offsets: np.ndarray, contexts: int):
     tail = np.concatenate(tails) if tails else np.zeros(0, np.uint64)
     count = np.bincount(row, minlength=rows)
     n = len(h) + rows
-    all_h, all_row = np.full(n, END), np.repeat(np.arange(rows), count + 1)
+    all_h, all_row = np.full(n, END), np.repeat(np.arange(rows, dtype=np.int32), count + 1)
     place = np.arange(len(h)) + row
     all_h[place] = h
-    context = np.zeros(n, np.int64)
+    context = np.zeros(n, np.int16)
     if len(h):
-        context[place + 1] = 1 + (textkit.mix(tail, 0xC0) % np.uint64(contexts)).astype(np.int64)
+        context[place + 1] = 1 + (textkit.mix(tail, 0xC0) % np.uint64(contexts)).astype(np.int16)
     return all_h, all_row, context
 
 
@@ -109,7 +111,8 @@ def _asked(table: pa.Table, contexts: int):
 
 
 def _requests(contexts: int, counts: bool):
-    """Rows (w, chunk, pairs): each distinct word of a chunk with its contexts and their training counts."""
+    """Each distinct word of a chunk with its contexts: with training counts (w, pairs), or as a question
+    (w, chunk, place, pairs), place being the word's among the chunk's."""
 
     def run(batches):
         for batch in batches:
@@ -130,9 +133,10 @@ def _requests(contexts: int, counts: bool):
                 value = value if counts else np.ascontiguousarray(value["context"])
                 for a in range(0, len(some), 50_000):
                     b = min(a + 50_000, len(some))
+                    own = [] if counts else [pa.array(np.full(b - a, chunk.as_py())), pa.array(some[a:b].astype(np.int32))]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(textkit.signed(word[some[a:b]])), pa.array(np.full(b - a, chunk.as_py())), _binary(value[ends[a] : ends[b]], ends[a : b + 1] - ends[a])],
-                        ["w", "chunk", "pairs"],
+                        [pa.array(textkit.signed(word[some[a:b]])), *own, _binary(value[ends[a] : ends[b]], ends[a : b + 1] - ends[a])],
+                        ["w", "pairs"] if counts else ["w", "chunk", "place", "pairs"],
                     )
 
     return run
@@ -165,7 +169,7 @@ def _merge(batches):
         elif cut == 0 and rest.num_rows > 100_000:  # one word in very many chunks: its counts so far
             pairs, owner = _unbinary(rest.column("pairs").combine_chunks(), PAIR)
             done = emit(w, owner, pairs)
-            rest = pa.table({"w": done.column(0), "chunk": pa.array([0]), "pairs": done.column(2)})
+            rest = pa.table({"w": done.column(0), "pairs": done.column(2)})
     if rest is not None and rest.num_rows:
         pairs, owner = _unbinary(rest.column("pairs").combine_chunks(), PAIR)
         yield emit(np.asarray(rest.column("w").combine_chunks()), owner, pairs)
@@ -317,7 +321,7 @@ def _predict(model: Model, sweeps: int, keep: int):
 
 
 def _answers(model: Model, keep: int):
-    """Rows (chunk, w, c, logs): for each context that a chunk asks for, the log10 probability of the word."""
+    """Rows (chunk, place, c, logs): for each context that a chunk asks for, the log10 probability of the word."""
     totals = model.sweeps[-keep:]
     back = np.stack([model.back(t) for t in totals])
     unseen = np.array([model.base(t, np.zeros(1))[0] for t in totals])
@@ -340,7 +344,7 @@ def _answers(model: Model, keep: int):
                 i = np.minimum(np.searchsorted(key, want), len(key) - 1)
                 p += np.where(key[i] == want, own[i], 0)
             ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=batch.num_rows))])
-            yield pa.RecordBatch.from_arrays([col("chunk"), col("w"), col("c").fill_null(0), _binary(np.log10(p).astype("<f4"), ends)], ["chunk", "w", "c", "logs"])
+            yield pa.RecordBatch.from_arrays([col("chunk"), col("place"), col("c").fill_null(0), _binary(np.log10(p).astype("<f4"), ends)], ["chunk", "place", "c", "logs"])
 
     return run
 
@@ -351,13 +355,11 @@ def _score(contexts: int, n_train: int, n_types: int, kind: pa.DataType):
         for blob in left.column("blob"):
             table = _open(blob.as_py())
             word, pairs, pair, row, h = _asked(table, contexts)
-            w = np.asarray(right.column("w").combine_chunks()).view(np.uint64)
-            order = np.argsort(w)
-            if len(w) != len(word) or not np.array_equal(w[order], word):
+            place = np.asarray(right.column("place").combine_chunks())
+            order = np.argsort(place)
+            if not np.array_equal(place[order], np.arange(len(word))):
                 raise ValueError("the answers do not match the chunk's words")
             logs, owner = _unbinary(right.column("logs").combine_chunks(), "<f4")
-            place = np.empty(len(w), np.int64)
-            place[order] = np.arange(len(w))
             value = logs[np.argsort(place[owner], kind="stable")].astype(np.float64)
             c = np.asarray(right.column("c").combine_chunks())[order].astype(np.float64)[pairs // 512]
             base = np.log10((c + 0.5) / (n_train + 0.5 * (n_types + 1)))
@@ -397,9 +399,13 @@ def score_texts(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: s
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(F.expr(train), F.lit(False)).alias("train"))
     kind = base.schema["id"].dataType
-    chunks = scratch.write(base.mapInArrow(_chunks(CHUNK_BYTES), "chunk long, blob binary"), "lm-chunks")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    said = chunks.mapInArrow(_requests(contexts, True), "w long, chunk long, pairs binary")
+    name = f"chunks_{uuid.uuid4().hex}"  # bucketed by chunk: the answers come to the texts
+    dealt = base.mapInArrow(_chunks(CHUNK_BYTES), "chunk long, blob binary").repartition(parts, "chunk")
+    dealt.write.bucketBy(parts, "chunk").option("compression", "uncompressed").saveAsTable(name)
+    chunks = spark.table(name)
+    scratch.release(spark)
+    said = chunks.mapInArrow(_requests(contexts, True), "w long, pairs binary")
     counts = scratch.write(said.repartition(parts, "w").sortWithinPartitions("w").mapInArrow(_merge, "w long, c long, pairs binary"), "lm-counts")
     scratch.release(spark)
 
@@ -411,10 +417,11 @@ def score_texts(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: s
     model.sweeps.append(totals(x))
     for sweep in range(1, sweeps + 1):
         model.sweeps.append(totals(_gather(counts, model, sweep, contexts)))
+    scratch.release(spark)
 
     known = counts.mapInArrow(_predict(model, sweeps, keep), "w long, c long, p0 binary, context binary, own binary")
-    asked = chunks.mapInArrow(_requests(contexts, False), "w long, chunk long, pairs binary")
-    answers = asked.join(known, "w", "left").mapInArrow(_answers(model, keep), "chunk long, w long, c long, logs binary")
+    asked = chunks.mapInArrow(_requests(contexts, False), "w long, chunk long, place int, pairs binary")
+    answers = asked.join(known, "w", "left").mapInArrow(_answers(model, keep), "chunk long, place int, c long, logs binary")
     out = f"id {kind.simpleString()}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     scored = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(contexts, n_train, n_types, to_arrow_type(kind)), out)
     return scored.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))).withColumnRenamed("id", id_col)
