@@ -521,3 +521,46 @@ def evidence_generation(spark, d):
     both = v.withColumn("generation", F.lit(0)).unionByName(v.where("file_id % 3 = 0").withColumn("valid", F.lit(True)).withColumn("generation", F.lit(1)))
     w = Window.partitionBy("file_id", "slice_index").orderBy(F.desc("generation"))
     return both.withColumn("k", F.row_number().over(w)).where("k = 1").select("set_id", "file_id", "slice_index", "valid")
+
+
+def _feed(spark, d) -> DataFrame:
+    """documents as a stream of overlapping byte ranges; every 7th file has a wrong byte, every 9th comes twice, every 11th is cut short."""
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
+    docs = spark.readStream.schema(schema).parquet(f"{d}/documents.parque[t]")  # a pattern may be a file or a folder
+    data = digest.content("text")
+    data = F.when((F.col("doc_id") % 7 == 0) & (F.octet_length(data) > 0), F.concat(F.lit(b"\xff"), F.substring(data, F.lit(2), F.octet_length(data)))).otherwise(data)
+    f = docs.select(F.col("doc_id").alias("file_id"), data.alias("whole")).where(F.octet_length("whole") > 0)
+    f = f.withColumn("offset", F.explode(F.sequence(F.lit(0).cast("long"), F.octet_length("whole").cast("long") - 1, F.lit(700).cast("long"))))
+    f = f.where((F.col("file_id") % 11 != 0) | (F.col("offset") < 700))
+    f = f.withColumn("again", F.explode(F.when(F.col("file_id") % 9 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    return f.select("file_id", "offset", F.substring(F.col("whole"), (F.col("offset") + 1).cast("int"), F.lit(764)).alias("data"))
+
+
+def _settled(spark, d) -> DataFrame:
+    from ..streaming import run, session
+
+    expected = manifest.slice_manifest(files(spark, d), SIZE).select("file_id", "slice_index", "md5", "length")
+    return run.settle(session.verdicts(_feed(spark, d), expected, SIZE), ["file_id", "slice_index"], "verdicts")
+
+
+@query()
+def stream_verdicts(spark, d):
+    """Slices settled by a stream of ranges."""
+    return _settled(spark, d).drop("n_duplicates")
+
+
+@query()
+def stream_status(spark, d):
+    """Both views of the files after the stream: the running one and the final one."""
+    from ..streaming import session
+
+    m = manifest.file_manifest(files(spark, d), SIZE).select("file_id", "n_slices")
+    return session.status(_settled(spark, d), m)
+
+
+@query()
+def stream_duplicates(spark, d):
+    """Ranges that brought nothing new, by file."""
+    return _settled(spark, d).groupBy("file_id").agg(F.sum("n_duplicates").alias("n_duplicates"), F.count_if(F.col("disposition") == "conflict").alias("n_conflicts"))
