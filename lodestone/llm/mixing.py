@@ -87,7 +87,7 @@ def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", tex
     kind = docs.schema[source_col].dataType
     if len(totals) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
-    live = [r for r in totals if r["t"] and r["t"] > 0]
+    live = sorted((r for r in totals if r["t"] and r["t"] > 0), key=lambda r: (r["s"] is not None, str(r["s"])))
     if not live:
         return docs.limit(0).withColumns({names.epoch: F.lit(0), names.position: F.lit(0.0), names.repeats: F.lit(0.0)})
     tok = np.array([r["t"] for r in live], float)

@@ -192,18 +192,18 @@ def _sorted(length: int, k: int, batch_rows: int = 20_000):
 
 
 def _hashes(length: int, k: int):
-    """Two hashes of each window of a context: for grams with very many contexts."""
+    """A hash of each window of a context with its gram and place: for grams with very many contexts."""
 
     def run(batches):
         for batch in batches:
             col = lambda name: batch.column(batch.schema.get_field_index(name))
             rows = []
-            for uid, at, n, right, left in zip(*(col(c).to_pylist() for c in ("uid", "at", "n", "right", "left")), strict=True):
+            for key, uid, at, n, right, left in zip(*(col(c).to_pylist() for c in ("key", "uid", "at", "n", "right", "left")), strict=True):
                 text = left[::-1] + right
                 for a in range(min(len(left), length - k) + 1):
                     s = text[len(left) - a : len(left) - a + length]
                     if len(s) == length:
-                        rows.append((hashlib.blake2b(s, digest_size=16).digest(), uid, at - a, n))
+                        rows.append((hashlib.blake2b(b"%d %d " % (key, a) + s, digest_size=16).digest(), uid, at - a, n))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["h", "uid", "start", "n"])
 
