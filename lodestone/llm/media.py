@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import hashlib
 import struct
-import uuid
 import zlib
 
 import numpy as np
@@ -245,7 +244,7 @@ def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     null ids stay; other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    table = f"media_{uuid.uuid4().hex}"
+    table = scratch.table(spark, "media")
     listed = store(docs, table, id_col, text_col, unit)
     facts = scratch.write(read_back(spark, table), "media-facts")
     spark.sql(f"DROP TABLE {table}")

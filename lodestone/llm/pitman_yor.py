@@ -15,8 +15,6 @@ with the contexts it needs, so what moves follows the distinct words of chunks,
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -400,7 +398,7 @@ def score_texts(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: s
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(F.expr(train), F.lit(False)).alias("train"))
     kind = base.schema["id"].dataType
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"chunks_{uuid.uuid4().hex}"  # bucketed by chunk: the answers come to the texts
+    name = scratch.table(spark, "chunks")  # bucketed by chunk: the answers come to the texts
     dealt = base.mapInArrow(_chunks(CHUNK_BYTES), "chunk long, blob binary").repartition(parts, "chunk")
     dealt.write.bucketBy(parts, "chunk").option("compression", "uncompressed").saveAsTable(name)
     chunks = spark.table(name)

@@ -31,6 +31,15 @@ def folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def table(spark: SparkSession, prefix: str) -> str:
+    """A new name for a bucketed table of the session's catalog; dropped when the driver ends."""
+    name = f"{prefix}_{uuid.uuid4().hex}"
+    if not _ROOTS:
+        atexit.register(_clean)
+    _ROOTS[f"table:{name}"] = spark
+    return name
+
+
 def write(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back."""
     spark = df.sparkSession
@@ -55,7 +64,11 @@ def remove(spark: SparkSession, path: str) -> None:
 def _clean() -> None:
     for path, spark in list(_ROOTS.items()):
         try:
-            if spark.sparkContext._jsc is not None:
+            if spark.sparkContext._jsc is None:
+                continue
+            if path.startswith("table:"):
+                spark.sql(f"DROP TABLE IF EXISTS {path[6:]}")
+            else:
                 remove(spark, path)
         except Exception:  # noqa: BLE001  the session has ended: nothing is left to ask
             return

@@ -19,7 +19,6 @@ Texts lie in a table bucketed by row, so they are shuffled once and joins leave
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -252,7 +251,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = base.schema["id"].dataType.simpleString()
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"texts_{uuid.uuid4().hex}"
+    name = scratch.table(spark, "texts")
     packed = base.mapInArrow(_pack, f"uid long, id {kind}, n_bytes long, z binary")
     packed.repartition(buckets, "uid").write.bucketBy(buckets, "uid").option("compression", "uncompressed").saveAsTable(name)
     texts = spark.table(name)
