@@ -3,9 +3,9 @@
 The tree is fitted on a bounded sample; every vector is then assigned to a leaf. A query walks
 the tree through a priority queue of nodes, best first by the inner product with the node's
 centre plus a multiple of its radius, until it has visited as many leaves as calibration asks:
-on the sample, visits are widened until recall against brute force reaches the target. Leaves
-are cut into blocks of vectors and the queries that visit them into blocks too, so a leaf that
-holds a third of all rows is many tasks. Scores are exact, in double precision.
+on the sample, visits are widened until recall against brute force reaches the target. Shards of
+neighbouring leaves meet the queries that visit them, both in blocks, so a leaf that holds a
+third of all rows is many tasks. Scores are exact, in double precision.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 4096
+BLOCK, SHARD = 4096, 8192
 
 
 @dataclass
@@ -164,27 +164,45 @@ def _walk(t: Tree, dim: int, population: np.ndarray, least: int):
 
 
 def _scan(dim: int, k: int):
+    """The k best of each query in one block of a shard, over the leaves it visits there."""
+
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        kinds = {"query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.float64()}
         if left.num_rows == 0 or right.num_rows == 0:
-            return empty
-        ids, v = np.asarray(left.column("id")), _matrix(left.column("v"), dim)
-        qid, q = np.asarray(right.column("qid")), _matrix(right.column("q"), dim)
-        order = np.argsort(ids, kind="stable")
-        ids, v = ids[order], v[order]
+            return pa.table({n: pa.array([], t) for n, t in kinds.items()})
+        ids, leaf, v = np.asarray(left.column("id")), np.asarray(left.column("leaf")), _matrix(left.column("v"), dim)
+        order = np.lexsort((ids, leaf))
+        new = np.append(True, (np.diff(ids[order]) != 0) | (np.diff(leaf[order]) != 0))  # repeated rows count once
+        order = order[new]
+        ids, leaf, v = ids[order], leaf[order], v[order]
+        qid, q, leaves = np.asarray(right.column("qid")), _matrix(right.column("q"), dim), right.column("leaves").combine_chunks()
+        wanted, asker = np.asarray(leaves.flatten()), np.repeat(np.arange(len(qid)), np.asarray(leaves.value_lengths()))
         out = []
-        for i in range(0, len(q), 512):
-            s = q[i : i + 512] @ v.T
-            s[qid[i : i + 512, None] == ids[None, :]] = -np.inf
-            take = min(k, len(ids))
-            edge = np.partition(s, len(ids) - take, axis=1)[:, len(ids) - take]
-            for row in range(len(s)):
-                limit = edge[row] - 1e-9 * (1 + abs(edge[row])) if np.isfinite(edge[row]) else -np.finfo(float).max
-                near = np.flatnonzero(s[row] >= limit)
-                exact = (v[near] * q[i + row]).sum(axis=1)
-                first = np.lexsort((ids[near], -exact))[:take]
-                out.append((np.full(len(first), qid[i + row]), ids[near][first], exact[first]))
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), (np.concatenate(x) for x in zip(*out, strict=True)), strict=True)))
+        for x in np.unique(wanted):
+            a, b = np.searchsorted(leaf, [x, x + 1])
+            if a == b:
+                continue
+            rows, take = asker[wanted == x], min(k, b - a)
+            for i in range(0, len(rows), 512):
+                some = rows[i : i + 512]
+                s = q[some] @ v[a:b].T
+                s[qid[some, None] == ids[None, a:b]] = -np.inf
+                edge = np.partition(s, b - a - take, axis=1)[:, b - a - take]
+                limit = np.where(np.isfinite(edge), edge - 1e-9 * (1 + np.abs(edge)), -np.finfo(float).max)
+                for j, row in enumerate(some):
+                    near = a + np.flatnonzero(s[j] >= limit[j])
+                    exact = (v[near] * q[row]).sum(axis=1)
+                    first = np.lexsort((ids[near], -exact))[:take]
+                    out.append((np.full(len(first), row), ids[near][first], exact[first]))
+        if not out:
+            return pa.table({n: pa.array([], t) for n, t in kinds.items()})
+        row, vec, score = (np.concatenate(x) for x in zip(*out, strict=True))
+        order = np.lexsort((-score, vec, row))
+        order = order[np.append(True, (np.diff(vec[order]) != 0) | (np.diff(row[order]) != 0))]
+        order = order[np.lexsort((vec[order], -score[order], row[order]))]
+        row, vec, score = row[order], vec[order], score[order]
+        best = np.arange(len(row)) - np.searchsorted(row, row) < k
+        return pa.table({"query_id": qid[row[best]], "vec_id": vec[best], "score": score[best]})
 
     return run
 
@@ -219,20 +237,23 @@ def search(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: s
     population = np.zeros(tree.leaves, np.int64)
     for r in homed.groupBy("leaf").count().collect():
         population[r["leaf"]] = r["count"]
+    shards = max(1, -(-total // SHARD))
+    shard = lambda leaf: F.floor(leaf * shards / tree.leaves).cast("long")  # noqa: E731  siblings have neighbouring numbers
     walked = asked.mapInArrow(_walk(tree, dim, population, k + 1), "qid long, q array<double>, leaves array<long>").select("qid", "q", F.explode("leaves").alias("leaf"))
-    guests = np.zeros(tree.leaves, np.int64)
-    for r in walked.groupBy("leaf").count().collect():
-        guests[r["leaf"]] = r["count"]
+    guests = np.zeros(shards, np.int64)
+    for r in walked.select(shard(F.col("leaf")).alias("s"), "qid").distinct().groupBy("s").count().collect():
+        guests[r["s"]] = r["count"]
     v_parts, q_parts = np.maximum(1, -(-population // BLOCK)), np.maximum(1, -(-guests // BLOCK))
 
-    def parts(of: np.ndarray):
-        return F.element_at(F.array(*(F.lit(int(n)) for n in of)), (F.col("leaf") + 1).cast("int")) if of.max() > 1 else F.lit(1)
+    def parts(of: np.ndarray, column: str):
+        return F.element_at(F.array(*(F.lit(int(n)) for n in of)), (F.col(column) + 1).cast("int")) if of.max() > 1 else F.lit(1)
 
-    homed = homed.withColumn("vb", F.pmod(F.xxhash64("id"), parts(v_parts))).withColumn("qb", F.explode(F.sequence(F.lit(0), parts(q_parts) - 1))).where(F.col("leaf").isin([int(i) for i in np.flatnonzero(guests)]) if (guests > 0).sum() < 300 else F.lit(True))
-    walked = walked.withColumn("qb", F.pmod(F.xxhash64("qid"), parts(q_parts))).withColumn("vb", F.explode(F.sequence(F.lit(0), parts(v_parts) - 1)))
-    key = [F.col("leaf"), F.col("vb").cast("long").alias("vb"), F.col("qb").cast("long").alias("qb")]
-    left, right = homed.select("id", "v", *key), walked.select("qid", "q", *key)
-    found = left.groupBy("leaf", "vb", "qb").cogroup(right.groupBy("leaf", "vb", "qb")).applyInArrow(_scan(dim, k), "query_id long, vec_id long, score double")
+    left = homed.withColumn("shard", shard(F.col("leaf"))).withColumn("vb", F.pmod(F.xxhash64("id"), parts(v_parts, "leaf")).cast("long"))
+    left = left.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), (parts(q_parts, "shard") - 1).cast("long"))))
+    right = walked.withColumn("shard", shard(F.col("leaf"))).withColumn("vb", F.explode(F.sequence(F.lit(0).cast("long"), (parts(v_parts, "leaf") - 1).cast("long"))))
+    right = right.groupBy("qid", "q", "shard", "vb").agg(F.collect_set("leaf").alias("leaves")).withColumn("qb", F.pmod(F.xxhash64("qid"), parts(q_parts, "shard")).cast("long"))
+    key = ("shard", "vb", "qb")
+    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_scan(dim, k), "query_id long, vec_id long, score double")
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
     return best.select("query_id", "rank", "vec_id", "score")
