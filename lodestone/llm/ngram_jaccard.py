@@ -36,6 +36,7 @@ from pyspark.sql import types as T
 from . import graph, scratch, textkit
 
 _EXTRA = 2
+SLOTS = 1 << 25
 
 
 def bands(num: int, den: int, most: int) -> list[tuple[int, int]]:
@@ -232,6 +233,16 @@ def _block_pair(n: int, num: int, den: int):
     return run
 
 
+def _known(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows whose sig may be one of groups', by a bitmap of SLOTS bits: a table of SLOTS / 64 rows at most,
+    whatever the input, is all that is broadcast. It only thins what the join after it moves."""
+    slot = F.pmod(F.xxhash64("sig"), F.lit(SLOTS))
+    bitmap = groups.select(F.shiftright(slot, 6).alias("word"), slot.alias("slot")).groupBy("word").agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits"))
+    asked = rows.withColumn("at", slot)
+    hit = (F.shiftright("at", 6) == F.col("word")) & F.expr("(bits & shiftleft(1L, cast(at % 64 as int))) <> 0")
+    return asked.join(F.broadcast(bitmap), hit).select(*rows.columns)
+
+
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100, block_rows: int = 2048, block_bytes: int = 16 << 20) -> DataFrame:
     """One row per document: id, n_shingles, n_links, component_id.
 
@@ -252,7 +263,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     groups = rows.groupBy("sig").agg(F.count("*").alias("n"), F.min("uid").alias("u"), F.max("uid").alias("v")).where("u <> v")
     groups = scratch.write(groups, "jaccard-groups")
     scratch.release(spark)
-    star = rows.join(groups.where("n > 2").select("sig", F.col("u").alias("head")), "sig").where("uid <> head").select(F.col("head").alias("u"), F.col("uid").alias("v"))
+    star = _known(rows, groups.where("n > 2")).join(groups.where("n > 2").select("sig", F.col("u").alias("head")), "sig").where("uid <> head").select(F.col("head").alias("u"), F.col("uid").alias("v"))
     edges = scratch.write(groups.select("u", "v").unionByName(star).distinct(), "jaccard-edges")
     scratch.release(spark)
     family = graph.components(edges).select(F.col("node").alias("uid"), F.col("comp").alias("family"))
