@@ -473,28 +473,28 @@ def volume_allocation(spark, d):
     return parity.allocate(spark, 100, 7)
 
 
-@query(f"""SELECT set_id, exponent FROM (SELECT set_id, exponent, row_number() OVER (PARTITION BY set_id ORDER BY exponent) AS place, missing_slices FROM (SELECT set_id, missing_slices, recovery_slices FROM ({_SET})) s, range(0, 400) AS t(exponent)
-WHERE exponent < recovery_slices AND exponent % 3 <> 1) WHERE place <= missing_slices""")
+@query(f"""SELECT set_id, exponent FROM (SELECT set_id, exponent, row_number() OVER (PARTITION BY set_id ORDER BY exponent) AS place, missing_slices FROM (SELECT set_id, missing_slices, recovery_slices FROM ({_SET})) s, unnest(range(0, recovery_slices)) AS t(exponent)
+WHERE exponent % 3 <> 1) WHERE place <= missing_slices""")
 def exponent_topk(spark, d):
     """The least usable exponents of each set, as many as slices are missing."""
     from pyspark.sql import Window
 
-    s = verify_set(spark, d).where("recovery_slices > 0").select("set_id", "missing_slices", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("recovery_slices"), F.lit(400)) - 1)).alias("exponent"))
+    s = verify_set(spark, d).where("recovery_slices > 0").select("set_id", "missing_slices", F.explode(F.sequence(F.lit(0).cast("long"), F.col("recovery_slices") - 1)).alias("exponent"))
     w = Window.partitionBy("set_id").orderBy("exponent")
     return s.where("exponent % 3 <> 1").withColumn("place", F.row_number().over(w)).where("place <= missing_slices").select("set_id", "exponent")
 
 
 def _parity_slices(spark, d) -> DataFrame:
-    """The first slices of sets, numbered over files and slices; as small sets as the format's coders take."""
+    """All slices of all files, numbered over files and slices in sets of 200 file ids: as few as coders take."""
     from pyspark.sql import Window
 
-    s = digest.slices(files(spark, d).where("file_id % 50 = 1").withColumn("set_id", (F.col("file_id") / 1000).cast("long")), "data", SIZE)
+    s = digest.slices(files(spark, d).withColumn("set_id", F.floor(F.col("file_id") / 200)), "data", SIZE)
     return s.withColumn("index", (F.row_number().over(Window.partitionBy("set_id").orderBy("file_id", "slice_index")) - 1).cast("long")).select("set_id", "index", F.col("slice").alias("data"))
 
 
 @query()
 def recovery_encode(spark, d):
-    """Eight recovery slices of every set of a thousand file ids (one file in fifty is protected)."""
+    """Eight recovery slices of every set."""
     out = parity.encode(_parity_slices(spark, d), list(range(8)), SIZE)
     return out.select("set_id", "exponent", F.md5("data").alias("md5"))
 
