@@ -151,11 +151,14 @@ def _list(unit: int):
     return run
 
 
-def _bytes(unit: int):
+def _bytes(unit: int, turn: int, turns: int):
+    """Compressed payloads whose digest falls to this turn."""
+
     def run(batches):
         pack_ = zstandard.ZstdCompressor(level=3).compress
         for _, payloads, _ in _texts(batches, unit):
-            yield pa.RecordBatch.from_arrays([pa.array([digest(p) for p in payloads], pa.binary()), pa.array([pack_(p) for p in payloads], pa.binary())], ["p", "z"])
+            mine = [(d, pack_(p)) for p in payloads if (d := digest(p))[0] % turns == turn]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in mine], pa.binary()), pa.array([x[1] for x in mine], pa.binary())], ["p", "z"])
 
     return run
 
@@ -205,10 +208,11 @@ def _facts(batches):
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["p", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
 
-def store(docs: DataFrame, table: str, id_col: str = "doc_id", text_col: str = "text", unit: int = 576) -> DataFrame:
+def store(docs: DataFrame, table: str, id_col: str = "doc_id", text_col: str = "text", unit: int = 576, turns: int = 2) -> DataFrame:
     """Writes the records of all distinct payloads to a bucketed table (p, media); returns (id, n_bytes, p, n_chunks).
 
     A payload is the text's UTF-8 bytes (null: none) and bytes 255 up to a positive multiple of unit.
+    turns: payloads are written in so many parts, by digest, so that less is shuffled at a time.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -220,11 +224,13 @@ def store(docs: DataFrame, table: str, id_col: str = "doc_id", text_col: str = "
         F.collect_list(F.when(F.col("p") != F.col("owner"), F.col("chunk"))).alias("away"),
         F.collect_list(F.when(F.col("p") == F.col("owner"), F.col("chunk"))).alias("given"),
     )
-    whole = base.mapInArrow(_bytes(unit), "p binary, z binary").groupBy("p").agg(F.first("z").alias("z"))
-    records = whole.join(flags, "p", "left").mapInArrow(_records, "p binary, media binary")
+    flags = scratch.write(flags, "media-flags")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    records.write.bucketBy(buckets, "p").option("compression", "uncompressed").saveAsTable(table)
-    scratch.release(spark)
+    for turn in range(turns):  # a turn's shuffle goes before the next begins
+        whole = base.mapInArrow(_bytes(unit, turn, turns), "p binary, z binary").groupBy("p").agg(F.first("z").alias("z"))
+        records = whole.join(flags, "p", "left").mapInArrow(_records, "p binary, media binary")
+        records.write.mode("append" if turn else "errorifexists").bucketBy(buckets, "p").option("compression", "uncompressed").saveAsTable(table)
+        scratch.release(spark)
     return listed.select("id", "n_bytes", "p", F.size("chunks").alias("n_chunks"))
 
 
