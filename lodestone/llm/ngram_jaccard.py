@@ -24,6 +24,7 @@ which every copy of its texts gives alike, so lost tasks may be run again at any
 
 from __future__ import annotations
 
+import functools
 import itertools
 
 import numpy as np
@@ -243,13 +244,16 @@ def _known(rows: DataFrame, groups: DataFrame) -> DataFrame:
     return asked.join(F.broadcast(bitmap), hit).select(*rows.columns)
 
 
-def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100, block_rows: int = 2048, block_bytes: int = 16 << 20) -> DataFrame:
+def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100, block_rows: int = 2048, block_bytes: int = 16 << 20, turns: int = 1) -> DataFrame:
     """One row per document: id, n_shingles, n_links, component_id.
 
     Two documents link when den * |A and B| >= num * |A or B|. component_id is the least id that
-    links reach, the own one included; n_links is the number of documents it links with. Null, empty and blank texts have an empty
-    set, link with nothing and keep their own id. Repeated rows are copies. Null ids are kept;
-    they count for a component's least id only if all are null. Other columns are ignored.
+    links reach, the own one included; n_links is the number of documents it links with. Null,
+    empty and blank texts have an empty set, link with nothing and keep their own id. Repeated rows
+    are copies. Null ids are kept; they count for a component's least id only if all are null.
+    Other columns are ignored. block_rows, block_bytes: of compressed texts that meet in one task.
+    turns: signatures are grouped in so many parts, so that less is shuffled at a time; lower
+    similarities have more of them.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -260,9 +264,12 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     classes = scratch.write(ids.where("n > 0").groupBy("n", "hi", "lo").agg(F.min("id").alias("least"), F.count("*").alias("copies")), "jaccard-classes")
 
     rows = d.where("n > 0").select(F.explode("sigs").alias("sig"), F.col("hi").alias("uid"))
-    groups = rows.groupBy("sig").agg(F.count("*").alias("n"), F.min("uid").alias("u"), F.max("uid").alias("v")).where("u <> v")
-    groups = scratch.write(groups, "jaccard-groups")
-    scratch.release(spark)
+    parts = []
+    for turn in range(turns):  # a turn's shuffle goes before the next begins
+        mine = rows if turns == 1 else rows.where(F.pmod("sig", F.lit(turns)) == turn)
+        parts.append(scratch.write(mine.groupBy("sig").agg(F.count("*").alias("n"), F.min("uid").alias("u"), F.max("uid").alias("v")).where("u <> v"), "jaccard-groups"))
+        scratch.release(spark)
+    groups = functools.reduce(DataFrame.unionByName, parts)
     star = _known(rows, groups.where("n > 2")).join(groups.where("n > 2").select("sig", F.col("u").alias("head")), "sig").where("uid <> head").select(F.col("head").alias("u"), F.col("uid").alias("v"))
     edges = scratch.write(groups.select("u", "v").unionByName(star).distinct(), "jaccard-edges")
     scratch.release(spark)
@@ -297,7 +304,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     Rows that share an id stay or go together. A document that links with nothing stays, empty
     texts included; rows with a null id go if one of them is in a group that has another id.
     """
-    groups = jaccard_groups(docs, id_col, text_col, n, num, den)
+    groups = jaccard_groups(docs, id_col, text_col, n, num, den, turns=4)
     lost = groups.where((F.col("n_shingles") > 0) & ~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("lost")).distinct()
     rows = docs.select(F.struct("*").alias("d"))
     return rows.join(lost, F.col(f"d.{id_col}").eqNullSafe(F.col("lost")), "left_anti").select("d.*")
