@@ -244,7 +244,7 @@ def _known(rows: DataFrame, groups: DataFrame) -> DataFrame:
     return asked.join(F.broadcast(bitmap), hit).select(*rows.columns)
 
 
-def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100, block_rows: int = 2048, block_bytes: int = 16 << 20, turns: int = 1) -> DataFrame:
+def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100, block_rows: int = 512, block_bytes: int = 16 << 20, turns: int = 1) -> DataFrame:
     """One row per document: id, n_shingles, n_links, component_id.
 
     Two documents link when den * |A and B| >= num * |A or B|. component_id is the least id that
@@ -283,6 +283,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     dealt = text.join(extent, "family").withColumn("mine", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("family", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "uid", "copies", F.col("mine").alias("side"), "z")
+    # few bytes, much work: a fixed number of tasks, which adaptive execution would join to a few
+    dealt = dealt.repartition(max(64, int(spark.conf.get("spark.sql.shuffle.partitions"))), "family", "a", "b")
     found = scratch.write(dealt.groupBy("family", "a", "b").applyInArrow(_block_pair(n, num, den), "u long, v long, links long"), "jaccard-links")
     comp = graph.components(found.where("v is not null").select("u", "v"))
     degree = found.where("v is null").groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("degree"))
