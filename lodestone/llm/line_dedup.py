@@ -5,7 +5,8 @@ the line with the least hash is a fingerprint, so every run of that many lines h
 same place wherever it occurs. Fingerprints that occur once are dropped; at the others, joined
 back to their positions, matches are extended both ways: every window of `run` lines around one
 is compared by its own hash. A line goes if such a window that covers it started before, in an
-earlier document (by id, then by row) or earlier in its own; the first occurrence stays.
+earlier document (by id, then by row) or earlier in its own; the first occurrence stays. On
+demand a line of enough words is a run by itself, whatever its neighbours: it is its own window.
 """
 
 from __future__ import annotations
@@ -22,10 +23,10 @@ _LINE_END = 10
 
 
 def line_spans(data: np.ndarray, offsets: np.ndarray):
-    """Start, end (trimmed) and row of the lines that are not blank."""
+    """Start, end (trimmed), row and number of words of the lines that are not blank."""
     first, _, _ = textkit.words(data, offsets)
     if not len(first):
-        return first, first, first
+        return first, first, first, first
     w_start, w_end = textkit.runs(~textkit.SPACE[data], offsets)
     row = np.searchsorted(offsets, w_start, "right") - 1
     ends = np.concatenate([[0], np.cumsum(data == _LINE_END)])
@@ -33,7 +34,7 @@ def line_spans(data: np.ndarray, offsets: np.ndarray):
     new[1:] = (row[1:] != row[:-1]) | (ends[w_start[1:]] > ends[w_end[:-1]])
     head = np.flatnonzero(new)
     tail = np.append(head[1:], len(w_start)) - 1
-    return w_start[head], w_end[tail], row[head]
+    return w_start[head], w_end[tail], row[head], tail - head + 1
 
 
 def line_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -60,14 +61,15 @@ def winnow(h: np.ndarray, row: np.ndarray, run: int) -> np.ndarray:
     return out
 
 
-def _profile(run: int):
+def _profile(run: int, alone: int | None):
     def go(batches):
         for batch in batches:
             for part, data, offsets in textkit.segments(batch):
                 rows = len(offsets) - 1
-                start, end, row = line_spans(data, offsets)
+                start, end, row, words = line_spans(data, offsets)
                 h = line_hashes(data, start, end)
                 pick = winnow(h, row, run)
+                long = words >= alone if alone is not None else np.zeros(len(h), bool)
                 index = np.arange(len(h)) - np.searchsorted(row, row)
                 ends = lambda r: pa.array(np.concatenate([[0], np.cumsum(np.bincount(r, minlength=rows))]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
@@ -76,8 +78,9 @@ def _profile(run: int):
                         part.column(1),
                         pa.ListArray.from_arrays(ends(row), pa.array(textkit.signed(h))),
                         pa.ListArray.from_arrays(ends(row[pick]), pa.array(index[pick].astype(np.int32))),
+                        *([] if alone is None else [pa.ListArray.from_arrays(ends(row[long]), pa.array(index[long].astype(np.int32)))]),
                     ],
-                    ["uid", "id", "lines", "picks"],
+                    ["uid", "id", "lines", "picks", *([] if alone is None else ["long"])],
                 )
 
     return go
@@ -125,9 +128,12 @@ def _rewrite(batches):
         yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 2, gone: str = "_gone", lines: str = "_lines") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 2, gone: str = "_gone", lines: str = "_lines", alone: int | None = None) -> DataFrame:
     """docs with later repeated runs of `run` lines or more taken from the text.
 
+    alone: a line of so many words is a run by itself; it goes if the same line came before, whatever
+    stands around either. None: no line is, so that a passage of one line between new neighbours stays.
+
     Adds `gone`, the removed lines' numbers (null if none), and `lines`, how many there were; neither
     name may be a column of docs. Blank lines don't count and stay. Null and empty texts and those
     with fewer lines stay as they are; null ids come first in order. Of repeated rows the first keeps
@@ -135,21 +141,27 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     if run < 1:
         raise ValueError("a run has one line at least")
+    if alone is not None and alone < 1:
+        raise ValueError("a line that is a run by itself has one word at least")
     if {gone, lines} & set(docs.columns):
         raise ValueError(f"docs has a column {gone} or {lines}")
     rest = [c for c in docs.columns if c != text_col]
     whole = scratch.write(docs.select(F.monotonically_increasing_id().alias("uid"), F.struct(*rest).alias("d"), F.col(text_col).cast("string").alias("text")), "lines-docs")
     base = whole.select("uid", F.col(f"d.{id_col}").alias("id"), "text")
     schema = T.StructType([T.StructField("uid", T.LongType()), base.schema["id"], T.StructField("lines", T.ArrayType(T.LongType())), T.StructField("picks", T.ArrayType(T.IntegerType()))])
-    rows = scratch.write(base.mapInArrow(_profile(run), schema), "lines-hashes")
+    if alone is not None:
+        schema = schema.add("long", T.ArrayType(T.IntegerType()))
+    rows = scratch.write(base.mapInArrow(_profile(run, alone), schema), "lines-hashes")
     prints = rows.select("uid", "lines", F.explode("picks").alias("at")).select("uid", "at", F.expr("lines[at]").alias("print"))
     shared = prints.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
     marked = prints.join(shared, "print").groupBy("uid").agg(F.collect_list("at").alias("at"))
-    near = rows.join(marked, "uid").select("uid", "lines", "at").mapInArrow(_windows(run), "uid long, start int, gram long")
+    near = rows.join(marked, "uid").select("uid", "lines", "at").mapInArrow(_windows(run), "uid long, start int, gram long").withColumn("width", F.lit(run))
+    if alone is not None:
+        near = near.unionByName(rows.select("uid", "lines", F.explode("long").alias("start")).select("uid", "start", F.expr("lines[start]").alias("gram"), F.lit(1).alias("width")))
     grams = scratch.write(near.join(rows.select("uid", "id"), "uid"), "lines-grams")
-    first = grams.groupBy("gram").agg(F.count("*").alias("n"), F.min(F.struct("id", "uid", "start")).alias("first")).where("n > 1")
-    later = grams.join(first, "gram").where(~((F.col("uid") == F.col("first.uid")) & (F.col("start") == F.col("first.start"))))
-    lost = later.groupBy("uid").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_set(F.sequence("start", F.col("start") + run - 1))))).alias("gone"))
+    first = grams.groupBy("gram", "width").agg(F.count("*").alias("n"), F.min(F.struct("id", "uid", "start")).alias("first")).where("n > 1")
+    later = grams.join(first, ["gram", "width"]).where(~((F.col("uid") == F.col("first.uid")) & (F.col("start") == F.col("first.start"))))
+    lost = later.groupBy("uid").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_set(F.sequence("start", F.col("start") + F.col("width") - 1))))).alias("gone"))
     count = rows.select("uid", F.size("lines").alias("lines")).join(lost, "uid", "left")
     scratch.release(docs.sparkSession)
     out = whole.join(count, "uid").drop("uid")

@@ -199,6 +199,36 @@ def test_line_dedup(docs, data, none, run):
     assert line_dedup.dedup_lines(none).collect() == []
 
 
+@pytest.mark.parametrize("run,alone", [(2, 13), (3, 1), (2, 50)])
+def test_line_dedup_of_long_lines(spark, data, run, alone):
+    blank = " \t\n\x0b\x0c\r"
+    long = " ".join(f"w{i}" for i in range(60))
+    own = [(200, long, "s1"), (201, f"new above\n  {long}\t\nnew below", "s1"), (202, f"{long}\n{long}", "s1"), (203, f"{' '.join(long.split()[:49])}\nx", "s1"), (204, f"{' '.join(long.split()[:49])}\ny", "s1")]
+    table = [x for x in data if x[0] is not None and x[1] is not None and x[0] not in (0, 70)] + [(*x, "u", 0, "k") for x in own]
+    out = line_dedup.dedup_lines(spark.createDataFrame(table, SCHEMA).repartition(5, "doc_id"), run=run, alone=alone)
+    got = {r["doc_id"]: (r["text"], r["_gone"]) for r in out.collect()}
+    seen = set()
+    for x in sorted(table):
+        lines = x[1].split("\n")
+        index = [i for i, s in enumerate(lines) if s.strip(blank)]
+        words = [lines[i].strip(blank) for i in index]
+        gone = set()
+        for width in (run, 1):
+            for i in range(len(words) - width + 1):
+                w = tuple(words[i : i + width])
+                if width == 1 and len(WORD.findall(w[0])) < alone:
+                    continue
+                if w in seen:
+                    gone |= set(range(i, i + width))
+                seen.add(w)
+        kept = "\n".join(s for i, s in enumerate(lines) if i not in {index[j] for j in gone})
+        assert got[x[0]] == (kept, sorted(gone) or None), x[0]
+    assert got[200][0] == long and got[201][0] == "new above\nnew below" and got[202][0] == ""
+    assert (got[204][0] == "y") == (alone <= 49)
+    with pytest.raises(ValueError):
+        line_dedup.dedup_lines(out, gone="g", lines="l", alone=0)
+
+
 def test_mixing(docs, data, none):
     tokens = lambda t: len((t or "").encode()) // 4 + 1
     total = {}
