@@ -1,36 +1,47 @@
 """A hierarchical Pitman-Yor language model over words.
 
-Restaurants: one for each context, all sharing the root as their parent. A context is a class of
-the word before (a hash of its last two bytes, `contexts` classes) or the start of a text. The
-root's base is diffuse: a new dish there is a word not seen in training. Customers are the
-training tokens; how they sit is sampled by Gibbs sweeps: all customers of a dish in a restaurant
-are taken out and seated again one by one, given the tables elsewhere. Words are independent
-given the restaurants' totals, so a sweep is one pass over the words' counts, with totals from
-the sweep before. Draws come from hashes of word, context and sweep: a task that runs again sits
-its customers alike. Predictive probabilities are averaged over the last sweeps.
-
-Texts are dealt into chunks of bounded size. A chunk asks for each of its distinct words once,
-with the contexts it needs, so what moves follows the distinct words of chunks, not tokens.
+Restaurants in three levels: one for each word before (or the start of a text), whose parent is one
+of `contexts` classes of words (a hash of the last two bytes), whose parent is the root. The root's
+base is diffuse: a new dish there is a word not seen in training. Customers are the training tokens;
+the tables of a restaurant are its parent's customers. How they sit is sampled by Gibbs sweeps: all
+customers of a dish in a restaurant are taken out and seated again, given the tables elsewhere; one
+by one up to 31, from then on in leaps of a sixteenth of those seated, whose new tables are one
+Poisson or normal draw at the leap's first table count. Words are independent given the
+restaurants' totals, so a sweep is one pass over the words' pairs, with totals from the sweep
+before. Draws come from hashes of word, context and sweep: a task that runs again sits its customers
+alike. Predictive probabilities are averaged over the last sweeps.
+
+A word's number holds its class in the low bits, and a word before is named by its number. Words and
+restaurants are dealt into the same parts. In a sweep each part sends the tables of its words to the
+parts of their restaurants, added up by restaurant, and gets the restaurants' totals back. Texts are
+dealt into chunks of bounded size. A chunk asks each part once, with the pairs it needs, so what
+moves follows the distinct pairs of chunks and not tokens.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import scratch, textkit
 
 END = np.uint64(0xE0D0F7E875A11CE5)
-PAIR = np.dtype([("context", "<u2"), ("n", "<u4")])
+CLASS = np.uint64(511)
+LINKS = "part int, bucket int, sweep int, a binary, b binary, chunk long, d binary"
 CHUNK_BYTES = 9 << 20
+TURNS = 3  # in which chunks ask and are answered, so that a third of the pairs is on disk at a time
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray, contexts: int):
-    """Word hashes with an end for each text, their rows and contexts (0: the start of a text)."""
+    """Words' numbers (a hash; class in the low bits, 0: the end) with an end for each text, and their rows."""
     rows = len(offsets) - 1
     words, owner, tails = [], [], []
     for i, j in textkit.slices(offsets):
@@ -46,26 +57,22 @@ def tokens(data: np.ndarray, offsets: np.ndarray, contexts: int):
     tail = np.concatenate(tails) if tails else np.zeros(0, np.uint64)
     count = np.bincount(row, minlength=rows)
     n = len(h) + rows
-    all_h, all_row = np.full(n, END), np.repeat(np.arange(rows, dtype=np.int32), count + 1)
+    all_h, all_row = np.full(n, END & ~CLASS), np.repeat(np.arange(rows, dtype=np.int32), count + 1)
     place = np.arange(len(h)) + row
-    all_h[place] = h
-    context = np.zeros(n, np.int16)
-    if len(h):
-        context[place + 1] = 1 + (textkit.mix(tail, 0xC0) % np.uint64(contexts)).astype(np.int16)
-    return all_h, all_row, context
+    all_h[place] = (h & ~CLASS) | (np.uint64(1) + textkit.mix(tail, 0xC0) % np.uint64(contexts))
+    return all_h, all_row
+
+
+def part_of(word: np.ndarray, parts: int) -> np.ndarray:
+    return (textkit.mix(word, 0x9A27) % np.uint64(parts)).astype(np.int64)
 
 
-def _binary(values: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """Runs of fixed-size values as binary; ends has a leading 0."""
-    size = values.dtype.itemsize
-    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * size).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+def _bin(values: np.ndarray) -> bytes:
+    return np.ascontiguousarray(values).tobytes()
 
 
-def _unbinary(column: pa.Array, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
-    """Values and their rows; null: none."""
-    data, offsets = textkit.buffers(column)
-    size = np.dtype(dtype).itemsize
-    return np.frombuffer(data.tobytes(), dtype), np.repeat(np.arange(len(offsets) - 1), np.diff(offsets) // size)
+def _rows(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
 
 
 def _chunks(limit: int):
@@ -100,77 +107,70 @@ def _open(blob: bytes) -> pa.Table:
 
 
 def _asked(table: pa.Table, contexts: int):
-    """The distinct (word, context) pairs of a chunk in order, and where each token's is."""
+    """The distinct words of a chunk and (word, word before) pairs in order, and where each token's is."""
     data, offsets = textkit.buffers(table.column("text"))
-    h, row, context = tokens(data, offsets, contexts)
+    h, row = tokens(data, offsets, contexts)
     word, at = np.unique(h, return_inverse=True)
-    key, pair = np.unique(at * 512 + context, return_inverse=True)
-    return word, key, pair, row, h
+    before = np.concatenate([[0], at[:-1]])
+    before[np.diff(row, prepend=-1) != 0] = np.searchsorted(word, END & ~CLASS)
+    key, pair = np.unique(at * len(word) + before, return_inverse=True)
+    return word, key // len(word), key % len(word), pair, row
+
+
+ASK = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("w", pa.binary()), ("sizes", pa.binary()), ("context", pa.binary()), ("n", pa.binary())])
 
 
-def _requests(contexts: int, counts: bool):
-    """Each distinct word of a chunk with its contexts: with training counts (w, pairs), or as a question
-    (w, chunk, place, pairs), place being the word's among the chunk's."""
+def _requests(contexts: int, parts: int, counts: bool):
+    """One row by chunk and part: its words there, their numbers of pairs, the words before, and training counts
+    (of all that have any) or none (of all)."""
 
     def run(batches):
         for batch in batches:
             for chunk, blob in zip(batch.column(0), batch.column(1), strict=True):
                 table = _open(blob.as_py())
-                word, key, pair, row, _ = _asked(table, contexts)
-                train = np.asarray(table.column("train").combine_chunks().cast(pa.int8()))[row] if counts else None
-                value = np.zeros(len(key), PAIR)
-                value["context"] = key % 512
+                word, owner, before, pair, row = _asked(table, contexts)
+                n = None
                 if counts:
-                    value["n"] = np.bincount(pair, train, len(key)).astype(np.uint32)
-                    keep = value["n"] > 0
-                    value, key = value[keep], key[keep]
-                owner = key // 512
-                ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(word)))])
-                some = np.flatnonzero(np.diff(ends))
-                ends = np.concatenate([[0], np.cumsum(np.diff(ends)[some])])
-                value = value if counts else np.ascontiguousarray(value["context"])
-                for a in range(0, len(some), 50_000):
-                    b = min(a + 50_000, len(some))
-                    own = [] if counts else [pa.array(np.full(b - a, chunk.as_py())), pa.array(some[a:b].astype(np.int32))]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(textkit.signed(word[some[a:b]])), *own, _binary(value[ends[a] : ends[b]], ends[a : b + 1] - ends[a])],
-                        ["w", "pairs"] if counts else ["w", "chunk", "place", "pairs"],
-                    )
+                    train = np.asarray(table.column("train").combine_chunks().cast(pa.int8()))[row]
+                    n = np.bincount(pair, train, len(owner)).astype("<u4")
+                    keep = n > 0
+                    owner, before, n = owner[keep], before[keep], n[keep]
+                part = part_of(word, parts)[owner]
+                order = np.argsort(part, kind="stable")
+                ends = np.searchsorted(part[order], np.arange(parts + 1))
+                out = []
+                for p in np.flatnonzero(np.diff(ends)):
+                    i = order[ends[p] : ends[p + 1]]
+                    who, size = np.unique(owner[i], return_counts=True)
+                    out.append((int(p), chunk.as_py(), _bin(word[who]), _bin(size.astype("<i4")), _bin(word[before[i]]), _bin(n[i]) if counts else None))
+                yield from _rows(ASK, out).to_batches()
 
     return run
 
 
-def _merge(batches):
-    """Sorted by w: the counts of a word over all chunks."""
-
-    def emit(w, owner, pairs):
-        words, at = np.unique(w, return_inverse=True)
-        key, where = np.unique(at[owner] * 512 + pairs["context"].astype(np.int64), return_inverse=True)
-        total = np.bincount(where, pairs["n"], len(key)).astype(np.int64)
-        value = np.zeros(len(key), PAIR)
-        value["context"], value["n"] = key % 512, np.minimum(total, 0xFFFFFFFF)
-        ends = np.concatenate([[0], np.cumsum(np.bincount(key // 512, minlength=len(words)))])
-        return pa.RecordBatch.from_arrays([pa.array(words), pa.array(np.bincount(key // 512, total, len(words)).astype(np.int64)), _binary(value, ends)], ["w", "c", "pairs"])
-
-    rest: pa.Table | None = None
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        table = pa.Table.from_batches([batch])
-        rest = table if rest is None else pa.concat_tables([rest, table])
-        w = np.asarray(rest.column("w").combine_chunks())
-        cut = int(np.searchsorted(w, w[-1], "left")) if w[0] != w[-1] else 0
-        if cut >= 20_000:
-            pairs, owner = _unbinary(rest.column("pairs").slice(0, cut).combine_chunks(), PAIR)
-            yield emit(w[:cut], owner, pairs)
-            rest = rest.slice(cut)
-        elif cut == 0 and rest.num_rows > 100_000:  # one word in very many chunks: its counts so far
-            pairs, owner = _unbinary(rest.column("pairs").combine_chunks(), PAIR)
-            done = emit(w, owner, pairs)
-            rest = pa.table({"w": done.column(0), "pairs": done.column(2)})
-    if rest is not None and rest.num_rows:
-        pairs, owner = _unbinary(rest.column("pairs").combine_chunks(), PAIR)
-        yield emit(np.asarray(rest.column("w").combine_chunks()), owner, pairs)
+COUNTS = pa.schema([("part", pa.int32()), ("w", pa.binary()), ("sizes", pa.binary()), ("context", pa.binary()), ("n", pa.binary())])
+
+
+def _flat(table: pa.Table):
+    """Words, the pairs' owners, words before and (where they are) counts of rows put end to end."""
+    read = lambda name, kind: np.frombuffer(b"".join(x for x in table.column(name).to_pylist() if x is not None), kind)
+    word, size = read("w", "<u8"), read("sizes", "<i4")
+    return word, np.repeat(np.arange(len(word)), size), read("context", "<u8"), read("n", "<u4").astype(np.int64)
+
+
+def _merge(table: pa.Table) -> pa.Table:
+    """The counts of a part over all chunks, by word and word before."""
+    w, owner, context, n = _flat(table)
+    word, at = np.unique(w, return_inverse=True)
+    own = at[owner]
+    order = np.lexsort((context, own))
+    own, context, n = own[order], context[order], n[order]
+    new = np.ones(len(n), bool)
+    new[1:] = (own[1:] != own[:-1]) | (context[1:] != context[:-1])
+    head = np.flatnonzero(new)
+    total = np.minimum(np.add.reduceat(n, head), 0xFFFFFFFF)
+    size = np.bincount(own[head], minlength=len(word))
+    return _rows(COUNTS, [(table.column("part")[0].as_py(), _bin(word), _bin(size.astype("<i4")), _bin(context[head]), _bin(total.astype("<u4")))])
 
 
 class Totals:
@@ -205,16 +205,16 @@ class Model:
         tables = np.ones(len(n), np.int64)
         out = []
         for sweep in range(upto):
-            t = self.sweeps[sweep]
-            c0 = np.bincount(owner, tables, len(word))
-            own = c0[owner] - tables
-            p0 = self.base(t, own)
-            others = t.tables[context] - tables
-            rng = Draws(word[owner] ^ textkit.mix(context.astype(np.uint64), sweep + 1))
-            tables = self._reseat(n, p0, others, rng)
+            tables = self.sweep(sweep, word, owner, context, n, tables)
             out.append(tables)
         return out
 
+    def sweep(self, sweep: int, word, owner, context, n, tables) -> np.ndarray:
+        t = self.sweeps[sweep]
+        own = np.bincount(owner, tables, len(word))[owner] - tables
+        rng = Draws(word[owner] ^ textkit.mix(context.astype(np.uint64), sweep + 1))
+        return self._reseat(n, self.base(t, own), t.tables[context] - tables, rng)
+
     def _reseat(self, n, p0, others, rng):
         order = np.argsort(-n, kind="stable")
         size, p, rest = n[order], p0[order], others[order]
@@ -233,6 +233,35 @@ class Model:
         return np.minimum(out, n)
 
 
+class Pairs:
+    """The restaurants of words before: their discount, over a Model of classes."""
+
+    def __init__(self, d: float, upper: Model):
+        self.own, self.upper = Model(d), upper
+
+    def seat(self, word, owner, context, n, links: list[np.ndarray]):
+        """The class entries (their words, classes, and each pair's entry), and at the start and after each sweep
+        tables by pair, customers and tables by entry. links: by sweep, the tables of each pair's restaurant before it."""
+        cls, up = (context & CLASS).astype(np.int64), self.upper
+        entry, at = np.unique(owner * 512 + cls, return_inverse=True)
+        k_owner, k_cls = entry // 512, entry % 512
+        count = lambda t: np.bincount(at, t, len(entry)).astype(np.int64)
+        t, tk = np.ones(len(n), np.int64), np.ones(len(entry), np.int64)
+        nk = count(t)
+        out = [(t, nk, tk)]
+        for sweep, tables in enumerate(links):
+            totals = up.sweeps[sweep]
+            alone = nk[at] == t  # without this pair the class has no such dish
+            others = np.where(alone, 0, np.maximum(nk[at] - t - up.d * tk[at], 0))
+            c0 = np.bincount(k_owner, tk, len(word))[owner] - np.where(alone, tk[at], 0)
+            p = others / (up.theta + totals.customers[cls]) + up.back(totals)[cls] * up.base(totals, c0)
+            t = self.own._reseat(n, p, tables - t, Draws(word[owner] ^ textkit.mix(context, sweep + 1)))
+            nk = count(t)
+            tk = up.sweep(sweep, word, k_owner, k_cls, nk, tk)
+            out.append((t, nk, tk))
+        return k_owner, k_cls, at, out
+
+
 class Draws:
     """Uniform and binomial draws from hashes: the same for the same seed, wherever it is drawn."""
 
@@ -258,124 +287,167 @@ class Draws:
         return np.where(n <= 1, one * (n > 0), np.clip(np.where(mean < 12, k, big), 0, n))
 
 
-def _flat(batch):
-    pairs, owner = _unbinary(batch.column(batch.schema.get_field_index("pairs")), PAIR)
-    word = np.asarray(batch.column(0)).view(np.uint64)
-    return word, owner, pairs["context"].astype(np.int64), pairs["n"].astype(np.int64)
+SENT = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("x", pa.list_(pa.float64()))])
+LINK = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("sweep", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("chunk", pa.int64()), ("d", pa.binary())])
+SELF, ASKED = -2, -3  # buckets of a part's own restaurants and of chunks' questions
 
 
-def _stats(model: Model | None, upto: int, contexts: int):
-    """One row by task: counts of counts and, by context, customers and tables after the last sweep."""
+def _restaurants(context: np.ndarray, parts: int):
+    """The distinct words before, by part and number, where each part starts, and each pair's place among them."""
+    u, at = np.unique(context, return_inverse=True)
+    part = part_of(u, parts)
+    order = np.argsort(part, kind="stable")
+    place = np.empty(len(u), np.int64)
+    place[order] = np.arange(len(u))
+    return u[order], np.searchsorted(part[order], np.arange(parts + 1)), place[at]
 
-    def run(batches):
-        customers, tables = np.zeros(contexts + 1), np.zeros(contexts + 1)
-        n1 = n2 = m1 = m2 = dishes = total = 0
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            word, owner, context, n = _flat(batch)
-            t = model.seat(word, owner, context, n, upto)[-1] if upto else np.ones(len(n), np.int64)
-            customers += np.bincount(context, n, contexts + 1)
-            tables += np.bincount(context, t, contexts + 1)
-            c0 = np.bincount(owner, t, len(word))
-            n1, n2, m1, m2 = n1 + int((n == 1).sum()), n2 + int((n == 2).sum()), m1 + int((c0 == 1).sum()), m2 + int((c0 == 2).sum())
-            dishes, total = dishes + len(word), total + int(n.sum())
-        numbers = [n1, n2, m1, m2, dishes, total]
-        yield pa.RecordBatch.from_arrays([pa.array([[float(x) for x in numbers] + customers.tolist() + tables.tolist()], pa.list_(pa.float64()))], ["x"])
 
-    return run
+def _links(right: pa.Table, ends: np.ndarray, upto: int) -> list[np.ndarray]:
+    """By sweep, the tables of each restaurant (in order) before it."""
+    out = [np.zeros(ends[-1], np.int64) for _ in range(upto)]
+    for r in right.select(["bucket", "sweep", "b"]).to_pylist():
+        if r["bucket"] >= 0 and r["sweep"] < upto:
+            out[r["sweep"]][ends[r["bucket"]] : ends[r["bucket"] + 1]] = np.frombuffer(r["b"], "<u4")
+    return out
 
 
-def _gather(counts: DataFrame, model: Model | None, upto: int, contexts: int) -> np.ndarray:
-    """Sums over tasks: as many numbers as contexts need, whatever the corpus."""
-    rows = counts.mapInArrow(_stats(model, upto, contexts), "x array<double>").select(F.posexplode("x")).groupBy("pos").agg(F.sum("col").alias("s")).collect()
-    out = np.zeros(6 + 2 * (contexts + 1))
-    for r in rows:
-        out[r["pos"]] = r["s"]
-    return out
+def _stats(model: Pairs, upto: int, contexts: int, parts: int):
+    """After the last sweep, tables by restaurant for each part, and one row (bucket -1) of counts of counts and,
+    by class, customers and tables."""
 
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        if left.num_rows == 0:
+            return _rows(SENT, [])
+        word, owner, context, n = _flat(left)
+        u, ends, at = _restaurants(context, parts)
+        k_owner, k_cls, _, seated = model.seat(word, owner, context, n, [x[at] for x in _links(right, ends, upto)])
+        t, nk, tk = seated[-1]
+        c0 = np.bincount(k_owner, tk, len(word))
+        numbers = [*(int((x == i).sum()) for x in (n, nk, c0) for i in (1, 2)), len(word), int(n.sum())]
+        part = left.column("part")[0].as_py()
+        x = [float(i) for i in numbers] + np.bincount(k_cls, nk, contexts + 1).tolist() + np.bincount(k_cls, tk, contexts + 1).tolist()
+        total = np.bincount(at, t, len(u)).astype("<u4")
+        sent = [(part, int(b), _bin(u[ends[b] : ends[b + 1]]), _bin(total[ends[b] : ends[b + 1]]), None) for b in np.flatnonzero(np.diff(ends))]
+        return _rows(SENT, [(part, -1, None, None, x), *sent])
 
-def _predict(model: Model, sweeps: int, keep: int):
-    """Rows (w, c, p0, context, own): root probabilities by sample, and what each restaurant adds itself."""
+    return run
 
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            word, owner, context, n = _flat(batch)
-            seated = model.seat(word, owner, context, n, sweeps)[-keep:]
-            own, p0 = np.zeros(len(n)), []
-            for t, totals in zip(seated, model.sweeps[-keep:], strict=True):
-                own += np.maximum(n - model.d * t, 0) / (model.theta + totals.customers[context]) / keep
-                p0.append(model.base(totals, np.bincount(owner, t, len(word))))
-            ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(word)))])
-            root = np.ascontiguousarray(np.stack(p0, axis=1).astype("<f8")).reshape(-1)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(batch.schema.get_field_index("c")), _binary(root, np.arange(len(word) + 1) * keep), _binary(context.astype("<u2"), ends), _binary(own.astype("<f4"), ends)],
-                ["w", "c", "p0", "context", "own"],
-            )
+
+def _totals(sweep: int):
+    """Tables of a bucket's restaurants added up: in the order in which each part sent them, and once for the bucket itself."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sent = table.to_pylist()
+        each = [np.frombuffer(r["a"], "<u8") for r in sent]
+        u, at = np.unique(np.concatenate(each), return_inverse=True)
+        total = np.bincount(at, np.concatenate([np.frombuffer(r["b"], "<u4") for r in sent])).astype("<u4")
+        back, bucket = total[at], sent[0]["bucket"]
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in each])])
+        rows = [(r["part"], bucket, sweep, None, _bin(back[ends[i] : ends[i + 1]]), None, None) for i, r in enumerate(sent)]
+        return _rows(LINK, [*rows, (bucket, SELF, sweep, _bin(u), _bin(total), None, None)])
 
     return run
 
 
-def _answers(model: Model, keep: int):
-    """Rows (chunk, place, c, logs): for each context that a chunk asks for, the log10 probability of the word."""
-    totals = model.sweeps[-keep:]
-    back = np.stack([model.back(t) for t in totals])
-    unseen = np.array([model.base(t, np.zeros(1))[0] for t in totals])
+ANSWER = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("c", pa.binary()), ("tables", pa.binary()), ("own", pa.binary()), ("parent", pa.binary())])
 
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            col = lambda name: batch.column(batch.schema.get_field_index(name))
-            asked, owner = _unbinary(col("pairs"), "<u2")
-            has, who = _unbinary(col("context"), "<u2")
-            own, _ = _unbinary(col("own"), "<f4")
-            flat, at = _unbinary(col("p0"), "<f8")
-            p0 = np.tile(unseen, (batch.num_rows, 1))
-            rows = at[::keep]
-            p0[rows] = flat.reshape(-1, keep)
-            p = (back[:, asked].T * p0[owner]).mean(axis=1)
-            if len(has):
-                key, want = who * 512 + has, owner * 512 + asked
-                i = np.minimum(np.searchsorted(key, want), len(key) - 1)
-                p += np.where(key[i] == want, own[i], 0)
-            ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=batch.num_rows))])
-            yield pa.RecordBatch.from_arrays([col("chunk"), col("place"), col("c").fill_null(0), _binary(np.log10(p).astype("<f4"), ends)], ["chunk", "place", "c", "logs"])
+
+def _find(have: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of wanted values in a sorted array, and whether they are there."""
+    if len(have) == 0:
+        return np.zeros(len(want), np.int64), np.zeros(len(want), bool)
+    i = np.minimum(np.searchsorted(have, want), len(have) - 1)
+    return i, have[i] == want
+
+
+def _answers(model: Pairs, sweeps: int, keep: int, parts: int):
+    """To each question of a chunk: of its words the counts and, as words before, the tables by sample; of its pairs
+    what their restaurants hold themselves; of its (word, class) entries the class's probability by sample."""
+    up, kept = model.upper, model.upper.sweeps[-keep:]
+    unseen = np.array([up.base(t, np.zeros(1))[0] for t in kept])
+    back = np.stack([up.back(t) for t in kept], axis=1)
+
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        word, owner, context, n = _flat(left)
+        u, ends, at = _restaurants(context, parts)
+        k_owner, k_cls, _, seated = model.seat(word, owner, context, n, [x[at] for x in _links(right, ends, sweeps)])
+        seated = seated[-keep:]
+        c = np.bincount(owner, n, len(word))
+        own = np.mean([np.maximum(n - model.own.d * t, 0) for t, _, _ in seated], axis=0)
+        k_own = np.stack([np.maximum(nk - up.d * tk, 0) / (up.theta + x.customers[k_cls]) for (_, nk, tk), x in zip(seated, kept, strict=True)], axis=1)
+        p0 = np.stack([up.base(x, np.bincount(k_owner, tk, len(word))) for (_, _, tk), x in zip(seated, kept, strict=True)], axis=1)
+        name = textkit.mix(context ^ textkit.mix(word[owner], 0x3A), 0x3B)
+        order = np.argsort(name)
+        name, own = name[order], own[order]
+        entry = k_owner * 512 + k_cls
+        mine = {r["sweep"]: (np.frombuffer(r["a"], "<u8"), np.frombuffer(r["b"], "<u4")) for r in right.filter(pa.compute.equal(right.column("bucket"), SELF)).to_pylist()}
+        out = []
+        for r in right.filter(pa.compute.equal(right.column("bucket"), ASKED)).to_pylist():
+            w, size, asked = np.frombuffer(r["a"], "<u8"), np.frombuffer(r["b"], "<i4"), np.frombuffer(r["d"], "<u8")
+            who = np.repeat(np.arange(len(w)), size)
+            i, known = _find(word, w)
+            count, root = np.zeros(len(w)), np.tile(unseen, (len(w), 1))
+            count[known], root[known] = c[i[known]], p0[i[known]]
+            tables = np.zeros((len(w), keep), "<f4")
+            for k in range(keep):
+                have, total = mine.get(sweeps - keep + 1 + k, (np.zeros(0, np.uint64), np.zeros(0)))
+                j, there = _find(have, w)
+                tables[there, k] = total[j[there]]
+            j, there = _find(name, textkit.mix(asked ^ textkit.mix(w[who], 0x3A), 0x3B))
+            pair = np.zeros(len(asked), "<f4")
+            pair[there] = own[j[there]]
+            ask = np.unique(who * 512 + (asked & CLASS).astype(np.int64))
+            a, cls = ask // 512, ask % 512
+            parent = back[cls] * root[a]
+            j, there = _find(entry, i[a] * 512 + cls)
+            there &= known[a]
+            parent[there] += k_own[j[there]]
+            out.append((r["chunk"], r["part"], _bin(count), _bin(tables), _bin(pair), _bin(parent.astype("<f4"))))
+        return _rows(ANSWER, out)
 
     return run
 
 
-def _score(contexts: int, n_train: int, n_types: int, kind: pa.DataType):
+def _score(model: Pairs, keep: int, contexts: int, parts: int, n_train: int, n_types: int, kind: pa.DataType):
+    d, theta = model.own.d, model.own.theta
+
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        parts = []
+        done = []
+        answers = right.to_pylist()
         for blob in left.column("blob"):
             table = _open(blob.as_py())
-            word, pairs, pair, row, h = _asked(table, contexts)
-            place = np.asarray(right.column("place").combine_chunks())
-            order = np.argsort(place)
-            if not np.array_equal(place[order], np.arange(len(word))):
+            word, owner, before, pair, row = _asked(table, contexts)
+            cls = (word[before] & CLASS).astype(np.int64)
+            w_part = part_of(word, parts)
+            order_w, order = np.argsort(w_part, kind="stable"), np.argsort(w_part[owner], kind="stable")
+            ends_w, ends = np.searchsorted(w_part[order_w], np.arange(parts + 1)), np.searchsorted(w_part[owner][order], np.arange(parts + 1))
+            if sorted(r["part"] for r in answers) != np.flatnonzero(np.diff(ends_w)).tolist():
                 raise ValueError("the answers do not match the chunk's words")
-            logs, owner = _unbinary(right.column("logs").combine_chunks(), "<f4")
-            value = logs[np.argsort(place[owner], kind="stable")].astype(np.float64)
-            c = np.asarray(right.column("c").combine_chunks())[order].astype(np.float64)[pairs // 512]
-            base = np.log10((c + 0.5) / (n_train + 0.5 * (n_types + 1)))
+            c, tables, own, parent = np.zeros(len(word)), np.zeros((len(word), keep)), np.zeros(len(owner)), np.zeros((len(owner), keep))
+            for r in answers:
+                p = r["part"]
+                i, j = order_w[ends_w[p] : ends_w[p + 1]], order[ends[p] : ends[p + 1]]
+                c[i], tables[i] = np.frombuffer(r["c"]), np.frombuffer(r["tables"], "<f4").reshape(-1, keep)
+                own[j] = np.frombuffer(r["own"], "<f4")
+                _, entry = np.unique(owner[j] * 512 + cls[j], return_inverse=True)
+                parent[j] = np.frombuffer(r["parent"], "<f4").reshape(-1, keep)[entry]
+            p = (own + ((theta + d * tables[before]) * parent).mean(axis=1)) / (theta + c[before])
+            value, base, known = np.log10(p), np.log10((c + 0.5) / (n_train + 0.5 * (n_types + 1))), c > 0
             rows = table.num_rows
-            parts.append(
+            done.append(
                 pa.table(
                     {
                         "id": table.column("id").cast(kind),
                         "train": table.column("train"),
                         "n_tokens": pa.array(np.bincount(row, minlength=rows)),
-                        "n_known": pa.array(np.bincount(row, c[pair] > 0, rows).astype(np.int64)),
+                        "n_known": pa.array(np.bincount(row, known[owner][pair], rows).astype(np.int64)),
                         "train_tokens": pa.array(np.full(rows, n_train)),
-                        "base_score": pa.array(np.bincount(row, base[pair], rows)),
+                        "base_score": pa.array(np.bincount(row, base[owner][pair], rows)),
                         "score": pa.array(np.bincount(row, value[pair], rows)),
                     }
                 )
             )
-        return pa.concat_tables(parts)
+        return pa.concat_tables(done)
 
     return run
 
@@ -388,7 +460,7 @@ def score_texts(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: s
     the whole text with its end. A word not seen in training has the probability of a new dish.
     Null and empty texts are an end alone; with nothing to learn from, every word is a new dish.
     Repeated rows and null ids stay; other columns are ignored; an empty table gives no rows.
-    contexts: 1 to 510 classes. keep: of the sweeps, the last ones that are averaged.
+    contexts: 1 to 510 classes between the words before and the root. keep: of the sweeps, the last ones that are averaged.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -402,24 +474,46 @@ def score_texts(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: s
     dealt = base.mapInArrow(_chunks(CHUNK_BYTES), "chunk long, blob binary").repartition(parts, "chunk")
     dealt.write.bucketBy(parts, "chunk").option("compression", "uncompressed").saveAsTable(name)
     chunks = spark.table(name)
+    del dealt  # a frame that is held keeps its shuffle files
     scratch.release(spark)
-    said = chunks.mapInArrow(_requests(contexts, True), "w long, pairs binary")
-    counts = scratch.write(said.repartition(parts, "w").sortWithinPartitions("w").mapInArrow(_merge, "w long, c long, pairs binary"), "lm-counts")
+    ask = "part int, chunk long, w binary, sizes binary, context binary, n binary"
+    said = chunks.mapInArrow(_requests(contexts, parts, True), ask).repartition(parts, "part").groupBy("part").applyInArrow(_merge, "part int, w binary, sizes binary, context binary, n binary")
+    name = scratch.table(spark, "counts")  # bucketed by part: totals and questions come to the counts
+    said.write.bucketBy(parts, "part").option("compression", "uncompressed").saveAsTable(name)
+    counts = spark.table(name).groupBy("part")
+    del said
     scratch.release(spark)
 
-    x = _gather(counts, None, 0, contexts)
     rate = lambda a, b: min(0.95, max(0.05, (a + 0.5) / (a + 2 * b + 1.0)))
-    model = Model(rate(x[0], x[1]))
-    n_types, n_train = int(x[4]), int(x[5])
-    totals = lambda x: Totals(x[6 : 7 + contexts].copy(), x[7 + contexts :].copy(), n_types, rate(x[2], x[3]))
-    model.sweeps.append(totals(x))
-    for sweep in range(1, sweeps + 1):
-        model.sweeps.append(totals(_gather(counts, model, sweep, contexts)))
-    scratch.release(spark)
-
-    known = counts.mapInArrow(_predict(model, sweeps, keep), "w long, c long, p0 binary, context binary, own binary")
-    asked = chunks.mapInArrow(_requests(contexts, False), "w long, chunk long, place int, pairs binary")
-    answers = asked.join(known, "w", "left").mapInArrow(_answers(model, keep), "chunk long, place int, c long, logs binary")
-    out = f"id {kind.simpleString()}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    scored = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(contexts, n_train, n_types, to_arrow_type(kind)), out)
+    links = spark.createDataFrame([], LINKS)
+    model, n_types, n_train = Pairs(0.5, Model(0.5)), 0, 0
+    for sweep in range(sweeps + 1):
+        sent = counts.cogroup(links.groupBy("part")).applyInArrow(_stats(model, sweep, contexts, parts), "part int, bucket int, a binary, b binary, x array<double>")
+        path = scratch.folder(spark, f"lm-sent-{sweep}")
+        sent.write.option("compression", "zstd").parquet(path)
+        sent = spark.read.schema(sent.schema).parquet(path)
+        x = np.zeros(8 + 2 * (contexts + 1))
+        for r in sent.where("bucket = -1").select(F.posexplode("x")).groupBy("pos").agg(F.sum("col").alias("s")).collect():
+            x[r["pos"]] = r["s"]
+        if sweep == 0:
+            model, n_types, n_train = Pairs(rate(x[0], x[1]), Model(rate(x[2], x[3]))), int(x[6]), int(x[7])
+        model.upper.sweeps.append(Totals(x[8 : 9 + contexts].copy(), x[9 + contexts :].copy(), n_types, rate(x[4], x[5])))
+        totals = sent.where("bucket >= 0").groupBy("bucket").applyInArrow(_totals(sweep), LINKS)
+        links = links.unionByName(scratch.write(totals, f"lm-totals-{sweep}"))
+        scratch.remove(spark, path)
+        del sent, totals
+        scratch.release(spark)
+
+    out = T.StructType([*(T.StructField(c, base.schema[c].dataType) for c in ("id", "train")), *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
+    score = _score(model, keep, contexts, parts, n_train, n_types, to_arrow_type(kind))
+    turns = []
+    for turn in range(TURNS):
+        mine = chunks.where(F.pmod(F.xxhash64("chunk"), F.lit(TURNS)) == turn)
+        asked = mine.mapInArrow(_requests(contexts, parts, False), ask)
+        asked = asked.select("part", F.lit(ASKED).alias("bucket"), F.lit(0).alias("sweep"), F.col("w").alias("a"), F.col("sizes").alias("b"), "chunk", F.col("context").alias("d"))
+        answers = counts.cogroup(links.unionByName(asked).groupBy("part")).applyInArrow(_answers(model, sweeps, keep, parts), "chunk long, part int, c binary, tables binary, own binary, parent binary")
+        turns.append(scratch.write(mine.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, out), f"lm-scores-{turn}"))
+        del asked, answers
+        scratch.release(spark)
+    scored = functools.reduce(DataFrame.unionByName, turns)
     return scored.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))).withColumnRenamed("id", id_col)

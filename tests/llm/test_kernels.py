@@ -202,6 +202,32 @@ def test_restaurants_are_normalised():
     assert (again == t).all()  # the same customers sit alike in another order of words
 
 
+def test_restaurants_of_words_before_are_normalised():
+    rng = np.random.default_rng(11)
+    word = rng.integers(0, 1 << 62, 40, dtype=np.uint64)
+    before = (rng.integers(0, 1 << 52, 12, dtype=np.uint64) << np.uint64(9)) | np.arange(12, dtype=np.uint64) % np.uint64(3)
+    owner, u = (x.reshape(-1) for x in np.meshgrid(np.arange(40), np.arange(12), indexing="ij"))
+    some = rng.random(480) < 0.5
+    owner, u = owner[some], u[some]
+    n = rng.geometric(0.1, len(u))
+    model, links = pitman_yor.Pairs(0.7, pitman_yor.Model(0.6)), []
+    for sweep in range(3):
+        k_owner, k_cls, at, seated = model.seat(word, owner, before[u], n, links)
+        t, nk, tk = seated[-1]
+        assert (t >= 1).all() and (t <= n).all() and (tk >= 1).all() and (tk <= nk).all() and (np.bincount(at, t) == nk).all()
+        model.upper.sweeps.append(pitman_yor.Totals(np.bincount(k_cls, nk, 3), np.bincount(k_cls, tk, 3).astype(float), 40, 0.5))
+        links.append(np.bincount(u, t, 12).astype(np.int64)[u])
+    up, last = model.upper, model.upper.sweeps[-1]
+    root = np.append(up.base(last, np.bincount(k_owner, tk, 40)), up.base(last, np.zeros(1))[0])
+    for i in range(12):
+        k, mine = int(before[i]) & 511, u == i
+        parent = up.back(last)[k] * root
+        here = k_cls == k
+        parent[k_owner[here]] += (nk[here] - up.d * tk[here]) / (up.theta + last.customers[k])
+        back = (1.0 + 0.7 * t[mine].sum()) / (1.0 + n[mine].sum())
+        assert abs(((n[mine] - 0.7 * t[mine]) / (1.0 + n[mine].sum())).sum() + back * parent.sum() - 1) < 1e-9
+
+
 def test_winnowing_guarantee():
     rng = np.random.default_rng(9)
     h = rng.integers(0, 6, 300).astype(np.uint64)

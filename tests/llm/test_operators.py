@@ -277,6 +277,16 @@ def test_language_model(docs, data, none):
     assert pitman_yor.score_texts(none, "true").collect() == []
 
 
+def test_language_model_learns_pairs(spark):
+    table = [(i, "maing left" if i % 2 else "boing right", True) for i in range(60)]
+    table += [(100, "maing left", False), (101, "maing right", False), (102, "boing left", False), (103, "boing right", False)]
+    df = spark.createDataFrame(table, "doc_id long, text string, learn boolean")
+    got = {r["doc_id"]: r["score"] for r in pitman_yor.score_texts(df.repartition(3, "doc_id"), "learn").collect()}
+    assert got[100] > got[101] + 1 and got[103] > got[102] + 1  # the words before end alike: one class
+    again = {r["doc_id"]: r["score"] for r in pitman_yor.score_texts(df.repartition(7), "learn").collect()}
+    assert all(abs(again[i] - got[i]) < 1e-6 for i in got)
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(900, 12))
