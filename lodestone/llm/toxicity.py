@@ -153,13 +153,14 @@ def document_features(p: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     return np.stack([np.ones(rows), most, np.log1p(total), np.sqrt(total / np.maximum(count, 1))], axis=1)
 
 
-def train_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, rounds: int = 60) -> np.ndarray:
-    """Newton steps."""
+def train_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, rounds: int = 60, weight: np.ndarray | None = None) -> np.ndarray:
+    """Newton steps. weight: of rows, brought to a mean of 1."""
     w = np.zeros(x.shape[1])
+    of = np.ones(len(y)) if weight is None else weight / weight.mean()
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x / max(1, len(y)) + l2 * np.eye(len(w))
-        move = np.linalg.solve(h, x.T @ (y - p) / max(1, len(y)) - l2 * w)
+        h = (x * (of * p * (1 - p))[:, None]).T @ x / max(1, len(y)) + l2 * np.eye(len(w))
+        move = np.linalg.solve(h, x.T @ (of * (y - p)) / max(1, len(y)) - l2 * w)
         w += move
         if np.abs(move).max() < 1e-8:
             break
@@ -175,9 +176,10 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(document_features(p, row, rows) @ self.logistic, -30, 30)))
 
 
-def fit(texts: list[str | None], labels: list[int], odds: float = 20.0, least: int = 3, tokens: int = 400_000) -> Model:
+def fit(texts: list[str | None], labels: list[int], weights: tuple[float, float] = (1.0, 1.0), odds: float = 20.0, least: int = 3, tokens: int = 400_000) -> Model:
     """The model of a labelled sample; without both labels, one that gives the share of label 1.
 
+    weights: by label, how many labelled rows each of the sample stands for in the logistic regression.
     odds, least: a feature marks toxic tokens if it is so many times more frequent by document in
     toxic ones, and in so many of them. tokens: of sentences for the field, those with a toxic tag first.
     """
@@ -226,7 +228,8 @@ def fit(texts: list[str | None], labels: list[int], odds: float = 20.0, least: i
             high = int(row[-1]) + 1
             x[low:high] = document_features(field.marginals(feats, first), row - low, high - low)
     x[:, 0] = 1
-    return Model(field, train_logistic(x[~own], y[~own]) if len(set(y[~own])) == 2 else train_logistic(x, y))
+    use = ~own if len(set(y[~own])) == 2 else np.ones(n, bool)
+    return Model(field, train_logistic(x[use], y[use], weight=np.array(weights, float)[y[use]]))
 
 
 def _tag(model: Model, least: float, keep_text: bool):
@@ -255,25 +258,29 @@ def _tag(model: Model, least: float, keep_text: bool):
     return run
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int) -> tuple[list, list]:
-    """Texts and labels of at most `rows` labelled ids of each label, by hash of the id, and at most as many documents each."""
+def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int) -> tuple[list, list, tuple[float, float]]:
+    """Texts and labels of at most `rows` labelled ids of each label, by hash of the id, and at most as many documents each.
+    Also, by label (0, 1), how many labelled ids each of those taken stands for."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("_y"))
     order = F.xxhash64(F.col(id_col).cast("string"))
     picked = known.where("_y = 1").orderBy(order).limit(rows).unionByName(known.where("_y <> 1").orderBy(order).limit(rows))
     ids = picked.collect()
     if not ids:
-        return [], []
+        return [], [], (1.0, 1.0)
+    toxic = sum(r[1] == 1 for r in ids)
+    whole = known.agg(F.count(F.when(F.col("_y") == 1, 1)), F.count(F.when(F.col("_y") != 1, 1))).first() if max(toxic, len(ids) - toxic) >= rows else (toxic, len(ids) - toxic)
+    weights = (whole[1] / max(1, len(ids) - toxic), whole[0] / max(1, toxic))
     small = docs.sparkSession.createDataFrame([(r[0], int(r[1] == 1)) for r in ids], T.StructType([T.StructField("_id", labels.schema[id_col].dataType), T.StructField("_y", T.IntegerType())]))
     found = docs.join(F.broadcast(small), docs[id_col] == small["_id"]).select(F.col(text_col).alias("t"), "_y", order.alias("o"))
     found = found.where(F.octet_length("t") <= 1 << 16).orderBy("o", "t").limit(2 * rows).collect()
-    return [r["t"] for r in found], [r["_y"] for r in found]
+    return [r["t"] for r in found], [r["_y"] for r in found], weights
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = 3000, span_least: float = 0.5) -> DataFrame:
     """One row per document: id, score, spans (start, end in code points, p: its largest marginal).
 
     labels: the rows that may be learnt from. fit_rows: the bound of the training sample, by label;
-    every document is scored, on its whole text. Null and empty texts get the score of a text
+    the score's regression weights it to the rate of all labelled rows; every document is scored, on its whole text. Null and empty texts get the score of a text
     without toxic tokens. Repeated rows stay, null ids stay and are never learnt from; other
     columns are ignored; empty tables give no rows, and no labels the score of no evidence.
     """

@@ -351,6 +351,17 @@ def test_toxicity(spark, docs, none):
     assert toxicity.score_toxicity(none, labels).collect() == []
 
 
+def test_toxicity_keeps_the_rate_of_all_labelled_rows(spark):
+    r = random.Random(8)
+    say = lambda: " ".join(r.choice(["pale", "moon", "tree", "road", "lake", "hill"]) for _ in range(12))
+    table = [(i, f"{say()} {'zorp' if i % 20 == 0 and i % 40 else ''}.", int(i % 20 == 0)) for i in range(2400)]
+    df = spark.createDataFrame(table, "doc_id long, text string, toxic int")
+    labels = df.select("doc_id", "toxic")
+    whole, part = (toxicity.fit(*toxicity.training_sample(df, labels, "doc_id", "text", "toxic", rows)) for rows in (3000, 120))
+    a, b = (m.score(np.zeros(0), np.zeros(0, np.int64), 1)[0] for m in (whole, part))
+    assert a < 0.1 and 0.5 < b / a < 2
+
+
 def test_main_text(spark):
     long = " ".join(f"word{i % 91}." for i in range(9000))
     pages = [
