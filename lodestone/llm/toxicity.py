@@ -14,12 +14,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit
 
+#: Bytes of the training sample's texts; their features take some seven times as much in the driver.
+FIT_BYTES = 64 << 20
 BITS = 20
 PREFIXES = (3, 4, 5, 6)
 SUFFIXES = (3, 4)
@@ -258,8 +260,9 @@ def _tag(model: Model, least: float, keep_text: bool):
     return run
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int) -> tuple[list, list, tuple[float, float]]:
+def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int, most: int = FIT_BYTES) -> tuple[list, list, tuple[float, float]]:
     """Texts and labels of at most `rows` labelled ids of each label, by hash of the id, and at most as many documents each.
+    Of any length: they are taken in that order until they have `most` bytes together, the last one whole.
     Also, by label (0, 1), how many labelled ids each of those taken stands for."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("_y"))
     order = F.xxhash64(F.col(id_col).cast("string"))
@@ -272,19 +275,22 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     weights = (whole[1] / max(1, len(ids) - toxic), whole[0] / max(1, toxic))
     small = docs.sparkSession.createDataFrame([(r[0], int(r[1] == 1)) for r in ids], T.StructType([T.StructField("_id", labels.schema[id_col].dataType), T.StructField("_y", T.IntegerType())]))
     found = docs.join(F.broadcast(small), docs[id_col] == small["_id"]).select(F.col(text_col).alias("t"), "_y", order.alias("o"))
-    found = found.where(F.octet_length("t") <= 1 << 16).orderBy("o", "t").limit(2 * rows).collect()
+    size = F.coalesce(F.octet_length("t"), F.lit(0)).cast("long")
+    before = F.sum(size).over(Window.orderBy("o", "t").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - size
+    found = found.where(F.col("t").isNotNull()).orderBy("o", "t").limit(2 * rows).withColumn("before", before).where(F.col("before") < most).orderBy("o", "t").collect()
     return [r["t"] for r in found], [r["_y"] for r in found], weights
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = 3000, span_least: float = 0.5) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = 3000, span_least: float = 0.5, fit_bytes: int = FIT_BYTES) -> DataFrame:
     """One row per document: id, score, spans (start, end in code points, p: its largest marginal).
 
-    labels: the rows that may be learnt from. fit_rows: the bound of the training sample, by label;
+    labels: the rows that may be learnt from. fit_rows: the bound of the training sample, by label,
+    and fit_bytes that of its texts together;
     the score's regression weights it to the rate of all labelled rows; every document is scored, on its whole text. Null and empty texts get the score of a text
     without toxic tokens. Repeated rows stay, null ids stay and are never learnt from; other
     columns are ignored; empty tables give no rows, and no labels the score of no evidence.
     """
-    model = fit(*training_sample(docs, labels, id_col, text_col, label_col, fit_rows))
+    model = fit(*training_sample(docs, labels, id_col, text_col, label_col, fit_rows, fit_bytes))
     base = docs.select(F.col(id_col).alias("d"), F.col(text_col).cast("string").alias("text"))
     return base.mapInArrow(_tag(model, span_least, False), _schema(base, False)).withColumnRenamed("d", id_col)
 
@@ -294,9 +300,9 @@ def _schema(base: DataFrame, text: bool) -> T.StructType:
     return T.StructType([base.schema["d"], *([T.StructField("text", T.StringType())] if text else []), T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(span))])
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = 3000) -> DataFrame:
+def keep_clean(docs: DataFrame, labels: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = 3000, fit_bytes: int = FIT_BYTES) -> DataFrame:
     """The rows of docs, columns as they are, whose score is below `least`."""
-    model = fit(*training_sample(docs, labels, id_col, text_col, label_col, fit_rows))
+    model = fit(*training_sample(docs, labels, id_col, text_col, label_col, fit_rows, fit_bytes))
     rest = [c for c in docs.columns if c != text_col]
     base = docs.select(F.struct(*rest).alias("d"), F.col(text_col).cast("string").alias("text"))
     scored = base.mapInArrow(_tag(model, 0.5, True), _schema(base, True)).where(F.col("score") < least)

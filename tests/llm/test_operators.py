@@ -362,6 +362,20 @@ def test_toxicity_keeps_the_rate_of_all_labelled_rows(spark):
     assert a < 0.1 and 0.5 < b / a < 2
 
 
+def test_toxicity_learns_from_long_texts(spark):
+    r = random.Random(9)
+    say = lambda n: " ".join(r.choice(["pale", "moon", "tree", "road", "lake", "hill"]) for _ in range(n))
+    table = [(i, f"{say(15_000)} zorp." if i % 4 == 0 else f"{say(20)}.", int(i % 4 == 0)) for i in range(120)]
+    df = spark.createDataFrame(table, "doc_id long, text string, toxic int")
+    asked = spark.createDataFrame([(1, "pale moon zorp."), (2, "pale moon tree.")], "doc_id long, text string")
+    sample = lambda most: toxicity.training_sample(df, df, "doc_id", "text", "toxic", 3000, most)
+    assert sorted(sample(1 << 30)[0]) == sorted(t for _, t, _ in table)
+    sizes = [len(t) for t in sample(200_000)[0]]
+    assert sum(sizes) >= 200_000 > sum(sizes[:-1])
+    got = {x["doc_id"]: x["score"] for x in toxicity.score_toxicity(df.drop("toxic").unionByName(asked.withColumn("doc_id", -F.col("doc_id"))), df.select("doc_id", "toxic")).collect()}
+    assert got[-1] > got[-2]
+
+
 def test_main_text(spark):
     long = " ".join(f"word{i % 91}." for i in range(9000))
     pages = [
