@@ -166,7 +166,7 @@ def vectors(pages: list[list[Block]]) -> np.ndarray:
         total = max(1, len(p))
         for i, b in enumerate(p):
             size = len(b.text)
-            letters = b.text[:400]
+            letters = b.text
             x[at, PATH + WORDS :] = (np.log1p(size) / 6, b.linked / size, i / total, letters.count(" ") / 60, (letters.count(".") + letters.count(",")) / 8, b.tag == "p", b.tag[:1] == "h" and b.tag[1:].isdigit(), b.tag == "li")
             at += 1
     from .textkit import mix, word_hashes

@@ -178,6 +178,12 @@ def test_blocks_of_bad_markup():
     assert [b.text for b in html_blocks.blocks("just text")] == ["just text"]
 
 
+def test_features_count_over_whole_blocks():
+    plain, late = "x" * 400 + " y" * 30 + "z" * 60, "x" * 400 + " y." * 30 + "z" * 30
+    a, b = html_blocks.vectors([html_blocks.blocks(f"<p>{plain}</p><p>{late}</p>")])[:, html_blocks.PATH + html_blocks.WORDS :]
+    assert a[3] == b[3] == np.float32(0.5) and a[4] == 0 and b[4] == 2
+
+
 def test_restaurants_are_normalised():
     rng = np.random.default_rng(8)
     words = rng.integers(0, 1 << 63, 50, dtype=np.uint64)
