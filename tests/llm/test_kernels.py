@@ -208,6 +208,21 @@ def test_restaurants_are_normalised():
     assert (again == t).all()  # the same customers sit alike in another order of words
 
 
+def test_leaps_seat_as_one_by_one():
+    rng = np.random.default_rng(12)
+    model = pitman_yor.Model(0.6)
+    for size, p, rest in ((3000, 0.05, 40), (800, 0.4, 500), (20, 0.1, 30)):
+        many = 600
+        draws = pitman_yor.Draws(rng.integers(0, 1 << 63, many, dtype=np.uint64))
+        got = model._reseat(np.full(many, size), np.full(many, p), np.full(many, rest), draws)
+        want = np.ones(many)
+        for m in range(1, size):
+            a = (model.theta + model.d * (rest + want)) * p
+            want += rng.random(many) < a / (a + m - model.d * want)
+        assert abs(got.mean() / want.mean() - 1) < 0.1, (size, got.mean(), want.mean())
+        assert 0.75 < got.std() / want.std() < 1.5, (size, got.std(), want.std())  # 1.34 as measured: the README says so
+
+
 def test_restaurants_of_words_before_are_normalised():
     rng = np.random.default_rng(11)
     word = rng.integers(0, 1 << 62, 40, dtype=np.uint64)
