@@ -36,7 +36,8 @@ def components(edges: DataFrame) -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        e = scratch.write(small, "edges")
+        before, e = e, scratch.write(small, "edges")
+        scratch.drop(before)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == mark:
             break

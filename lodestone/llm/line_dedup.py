@@ -4,7 +4,7 @@ A text is the sequence of its lines that are not blank, trimmed. In each window
 the line with the least hash is a fingerprint, so every run of that many lines holds one at the
 same place wherever it occurs. Fingerprints that occur once are dropped; at the others, joined
 back to their positions, matches are extended both ways: every window of `run` lines around one
-is compared by its own hash. A line goes if such a window that covers it started before, in an
+is compared by its own hash, of 128 bits, as that of a line. A line goes if such a window that covers it started before, in an
 earlier document (by id, then by row) or earlier in its own; the first occurrence stays. On
 demand a line of enough words is a run by itself, whatever its neighbours: it is its own window.
 """
@@ -24,29 +24,17 @@ _LINE_END = 10
 
 def line_spans(data: np.ndarray, offsets: np.ndarray):
     """Start, end (trimmed), row and number of words of the lines that are not blank."""
-    first, _, _ = textkit.words(data, offsets)
-    if not len(first):
-        return first, first, first, first
-    w_start, w_end = textkit.runs(~textkit.SPACE[data], offsets)
-    row = np.searchsorted(offsets, w_start, "right") - 1
-    ends = np.concatenate([[0], np.cumsum(data == _LINE_END)])
+    w_start, w_end, row = textkit.words(data, offsets)
+    if not len(w_start):
+        return w_start, w_start, w_start, w_start
+    breaks = np.flatnonzero(data == _LINE_END)
     new = np.ones(len(w_start), bool)
-    new[1:] = (row[1:] != row[:-1]) | (ends[w_start[1:]] > ends[w_end[:-1]])
+    new[1:] = (row[1:] != row[:-1]) | (np.searchsorted(breaks, w_start[1:]) > np.searchsorted(breaks, w_end[:-1]))
     head = np.flatnonzero(new)
     tail = np.append(head[1:], len(w_start)) - 1
     return w_start[head], w_end[tail], row[head], tail - head + 1
 
 
-def line_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of spans in order that do not overlap."""
-    if not len(start):
-        return np.zeros(0, np.uint64)
-    power, inverse = textkit.powers(textkit._BASE, len(data) + 1), textkit.powers(textkit._INVERSE, len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=total[1:])
-    return textkit.mix((total[end] - total[start]) * inverse[start], 0x11) + textkit.mix((end - start).astype(np.uint64), 0x12)
-
-
 def winnow(h: np.ndarray, row: np.ndarray, run: int) -> np.ndarray:
     """Which lines have the least hash of a window of `run` lines of their text."""
     out = np.zeros(len(h), bool)
@@ -67,7 +55,8 @@ def _profile(run: int, alone: int | None):
             for part, data, offsets in textkit.segments(batch):
                 rows = len(offsets) - 1
                 start, end, row, words = line_spans(data, offsets)
-                h = line_hashes(data, start, end)
+                both = textkit.span_hashes(data, start, end, lower=False, lanes=2)
+                h = both[:, 0]
                 pick = winnow(h, row, run)
                 long = words >= alone if alone is not None else np.zeros(len(h), bool)
                 index = np.arange(len(h)) - np.searchsorted(row, row)
@@ -76,35 +65,39 @@ def _profile(run: int, alone: int | None):
                     [
                         part.column(0),
                         part.column(1),
-                        pa.ListArray.from_arrays(ends(row), pa.array(textkit.signed(h))),
+                        *(pa.ListArray.from_arrays(ends(row), pa.array(textkit.signed(np.ascontiguousarray(both[:, i])))) for i in (0, 1)),
                         pa.ListArray.from_arrays(ends(row[pick]), pa.array(index[pick].astype(np.int32))),
                         *([] if alone is None else [pa.ListArray.from_arrays(ends(row[long]), pa.array(index[long].astype(np.int32)))]),
                     ],
-                    ["uid", "id", "lines", "picks", *([] if alone is None else ["long"])],
+                    ["uid", "id", "lines", "more", "picks", *([] if alone is None else ["long"])],
                 )
 
     return go
 
 
 def _windows(run: int):
-    """(uid, start, gram): the windows of `run` lines around the shared fingerprints of a text."""
+    """(uid, start, gram, more): the windows of `run` lines around the shared fingerprints of a text, by two hashes."""
 
     def go(batches):
         for batch in batches:
-            out_u, out_s, out_g = [], [], []
-            for uid, lines, at in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("uid", "lines", "at")), strict=True):
-                h = np.array(lines.as_py(), np.int64).view(np.uint64)
-                at = np.array(at.as_py(), np.int64)
-                start = np.unique((at[:, None] - np.arange(run)).reshape(-1))
-                start = start[(start >= 0) & (start + run <= len(h))]
+            columns = {c: batch.column(batch.schema.get_field_index(c)) for c in ("lines", "more", "at")}
+            h, more, at = (np.asarray(c.flatten()) for c in columns.values())
+            n, size = np.asarray(columns["at"].value_lengths()), np.asarray(columns["lines"].value_lengths())
+            row = np.repeat(np.arange(len(n)), n)
+            start = (at.astype(np.int64)[:, None] - np.arange(run)).reshape(-1)
+            row, start = textkit.distinct(np.repeat(row, run)[start >= 0], start[start >= 0].astype(np.uint64))
+            start = start.astype(np.int64)
+            inside = start + run <= size[row]
+            row, start = row[inside], start[inside]
+            first = np.concatenate([[0], np.cumsum(size)])[row] + start
+            grams = []
+            for lane in (h, more):
                 gram = np.zeros(len(start), np.uint64)
                 for i in range(run):
-                    gram = textkit.mix(gram + h[start + i], i + 1)
-                out_u.append(np.full(len(start), uid.as_py()))
-                out_s.append(start)
-                out_g.append(gram)
-            if out_u:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_u)), pa.array(np.concatenate(out_s).astype(np.int32)), pa.array(textkit.signed(np.concatenate(out_g)))], ["uid", "start", "gram"])
+                    gram = textkit.mix(gram + lane.view(np.uint64)[first + i], i + 1)
+                grams.append(pa.array(textkit.signed(gram)))
+            uid = np.asarray(batch.column(batch.schema.get_field_index("uid")))
+            yield pa.RecordBatch.from_arrays([pa.array(uid[row]), pa.array(start.astype(np.int32)), *grams], ["uid", "start", "gram", "more"])
 
     return go
 
@@ -134,36 +127,41 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     alone: a line of so many words is a run by itself; it goes if the same line came before, whatever
     stands around either. None: no line is, so that a passage of one line between new neighbours stays.
 
-    Adds `gone`, the removed lines' numbers (null if none), and `lines`, how many there were; neither
-    name may be a column of docs. Blank lines don't count and stay. Null and empty texts and those
-    with fewer lines stay as they are; null ids come first in order. Of repeated rows the first keeps
-    its lines. An empty table gives no rows.
+    Adds `gone`, the removed lines' numbers (null if none), and `lines`, how many there were; a name
+    that docs has already gets underscores after it (textkit.free). Blank lines don't count and stay.
+    Null and empty texts and those with fewer lines stay as they are; null ids come first in order. Of
+    repeated rows the first keeps its lines. Other columns stay, whatever their names. An empty table
+    gives no rows.
     """
     if run < 1:
         raise ValueError("a run has one line at least")
     if alone is not None and alone < 1:
         raise ValueError("a line that is a run by itself has one word at least")
-    if {gone, lines} & set(docs.columns):
-        raise ValueError(f"docs has a column {gone} or {lines}")
+    gone = textkit.free(gone, docs.columns)
+    lines = textkit.free(lines, [*docs.columns, gone])
     rest = [c for c in docs.columns if c != text_col]
-    whole = scratch.write(docs.select(F.monotonically_increasing_id().alias("uid"), F.struct(*rest).alias("d"), F.col(text_col).cast("string").alias("text")), "lines-docs")
+    whole = scratch.write(docs.select(F.monotonically_increasing_id().alias("uid"), F.struct(*map(scratch.col, rest)).alias("d"), F.col(text_col).cast("string").alias("text")), "lines-docs")
     base = whole.select("uid", F.col(f"d.{id_col}").alias("id"), "text")
-    schema = T.StructType([T.StructField("uid", T.LongType()), base.schema["id"], T.StructField("lines", T.ArrayType(T.LongType())), T.StructField("picks", T.ArrayType(T.IntegerType()))])
+    longs, ints = T.ArrayType(T.LongType()), T.ArrayType(T.IntegerType())
+    schema = T.StructType([T.StructField("uid", T.LongType()), base.schema["id"], T.StructField("lines", longs), T.StructField("more", longs), T.StructField("picks", ints)])
     if alone is not None:
-        schema = schema.add("long", T.ArrayType(T.IntegerType()))
+        schema = schema.add("long", ints)
     rows = scratch.write(base.mapInArrow(_profile(run, alone), schema), "lines-hashes")
     prints = rows.select("uid", "lines", F.explode("picks").alias("at")).select("uid", "at", F.expr("lines[at]").alias("print"))
     shared = prints.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
     marked = prints.join(shared, "print").groupBy("uid").agg(F.collect_list("at").alias("at"))
-    near = rows.join(marked, "uid").select("uid", "lines", "at").mapInArrow(_windows(run), "uid long, start int, gram long").withColumn("width", F.lit(run))
+    near = rows.join(marked, "uid").select("uid", "lines", "more", "at").mapInArrow(_windows(run), "uid long, start int, gram long, more long").withColumn("width", F.lit(run))
     if alone is not None:
-        near = near.unionByName(rows.select("uid", "lines", F.explode("long").alias("start")).select("uid", "start", F.expr("lines[start]").alias("gram"), F.lit(1).alias("width")))
+        near = near.unionByName(rows.select("uid", "lines", "more", F.explode("long").alias("start")).select("uid", "start", F.expr("lines[start]").alias("gram"), F.expr("more[start]").alias("more"), F.lit(1).alias("width")))
     grams = scratch.write(near.join(rows.select("uid", "id"), "uid"), "lines-grams")
-    first = grams.groupBy("gram", "width").agg(F.count("*").alias("n"), F.min(F.struct("id", "uid", "start")).alias("first")).where("n > 1")
-    later = grams.join(first, ["gram", "width"]).where(~((F.col("uid") == F.col("first.uid")) & (F.col("start") == F.col("first.start"))))
+    key = ("gram", "more", "width")
+    first = grams.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("id", "uid", "start")).alias("first")).where("n > 1")
+    later = grams.join(first, [*key]).where(~((F.col("uid") == F.col("first.uid")) & (F.col("start") == F.col("first.start"))))
     lost = later.groupBy("uid").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_set(F.sequence("start", F.col("start") + F.col("width") - 1))))).alias("gone"))
-    count = rows.select("uid", F.size("lines").alias("lines")).join(lost, "uid", "left")
+    count = scratch.write(rows.select("uid", F.size("lines").alias("lines")).join(lost, "uid", "left"), "lines-lost")
+    scratch.drop(rows, grams)
+    del rows, grams, base, prints, shared, marked, near, first, later, lost
     scratch.release(docs.sparkSession)
     out = whole.join(count, "uid").drop("uid")
     out = out.mapInArrow(_rewrite, out.schema)
-    return out.select(*(F.col("text") if c == text_col else F.col(f"d.{c}") for c in docs.columns), F.col("gone").alias(gone), F.col("lines").alias(lines)).withColumnRenamed("text", text_col)
+    return out.select(*(F.col("text").alias(c) if c == text_col else F.col("d").getField(c).alias(c) for c in docs.columns), F.col("gone").alias(gone), F.col("lines").alias(lines))

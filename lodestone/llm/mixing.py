@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import textkit
+
 BLOCK_DOCS, SUPER_BLOCKS, MAX_SOURCES = 1024, 4096, 100_000
 
 
@@ -69,7 +71,8 @@ class Names:
 
 def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", *, target_entropy: float | None = None, max_repeats: float | None = None, budget: float | None = None, seed: int = 17, tokens: str | None = None, names: Names = Names(), block_docs: int = BLOCK_DOCS) -> DataFrame:
     """Rows of docs, once for each epoch that takes them, with `epoch`, `position` (0 to 1: sorting by it
-    interleaves the sources) and `repeats` (the source's epochs).
+    interleaves the sources) and `repeats` (the source's epochs); names that docs has already get
+    underscores after them (textkit.free).
 
     budget: tokens in all; None: as many as give every source one whole epoch at least, so that no
     document is lost. tokens: SQL for a document's tokens; by default UTF-8 bytes / 4, and one.
@@ -77,8 +80,9 @@ def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", tex
     Rows alike in id and text are taken together. An empty table gives no rows. More than MAX_SOURCES
     sources are an error: their numbers are held by the driver.
     """
-    if {names.epoch, names.position, names.repeats} & set(docs.columns):
-        raise ValueError("docs has a column of the name of a result")
+    epoch_col = textkit.free(names.epoch, docs.columns)
+    position_col = textkit.free(names.position, [*docs.columns, epoch_col])
+    repeats_col = textkit.free(names.repeats, [*docs.columns, epoch_col, position_col])
     spark = docs.sparkSession
     count = F.expr(tokens) if tokens else F.floor(F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)) / 4) + 1
     own = F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.col(text_col).cast("string"))
@@ -89,7 +93,7 @@ def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", tex
         raise ValueError(f"more than {MAX_SOURCES} sources")
     live = sorted((r for r in totals if r["t"] and r["t"] > 0), key=lambda r: (r["s"] is not None, str(r["s"])))
     if not live:
-        return docs.limit(0).withColumns({names.epoch: F.lit(0), names.position: F.lit(0.0), names.repeats: F.lit(0.0)})
+        return docs.limit(0).withColumns({epoch_col: F.lit(0), position_col: F.lit(0.0), repeats_col: F.lit(0.0)})
     tok = np.array([r["t"] for r in live], float)
     r = repeats(tok, solve(tok, target_entropy, max_repeats, budget), budget)
     whole = np.floor(r + 1e-9)
@@ -132,4 +136,4 @@ def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", tex
     times = F.col("_whole") + F.when(taken, 1).otherwise(0)
     out = out.where(times > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), (times - 1).cast("int"))))
     spot = (F.col("epoch") + at(F.col("epoch").cast("long")) / F.lit(2.0**64) + 0.5) / F.greatest(F.ceil("_r"), F.lit(1))
-    return out.select("d.*", F.col("epoch").alias(names.epoch), spot.cast("double").alias(names.position), F.col("_r").alias(names.repeats))
+    return out.select("d.*", F.col("epoch").alias(epoch_col), spot.cast("double").alias(position_col), F.col("_r").alias(repeats_col))

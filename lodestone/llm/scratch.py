@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _ROOTS: dict[str, SparkSession] = {}
 
@@ -40,12 +41,25 @@ def table(spark: SparkSession, prefix: str) -> str:
     return name
 
 
+def col(name: str):
+    """The column of this very name, dots and backquotes included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def write(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back."""
     spark = df.sparkSession
     path = folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def drop(*frames: DataFrame) -> None:
+    """Removes the folders of written frames, and of what is read from them nothing may be asked after that."""
+    for df in frames:
+        remove(df.sparkSession, df.scratch_path)
 
 
 def release(spark: SparkSession) -> None:

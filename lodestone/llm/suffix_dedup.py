@@ -72,7 +72,7 @@ class Anchors:
         row = np.searchsorted(offsets, chosen, "right") - 1
         a = np.maximum(chosen - (self.w - 1), offsets[row])
         b = np.minimum(chosen + self.length, offsets[row + 1])
-        around = textkit.mix((total[b] - total[a]) * inverse[a], 0x99) + textkit.mix(((chosen - a) * 100_003 + (b - chosen)).astype(np.uint64))
+        around = textkit.mix(textkit.span_hashes(data, a, b, lower=False) + (chosen - a).astype(np.uint64), 0x99)
         return row, chosen - offsets[row], textkit.mix(gram[chosen], 0x55), around
 
 

@@ -6,6 +6,7 @@ array operations over the whole buffer; no kernel loops over characters in Pytho
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 SUB_BYTES = 2 << 20
+LONG = 1024
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
@@ -98,31 +101,43 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, end, np.searchsorted(offsets, start, "right") - 1
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = True) -> np.ndarray:
-    """64-bit hashes of data[start:end]; spans are in order and do not overlap."""
-    if len(start) == 0:
-        return np.zeros(0, np.uint64)
-    term = ((LOWER[data] if lower else data).astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(data))[: len(data)]
-    cover = np.zeros(len(data) + 1, np.int8)
-    np.add.at(cover, start, 1)
-    np.add.at(cover, end, -1)
-    term[np.cumsum(cover[:-1]) == 0] = 0
-    total = np.add.reduceat(term, start)
-    return mix(total * powers(_INVERSE, int(start[-1]) + 1)[start], 0) + mix((end - start).astype(np.uint64), 0x51ED)
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = True, lanes: int = 1) -> np.ndarray:
+    """64-bit hashes of data[start:end], of any spans; with two lanes, two independent ones as columns.
+
+    Eight bytes at a time go through a bijective mixer that starts from the length. Not a polynomial:
+    no text gives equal values by its structure. Spans of more than LONG bytes are hashed by blake2b.
+    """
+    size = (end - start).astype(np.int64)
+    out = [mix(size.astype(np.uint64), salt) for salt in (0x51ED, 0xC3A5)[:lanes]]
+    padded = np.concatenate([LOWER[data] if lower else data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    at, step = np.flatnonzero((size > 0) & (size <= LONG)), 0
+    while len(at):
+        value = eight[start[at] + step] & _MASK[np.minimum(size[at] - step, 8)]
+        out[0][at] = mix(out[0][at] ^ value)
+        if lanes > 1:
+            out[1][at] = mix((out[1][at] + value) * np.uint64(_BASE), 0x2B)
+        step += 8
+        at = at[size[at] > step]
+    for i in np.flatnonzero(size > LONG):
+        whole = np.frombuffer(hashlib.blake2b(padded[start[i] : end[i]], digest_size=16).digest(), "<u8")
+        for lane in range(lanes):
+            out[lane][i] = whole[lane]
+    return out[0] if lanes == 1 else np.stack(out, axis=1)
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Start, end, row and hash of every word, lower case A-Z."""
-    start, end = runs(~SPACE[data], offsets)
-    row = np.searchsorted(offsets, start, "right") - 1
-    if len(start) == 0:
-        return start, end, row, np.zeros(0, np.uint64)
-    term = LOWER[data].astype(np.uint64)
-    term += np.uint64(1)
-    term *= powers(_BASE, len(data))[: len(data)]
-    term[SPACE[data]] = 0
-    total = np.add.reduceat(term, start)
-    return start, end, row, mix(total * powers(_INVERSE, int(start[-1]) + 1)[start]) + mix((end - start).astype(np.uint64), 0x51ED)
+    start, end, row = words(data, offsets)
+    return start, end, row, span_hashes(data, start, end)
+
+
+def free(name: str, taken: list[str]) -> str:
+    """The name, with underscores after it until no column has it (in any case of letters)."""
+    have = {c.lower() for c in taken}
+    while name.lower() in have:
+        name += "_"
+    return name
 
 
 def shingles(hashes: np.ndarray, row: np.ndarray, rows: int, n: int) -> tuple[np.ndarray, np.ndarray]:

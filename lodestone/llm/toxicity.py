@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import textkit
+from . import scratch, textkit
 
 #: Bytes of the training sample's texts; their features take some seven times as much in the driver.
 FIT_BYTES = 64 << 20
@@ -39,31 +39,27 @@ def features(data: np.ndarray, offsets: np.ndarray):
     n = len(start)
     if n == 0:
         return start, end, row, np.zeros(0, bool), np.zeros((0, N_FEATURES), np.int32)
-    low = textkit.LOWER[data].astype(np.uint64)
-    low += np.uint64(1)
+    low = textkit.LOWER[data]
     size = end - start
-    power = textkit.powers(textkit._BASE, len(data))
-    term = low * power[: len(data)]
-    term[~_WORD[data]] = 0
-    whole = np.add.reduceat(term, start) * textkit.powers(textkit._INVERSE, int(start[-1]) + 1)[start]
+    power = textkit.powers(textkit._BASE, max(*PREFIXES, *SUFFIXES))
     out = np.empty((n, N_FEATURES), np.int32)
     mask = np.uint64((1 << BITS) - 1)
-    out[:, 0] = (textkit.mix(whole, 1) & mask).astype(np.int32)
+    out[:, 0] = (textkit.mix(textkit.span_hashes(data, start, end), 1) & mask).astype(np.int32)
     acc, column = np.zeros(n, np.uint64), 1
     for i in range(max(PREFIXES)):
-        acc += np.where(size > i, low[np.minimum(start + i, len(data) - 1)], 0).astype(np.uint64) * power[i]
+        acc += np.where(size > i, low[np.minimum(start + i, len(data) - 1)].astype(np.uint64) + np.uint64(1), 0).astype(np.uint64) * power[i]
         if i + 1 in PREFIXES:
             out[:, column] = (textkit.mix(acc, 100 + i) & mask).astype(np.int32)
             column += 1
     acc = np.zeros(n, np.uint64)
     for i in range(max(SUFFIXES)):
-        acc += np.where(size > i, low[np.maximum(end - 1 - i, 0)], 0).astype(np.uint64) * power[i]
+        acc += np.where(size > i, low[np.maximum(end - 1 - i, 0)].astype(np.uint64) + np.uint64(1), 0).astype(np.uint64) * power[i]
         if i + 1 in SUFFIXES:
             out[:, column] = (textkit.mix(acc, 200 + i) & mask).astype(np.int32)
             column += 1
-    stops = np.concatenate([[0], np.cumsum(_STOP[data])])
+    stops = np.flatnonzero(_STOP[data])
     first = np.ones(n, bool)
-    first[1:] = (row[1:] != row[:-1]) | (stops[start[1:]] > stops[end[:-1]])
+    first[1:] = (row[1:] != row[:-1]) | (np.searchsorted(stops, start[1:]) > np.searchsorted(stops, end[:-1]))
     return start, end, row, first, out
 
 
@@ -304,6 +300,6 @@ def keep_clean(docs: DataFrame, labels: DataFrame, least: float, id_col: str = "
     """The rows of docs, columns as they are, whose score is below `least`."""
     model = fit(*training_sample(docs, labels, id_col, text_col, label_col, fit_rows, fit_bytes))
     rest = [c for c in docs.columns if c != text_col]
-    base = docs.select(F.struct(*rest).alias("d"), F.col(text_col).cast("string").alias("text"))
+    base = docs.select(F.struct(*map(scratch.col, rest)).alias("d"), F.col(text_col).cast("string").alias("text"))
     scored = base.mapInArrow(_tag(model, 0.5, True), _schema(base, True)).where(F.col("score") < least)
-    return scored.select(*(F.col("text").alias(c) if c == text_col else F.col(f"d.{c}") for c in docs.columns))
+    return scored.select(*(F.col("text").alias(c) if c == text_col else F.col("d").getField(c).alias(c) for c in docs.columns))

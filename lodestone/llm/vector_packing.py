@@ -162,4 +162,4 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     ranked = pieces.join(first, ["length", "task"]).select("id", "piece", "start", "length", "crc", (F.col("first") + F.col("turn")).alias("rank"))
     placed = T.StructType([*schema.fields[:5], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     out = ranked.mapInArrow(_place(plan(histogram, cap)), placed)
-    return out.withColumnsRenamed({"id": id_col, "crc": "ids_crc32"})
+    return out.select(F.col("id").alias(id_col), "piece", "start", "length", F.col("crc").alias("ids_crc32"), "sequence_id", "offset")
