@@ -279,3 +279,21 @@ def test_tree_visits_every_leaf_in_the_end():
     assert set(leaf.tolist()) <= set(range(t.leaves)) and sorted(t.walk(x[0])) == list(range(t.leaves))
     population = np.bincount(leaf, minlength=t.leaves)
     assert len(t.visit(x[0], population, 700)) == (population > 0).sum()
+
+
+def thue_morse(n, letters="ab"):
+    return "".join(letters[i.bit_count() & 1] for i in range(n))
+
+
+def test_hashes_tell_spans_apart():
+    from lodestone.llm import textkit
+
+    words = ["a", "b", "ab", "ba", "abcdefgh", "abcdefgi", "abcdefgha", "bbcdefgha", thue_morse(1024), thue_morse(1024, "ba"), thue_morse(4096), thue_morse(4096, "ba"), "A", "é" * 600, "é" * 599 + "è"]
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    start, end, _, h = textkit.word_hashes(data, np.array([0, len(data)]))
+    assert len(start) == len(words) and len(set(h.tolist())) == len(words) - 1  # A and a are one
+    both = textkit.span_hashes(data, start, end, lower=False, lanes=2)
+    assert len(set(both[:, 0].tolist())) == len(set(both[:, 1].tolist())) == len(words)
+    again = textkit.span_hashes(data, start[::-1], end[::-1])
+    assert again.tolist() == h[::-1].tolist()
+    assert textkit.span_hashes(data, start[:0], end[:0]).tolist() == []

@@ -6,6 +6,8 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -94,6 +96,66 @@ def test_ngram_jaccard(spark, data, docs, none):
     assert {60, 61, 62, None} <= ids and 70 not in ids and 64 not in ids and 63 in ids
 
 
+def thue_morse(n, letters="ab"):
+    return "".join(letters[i.bit_count() & 1] for i in range(n))
+
+
+def test_words_and_lines_of_equal_polynomials_differ(spark):
+    x, y = thue_morse(1024), thue_morse(1024, "ba")
+    df = spark.createDataFrame([(1, f"{x} b c d"), (2, f"{y} b c d")], "doc_id long, text string")
+    assert sorted(map(tuple, ngram_jaccard.jaccard_groups(df, n=3, num=90, den=100).collect())) == [(1, 2, 0, 1), (2, 2, 0, 2)]
+    lines = spark.createDataFrame([(1, f"{x}\nsecond"), (2, f"{y}\nsecond")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["text"]) for r in line_dedup.dedup_lines(lines).collect()) == [(1, f"{x}\nsecond"), (2, f"{y}\nsecond")]
+    model = pitman_yor.score_texts(df.withColumn("learn", F.col("doc_id") == 1), "learn").collect()
+    assert {r["doc_id"]: r["n_known"] for r in model} == {1: 5, 2: 4}
+
+
+def test_clashing_columns(spark):
+    names = ["_gone", "_lines", "epoch", "position", "repeats", "uid", "node", "sig", "lost", "d", "s", "h", "b", "length", "piece", "a.b"]
+    df = spark.createDataFrame([(i, f"one {i}\ntwo words\nthree words", "s", *names) for i in range(3)], ["doc_id", "text", "source", *[f"c{i}" for i in range(len(names))]]).toDF("doc_id", "text", "source", *names)
+    out = line_dedup.dedup_lines(df)
+    assert out.columns == [*df.columns, "_gone_", "_lines_"] and sorted(r["_gone_"] or [] for r in out.collect()) == [[], [1, 2], [1, 2]]
+    assert all(list(r)[3:-2] == names for r in out.collect())
+    mixed = mixing.mix(df, max_repeats=2.0)
+    assert mixed.columns == [*df.columns, "epoch_", "position_", "repeats_"] and mixed.count() == 3
+    kept = ngram_jaccard.keep_one(df)
+    assert kept.columns == df.columns and kept.count() == 3
+    assert toxicity.keep_clean(df, df.selectExpr("doc_id", "0 toxic"), 2.0).columns == df.columns
+    assert vector_packing.pack(df.withColumnRenamed("doc_id", "length_").drop("length").withColumnRenamed("length_", "length"), queries.tokenizer_path(), id_col="length").count() == 3
+
+
+def test_hot_signatures(spark, monkeypatch):
+    """Signatures that many sets of a task share go by count and members; the result is the same."""
+    r = random.Random(12)
+    base = [f"w{r.randrange(900)}" for _ in range(160)]
+    table = []
+    for i in range(120):
+        words = list(base)
+        for _ in range(r.randint(0, 3)):
+            words[r.randrange(160)] = f"x{r.randrange(900)}"
+        table.append((i, " ".join(words)))
+    table += [(200 + i, " ".join(f"w{r.randrange(900)}" for _ in range(60)) + " " + " ".join(base[:60])) for i in range(40)]
+    df = spark.createDataFrame(table, "doc_id long, text string").repartition(3, "doc_id")
+    want = sorted(map(tuple, ngram_jaccard.jaccard_groups(df, turns=2).collect()))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in table]
+    links = [sum(100 * len(a & b) >= 80 * len(a | b) for b in sets) - 1 for a in sets]
+    assert [x[2] for x in want] == links
+    hot = lambda: [pa.RecordBatch.from_pydict({"id": [x[0] for x in table], "text": [x[1] for x in table]})]
+    sent = lambda: pa.Table.from_batches([b.cast(ngram_jaccard.MESSAGE) for b in ngram_jaccard._signatures(5, 80, 100, 4, 0, 1)(hot())])
+    monkeypatch.setattr(ngram_jaccard, "TaskContext", type("C", (), {"get": staticmethod(lambda: type("T", (), {"partitionId": staticmethod(lambda: 0)}))}))
+
+    def shared():
+        t = sent()
+        got = [ngram_jaccard._shared(4)((pa.scalar(p),), t.filter(pa.compute.equal(t.column("part"), p))) for p in range(4)]
+        rows = [x for g in got for x in g.to_pylist()]
+        count = {x["sig"]: x["n"] for x in rows if x["node"] is None}
+        return sorted((x["sig"], x["node"], x["need"], x["n"] if x["n"] is not None else count[x["sig"]]) for x in rows if x["node"] is not None)
+
+    plain = shared()
+    monkeypatch.setattr(ngram_jaccard, "HOT", 20)
+    assert shared() == plain and plain
+
+
 def brute_repeats(texts, n):
     seen = {}
     for t in texts:
