@@ -46,7 +46,7 @@ def _component(tag: str, attrs: str) -> np.ndarray:
     i, s = _unit("<" + tag, PATH)
     v[i] += 2 * s
     for _, a, b, c in _ATTR.findall(attrs):
-        for part in _PART.findall((a or b or c).lower()[:200]):
+        for part in _PART.findall((a or b or c).lower()):
             for gram, weight in ((part, 1.5), *((part[j : j + 4], 0.3) for j in range(max(1, len(part) - 3)))):
                 i, s = _unit("." + gram, PATH)
                 v[i] += weight * s

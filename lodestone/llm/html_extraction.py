@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import html_blocks, html_training
+from . import html_blocks, html_training, scratch, textkit
 
 HIDDEN = 24
 MARK = ""
@@ -143,7 +143,7 @@ def trained(n: int = 1600, rounds: int = 220, seed: int = 3) -> Labeller:
     model, rng = Labeller(seed), np.random.default_rng(seed)
     m = [np.zeros_like(w) for w in model.weights()]
     v = [np.zeros_like(w) for w in model.weights()]
-    usable = np.flatnonzero((sizes > 0) & (sizes <= 80))
+    usable = np.flatnonzero(sizes > 0)
     for t in range(1, rounds + 1):
         rows = rng.choice(usable, 48, replace=False)
         xs, mask = _pad(x, first[rows], sizes[rows])
@@ -171,13 +171,13 @@ def extract(pages: list[str | None], model: Labeller, least: float = 0.5) -> tup
     return texts, kept, sizes.tolist()
 
 
-def _run(model: Labeller, least: float, rows: int = 200):
+def _run(model: Labeller, least: float, names: list[str], rows: int = 200):
     def run(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, rows):
                 part = batch.slice(i, rows)
                 texts, kept, seen = extract(part.column(part.num_columns - 1).to_pylist(), model, least)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(kept, pa.int64()), pa.array(seen, pa.int64())], [*part.schema.names[:-1], "text", "n_chars", "n_kept", "n_blocks"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(kept, pa.int64()), pa.array(seen, pa.int64())], [*part.schema.names[:-1], *names])
 
     return run
 
@@ -185,10 +185,14 @@ def _run(model: Labeller, least: float, rows: int = 200):
 def main_text(pages: DataFrame, keep: list[str], html_col: str = "html", least: float = 0.5) -> DataFrame:
     """The columns `keep`, then text, n_chars (code points), n_kept and n_blocks, by page.
 
-    Blocks are joined in page order by two line ends; white space inside one is a single space.
+    A name among these that is in `keep` gets underscores after it. Blocks are joined in page order by two line ends; white space inside one is a single space.
     Null, empty and tagless blank pages have an empty text. Repeated rows and null ids stay,
     other columns are ignored; an empty table gives no rows.
     """
-    base = pages.select(*keep, F.col(html_col).cast("string").alias("_html"))
-    new = [T.StructField("text", T.StringType()), *(T.StructField(c, T.LongType()) for c in ("n_chars", "n_kept", "n_blocks"))]
-    return base.mapInArrow(_run(trained(), least), T.StructType([*base.schema.fields[:-1], *new]))
+    scratch.session(pages)
+    names, result = list(keep), []
+    for name in ("text", "n_chars", "n_kept", "n_blocks"):
+        result.append(textkit.free(name, [*names, *result]))
+    base = pages.select(*map(scratch.col, keep), F.col(html_col).cast("string").alias(textkit.free("_html", [*names, *result])))
+    new = [T.StructField(c, T.StringType() if c == result[0] else T.LongType()) for c in result]
+    return base.mapInArrow(_run(trained(), least, result), T.StructType([*base.schema.fields[:-1], *new]))

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scratch
+
 BLOCK, SHARD = 4096, 8192
 
 
@@ -223,7 +225,7 @@ def search(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: s
     take no part. Repeated rows count once. sample bounds the rows the tree is fitted on; target is
     the recall that calibration asks for. Empty tables give no rows.
     """
-    spark = df.sparkSession
+    spark = scratch.session(df)
     rows = usable(df, id_col, vec_col)
     common = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
     if not common:

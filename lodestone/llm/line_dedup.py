@@ -137,6 +137,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         raise ValueError("a run has one line at least")
     if alone is not None and alone < 1:
         raise ValueError("a line that is a run by itself has one word at least")
+    scratch.session(docs)
     gone = textkit.free(gone, docs.columns)
     lines = textkit.free(lines, [*docs.columns, gone])
     rest = [c for c in docs.columns if c != text_col]

@@ -214,7 +214,7 @@ def store(docs: DataFrame, table: str, id_col: str = "doc_id", text_col: str = "
     A payload is the text's UTF-8 bytes (null: none) and bytes 255 up to a positive multiple of unit.
     turns: payloads are written in so many parts, by digest, so that less is shuffled at a time.
     """
-    spark = docs.sparkSession
+    spark = scratch.session(docs)
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = base.schema["id"].dataType.simpleString()
     listed = scratch.write(base.mapInArrow(_list(unit), f"id {kind}, n_bytes long, p binary, chunks array<binary>"), "media-list")
@@ -249,7 +249,7 @@ def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Null and empty texts are one unit of padding. Equal texts share a record; repeated rows and
     null ids stay; other columns are ignored; an empty table gives no rows.
     """
-    spark = docs.sparkSession
+    spark = scratch.session(docs)
     table = scratch.table(spark, "media")
     listed = store(docs, table, id_col, text_col, unit)
     facts = scratch.write(read_back(spark, table), "media-facts")

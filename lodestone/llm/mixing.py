@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import textkit
+from . import scratch, textkit
 
 BLOCK_DOCS, SUPER_BLOCKS, MAX_SOURCES = 1024, 4096, 100_000
 
@@ -83,7 +83,7 @@ def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", tex
     epoch_col = textkit.free(names.epoch, docs.columns)
     position_col = textkit.free(names.position, [*docs.columns, epoch_col])
     repeats_col = textkit.free(names.repeats, [*docs.columns, epoch_col, position_col])
-    spark = docs.sparkSession
+    spark = scratch.session(docs)
     count = F.expr(tokens) if tokens else F.floor(F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)) / 4) + 1
     own = F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.col(text_col).cast("string"))
     keyed = docs.select(F.col(source_col).alias("s"), count.cast("long").alias("t"), own.alias("h"))

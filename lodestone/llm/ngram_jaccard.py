@@ -382,7 +382,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     block_bytes: of texts that meet in one task. turns: signatures are grouped in so many parts, so
     that less is shuffled at a time; lower similarities have more of them.
     """
-    spark = docs.sparkSession
+    spark = scratch.session(docs)
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     profile = T.StructType([base.schema["id"], *(T.StructField(c, T.LongType()) for c in ("n", "hi", "lo"))])
     ids = scratch.write(base.mapInArrow(_profile(n), profile), "jaccard-sets")

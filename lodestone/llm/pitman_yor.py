@@ -466,7 +466,7 @@ def score_texts(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: s
 
     if not 1 <= contexts <= 510 or not 1 <= keep <= sweeps:
         raise ValueError("contexts must lie in 1..510 and keep in 1..sweeps")
-    spark = docs.sparkSession
+    spark = scratch.session(docs)
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(F.expr(train), F.lit(False)).alias("train"))
     kind = base.schema["id"].dataType
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_BYTES = 4 << 20
 _ROOTS: dict[str, SparkSession] = {}
 
 
@@ -41,6 +42,16 @@ def table(spark: SparkSession, prefix: str) -> str:
     return name
 
 
+def session(df: DataFrame) -> SparkSession:
+    """The session of a frame, its Arrow batches bounded to BATCH_BYTES: long texts make them large, and each task
+    of an executor holds some at a time, outside the heap."""
+    spark = df.sparkSession
+    conf = spark._jsparkSession.sessionState().conf()
+    if conf.arrowMaxBytesPerBatch() > BATCH_BYTES or conf.arrowMaxBytesPerBatch() <= 0:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return spark
+
+
 def col(name: str):
     """The column of this very name, dots and backquotes included."""
     return F.col("`" + name.replace("`", "``") + "`")

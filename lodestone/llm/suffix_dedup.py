@@ -247,7 +247,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     `length` keep everything. Repeated rows repeat each other and go as a whole; null ids stay;
     other columns are ignored; an empty table gives no rows.
     """
-    spark = docs.sparkSession
+    spark = scratch.session(docs)
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = base.schema["id"].dataType.simpleString()
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -286,6 +286,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     without toxic tokens. Repeated rows stay, null ids stay and are never learnt from; other
     columns are ignored; empty tables give no rows, and no labels the score of no evidence.
     """
+    scratch.session(docs)
     model = fit(*training_sample(docs, labels, id_col, text_col, label_col, fit_rows, fit_bytes))
     base = docs.select(F.col(id_col).alias("d"), F.col(text_col).cast("string").alias("text"))
     return base.mapInArrow(_tag(model, span_least, False), _schema(base, False)).withColumnRenamed("d", id_col)
@@ -298,6 +299,7 @@ def _schema(base: DataFrame, text: bool) -> T.StructType:
 
 def keep_clean(docs: DataFrame, labels: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = 3000, fit_bytes: int = FIT_BYTES) -> DataFrame:
     """The rows of docs, columns as they are, whose score is below `least`."""
+    scratch.session(docs)
     model = fit(*training_sample(docs, labels, id_col, text_col, label_col, fit_rows, fit_bytes))
     rest = [c for c in docs.columns if c != text_col]
     base = docs.select(F.struct(*map(scratch.col, rest)).alias("d"), F.col(text_col).cast("string").alias("text"))

@@ -148,6 +148,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
+    scratch.session(docs)
     cap = cap or Capacity()
     if cap.longest < 1 or cap.pieces < 1:
         raise ValueError("a sequence must hold one piece of one token at least")
