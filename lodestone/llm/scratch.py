@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -73,9 +75,16 @@ def drop(*frames: DataFrame) -> None:
         remove(df.sparkSession, df.scratch_path)
 
 
+def trim() -> None:
+    """Gives freed memory of this process back, where the C library can."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def release(spark: SparkSession) -> None:
     """Lets the context cleaner drop the shuffle files of steps whose results are written."""
-    gc.collect()
+    trim()
     spark.sparkContext._jvm.System.gc()
 
 

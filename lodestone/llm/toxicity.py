@@ -20,8 +20,9 @@ from pyspark.sql import types as T
 
 from . import scratch, textkit
 
-#: Bytes of the training sample's texts; their features take some seven times as much in the driver.
+#: Bounds of the training sample: bytes of its texts, and tokens the field is trained on.
 FIT_BYTES = 64 << 20
+FIT_TOKENS = 400_000
 BITS = 20
 PREFIXES = (3, 4, 5, 6)
 SUFFIXES = (3, 4)
@@ -174,7 +175,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(document_features(p, row, rows) @ self.logistic, -30, 30)))
 
 
-def fit(texts: list[str | None], labels: list[int], weights: tuple[float, float] = (1.0, 1.0), odds: float = 20.0, least: int = 3, tokens: int = 400_000) -> Model:
+def fit(texts: list[str | None], labels: list[int], weights: tuple[float, float] = (1.0, 1.0), odds: float = 20.0, least: int = 3, tokens: int = FIT_TOKENS) -> Model:
     """The model of a labelled sample; without both labels, one that gives the share of label 1.
 
     weights: by label, how many labelled rows each of the sample stands for in the logistic regression.
@@ -189,14 +190,17 @@ def fit(texts: list[str | None], labels: list[int], weights: tuple[float, float]
         w[0] = np.log(share / (1 - share)) if 0 < share < 1 else -30.0
         return Model(Field(np.zeros(1 << BITS, np.float32), np.zeros((2, 2)), 0.0, -30.0), w)
     own = np.arange(n) % 3 != 2  # the others are for the scores
-    column = pa.array(texts, pa.string())
-    data, offsets = textkit.buffers(column)
-    parts = []
+    data, offsets = textkit.buffers(pa.array(texts, pa.string()))
+
+    def parts():
+        """Features of the texts, made anew each time: kept, they would be many times the texts."""
+        for i, j in textkit.slices(offsets):
+            _, _, row, first, feats = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            if len(row):
+                yield row + i, first, feats
+
     docs = np.zeros((2, 1 << BITS))
-    for i, j in textkit.slices(offsets):
-        start, end, row, first, feats = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-        row = row + i
-        parts.append((row, first, feats))
+    for row, _, feats in parts():
         mine = own[row]
         for c in range(1 + len(PREFIXES)):
             r, f = textkit.distinct(row[mine], feats[mine, c].astype(np.uint64))
@@ -205,28 +209,29 @@ def fit(texts: list[str | None], labels: list[int], weights: tuple[float, float]
     total = [max(1, int((own & (y == k)).sum())) for k in (0, 1)]
     ratio = (docs[1] + 0.5) / (total[1] + 1) / ((docs[0] + 0.5) / (total[0] + 1))
     marked = (ratio >= odds) & (docs[1] >= least)
-    kept, room = [], tokens
-    for toxic in (True, False):
-        for row, first, feats in parts:
-            tag = marked[feats[:, : 1 + len(PREFIXES)]].any(axis=1) & (y[row] == 1)
-            chain = np.cumsum(first) - 1
-            has = np.bincount(chain, tag, int(chain[-1]) + 1 if len(chain) else 0) > 0
-            use = own[row] & (has[chain] if toxic else ~has[chain] & (y[row] == 0)) if len(chain) else np.zeros(0, bool)
-            where = np.flatnonzero(use)[: room // 2 if toxic else room]
-            room -= len(where)
-            kept.append((first[where], feats[where], tag[where].astype(np.int64)))
-    first, feats, tag = (np.concatenate(x) for x in zip(*kept, strict=True))
+    toxic, clean, room = [], [], tokens
+    for row, first, feats in parts():
+        tag = marked[feats[:, : 1 + len(PREFIXES)]].any(axis=1) & (y[row] == 1)
+        chain = np.cumsum(first) - 1
+        has = np.bincount(chain, tag, int(chain[-1]) + 1) > 0
+        where = np.flatnonzero(own[row] & has[chain])[: room // 2]
+        room -= len(where)
+        toxic.append((first[where], feats[where], tag[where].astype(np.int64)))
+        where = np.flatnonzero(own[row] & ~has[chain] & (y[row] == 0))[: max(0, room - sum(len(x[0]) for x in clean))]
+        clean.append((first[where], feats[where], tag[where].astype(np.int64)))
+    kept = [np.concatenate(x) for x in zip(*toxic, *clean, strict=True)] if toxic else [np.zeros(0, bool), np.zeros((0, N_FEATURES), np.int32), np.zeros(0, np.int64)]
+    first, feats, tag = (x[:tokens] for x in kept)
+    del toxic, clean, kept
     if len(first):
         first[0] = True
     field = train_field(feats, first, tag)
     x = np.zeros((n, 4))
-    for row, first, feats in parts:
-        if len(row):
-            low = int(row[0])
-            high = int(row[-1]) + 1
-            x[low:high] = document_features(field.marginals(feats, first), row - low, high - low)
+    for row, first, feats in parts():
+        low, high = int(row[0]), int(row[-1]) + 1
+        x[low:high] = document_features(field.marginals(feats, first), row - low, high - low)
     x[:, 0] = 1
     use = ~own if len(set(y[~own])) == 2 else np.ones(n, bool)
+    scratch.trim()
     return Model(field, train_logistic(x[use], y[use], weight=np.array(weights, float)[y[use]]))
 
 
@@ -277,17 +282,18 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     return [r["t"] for r in found], [r["_y"] for r in found], weights
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = 3000, span_least: float = 0.5, fit_bytes: int = FIT_BYTES) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = 3000, span_least: float = 0.5, fit_bytes: int = FIT_BYTES, fit_tokens: int = FIT_TOKENS) -> DataFrame:
     """One row per document: id, score, spans (start, end in code points, p: its largest marginal).
 
     labels: the rows that may be learnt from. fit_rows: the bound of the training sample, by label,
-    and fit_bytes that of its texts together;
+    fit_bytes that of its texts together, fit_tokens that of the tokens the field is trained on (of
+    sentences, those with a toxic tag first);
     the score's regression weights it to the rate of all labelled rows; every document is scored, on its whole text. Null and empty texts get the score of a text
     without toxic tokens. Repeated rows stay, null ids stay and are never learnt from; other
     columns are ignored; empty tables give no rows, and no labels the score of no evidence.
     """
     scratch.session(docs)
-    model = fit(*training_sample(docs, labels, id_col, text_col, label_col, fit_rows, fit_bytes))
+    model = fit(*training_sample(docs, labels, id_col, text_col, label_col, fit_rows, fit_bytes), tokens=fit_tokens)
     base = docs.select(F.col(id_col).alias("d"), F.col(text_col).cast("string").alias("text"))
     return base.mapInArrow(_tag(model, span_least, False), _schema(base, False)).withColumnRenamed("d", id_col)
 
@@ -297,10 +303,15 @@ def _schema(base: DataFrame, text: bool) -> T.StructType:
     return T.StructType([base.schema["d"], *([T.StructField("text", T.StringType())] if text else []), T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(span))])
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = 3000, fit_bytes: int = FIT_BYTES) -> DataFrame:
-    """The rows of docs, columns as they are, whose score is below `least`."""
+def keep_clean(docs: DataFrame, labels: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = 3000, fit_bytes: int = FIT_BYTES, fit_tokens: int = FIT_TOKENS) -> DataFrame:
+    """The rows of docs, columns as they are, whose score is below `least`.
+
+    Null and empty texts have the score of no evidence, repeated rows stay or go together, null ids
+    stay in the table and are never learnt from; columns may have any names; an empty table gives no
+    rows. The bounds of what is learnt from are those of score_toxicity.
+    """
     scratch.session(docs)
-    model = fit(*training_sample(docs, labels, id_col, text_col, label_col, fit_rows, fit_bytes))
+    model = fit(*training_sample(docs, labels, id_col, text_col, label_col, fit_rows, fit_bytes), tokens=fit_tokens)
     rest = [c for c in docs.columns if c != text_col]
     base = docs.select(F.struct(*map(scratch.col, rest)).alias("d"), F.col(text_col).cast("string").alias("text"))
     scored = base.mapInArrow(_tag(model, 0.5, True), _schema(base, True)).where(F.col("score") < least)
