@@ -37,7 +37,7 @@ END = np.uint64(0xE0D0F7E875A11CE5)
 CLASS = np.uint64(511)
 LINKS = "part int, bucket int, sweep int, a binary, b binary, chunk long, d binary"
 CHUNK_BYTES = 9 << 20
-TURNS = 3  # in which chunks ask and are answered, so that a third of the pairs is on disk at a time
+COUNT_TURNS, TURNS = 2, 5  # in which parts are told their counts, and chunks ask and are answered: what is on disk at a time
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray, contexts: int):
@@ -120,9 +120,9 @@ def _asked(table: pa.Table, contexts: int):
 ASK = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("w", pa.binary()), ("sizes", pa.binary()), ("context", pa.binary()), ("n", pa.binary())])
 
 
-def _requests(contexts: int, parts: int, counts: bool):
-    """One row by chunk and part: its words there, their numbers of pairs, the words before, and training counts
-    (of all that have any) or none (of all)."""
+def _requests(contexts: int, parts: int, counts: bool, turn: int = 0, turns: int = 1):
+    """One row by chunk and part (of those of the turn): its words there, their numbers of pairs, the words before, and
+    training counts (of all that have any) or none (of all)."""
 
     def run(batches):
         for batch in batches:
@@ -140,6 +140,8 @@ def _requests(contexts: int, parts: int, counts: bool):
                 ends = np.searchsorted(part[order], np.arange(parts + 1))
                 out = []
                 for p in np.flatnonzero(np.diff(ends)):
+                    if p % turns != turn:
+                        continue
                     i = order[ends[p] : ends[p + 1]]
                     who, size = np.unique(owner[i], return_counts=True)
                     out.append((int(p), chunk.as_py(), _bin(word[who]), _bin(size.astype("<i4")), _bin(word[before[i]]), _bin(n[i]) if counts else None))
@@ -148,29 +150,58 @@ def _requests(contexts: int, parts: int, counts: bool):
     return run
 
 
-COUNTS = pa.schema([("part", pa.int32()), ("w", pa.binary()), ("sizes", pa.binary()), ("context", pa.binary()), ("n", pa.binary())])
+COUNTS = pa.schema([("part", pa.int32()), ("w", pa.binary()), ("sizes", pa.binary()), ("u", pa.binary()), ("at", pa.binary()), ("n", pa.binary())])
 
 
-def _flat(table: pa.Table):
-    """Words, the pairs' owners, words before and (where they are) counts of rows put end to end."""
-    read = lambda name, kind: np.frombuffer(b"".join(x for x in table.column(name).to_pylist() if x is not None), kind)
-    word, size = read("w", "<u8"), read("sizes", "<i4")
-    return word, np.repeat(np.arange(len(word)), size), read("context", "<u8"), read("n", "<u4").astype(np.int64)
+def _restaurants(context: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words before, by part and number, and each pair's place among them."""
+    u, at = np.unique(context, return_inverse=True)
+    order = np.argsort(part_of(u, parts), kind="stable")
+    place = np.empty(len(u), np.int64)
+    place[order] = np.arange(len(u))
+    return u[order], place[at]
+
+
+def _merge(parts: int):
+    """The counts of a part over all chunks, by word, class and word before."""
+
+    def run(table):
+        read = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+        w, sizes, context, n = read("w", "<u8"), read("sizes", "<i4"), read("context", "<u8"), read("n", "<u4")
+        word, at = np.unique(w, return_inverse=True)
+        own = np.repeat(at, sizes)
+        order = np.lexsort((context, context & CLASS, own))
+        own, context, n = own[order], context[order], n[order]
+        head = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (context[1:] != context[:-1])))
+        total = np.add.reduceat(n.astype(np.uint64), head)
+        u, place = _restaurants(context[head], parts)
+        size = np.bincount(own[head], minlength=len(word))
+        pack = zstandard.ZstdCompressor(level=1).compress
+        return _rows(COUNTS, [(table.column("part")[0].as_py(), _bin(word), pack(_bin(size.astype("<i4"))), _bin(u), _bin(place.astype("<u4")), pack(_bin(total)))])
+
+    return run
+
 
+class Counts:
+    """A part's pairs: words, each pair's word, place of its restaurant in u, and customers. ends: where each part's restaurants lie in u."""
 
-def _merge(table: pa.Table) -> pa.Table:
-    """The counts of a part over all chunks, by word and word before."""
-    w, owner, context, n = _flat(table)
-    word, at = np.unique(w, return_inverse=True)
-    own = at[owner]
-    order = np.lexsort((context, own))
-    own, context, n = own[order], context[order], n[order]
-    new = np.ones(len(n), bool)
-    new[1:] = (own[1:] != own[:-1]) | (context[1:] != context[:-1])
-    head = np.flatnonzero(new)
-    total = np.minimum(np.add.reduceat(n, head), 0xFFFFFFFF)
-    size = np.bincount(own[head], minlength=len(word))
-    return _rows(COUNTS, [(table.column("part")[0].as_py(), _bin(word), _bin(size.astype("<i4")), _bin(context[head]), _bin(total.astype("<u4")))])
+    def __init__(self, table: pa.Table, parts: int):
+        row = table.to_pylist()[0]
+        unpack = zstandard.ZstdDecompressor().decompress
+        self.part = row["part"]
+        self.word, self.u = np.frombuffer(row["w"], "<u8"), np.frombuffer(row["u"], "<u8")
+        self.at = np.frombuffer(row["at"], "<u4").astype(np.int64)
+        self.n = np.frombuffer(unpack(row["n"]), "<u8").astype(np.int64)
+        self.owner = np.repeat(np.arange(len(self.word)), np.frombuffer(unpack(row["sizes"]), "<i4"))
+        self.ends = np.searchsorted(part_of(self.u, parts), np.arange(parts + 1))
+        has = np.zeros(len(self.u), bool)
+        has[self.at[self.n > 1]] = True
+        self.moving = np.flatnonzero(has)  # restaurants whose tables may change
+        self.moving_ends = np.searchsorted(self.moving, self.ends)
+
+    @property
+    def context(self) -> np.ndarray:
+        return self.u[self.at]
 
 
 class Totals:
@@ -210,10 +241,13 @@ class Model:
         return out
 
     def sweep(self, sweep: int, word, owner, context, n, tables) -> np.ndarray:
+        """A single customer has one table; only the others are seated."""
         t = self.sweeps[sweep]
-        own = np.bincount(owner, tables, len(word))[owner] - tables
-        rng = Draws(word[owner] ^ textkit.mix(context.astype(np.uint64), sweep + 1))
-        return self._reseat(n, self.base(t, own), t.tables[context] - tables, rng)
+        out, i = np.ones(len(n), np.int64), np.flatnonzero(n > 1)
+        own = np.bincount(owner, tables, len(word))[owner[i]] - tables[i]
+        rng = Draws(word[owner[i]] ^ textkit.mix(context[i].astype(np.uint64), sweep + 1))
+        out[i] = self._reseat(n[i], self.base(t, own), t.tables[context[i]] - tables[i], rng)
+        return out
 
     def _reseat(self, n, p0, others, rng):
         order = np.argsort(-n, kind="stable")
@@ -241,21 +275,31 @@ class Pairs:
 
     def seat(self, word, owner, context, n, links: list[np.ndarray]):
         """The class entries (their words, classes, and each pair's entry), and at the start and after each sweep
-        tables by pair, customers and tables by entry. links: by sweep, the tables of each pair's restaurant before it."""
-        cls, up = (context & CLASS).astype(np.int64), self.upper
-        entry, at = np.unique(owner * 512 + cls, return_inverse=True)
+        tables by pair, customers and tables by entry. links: by sweep, the tables of each pair's restaurant before it.
+        A single customer has one table, whatever is drawn: only pairs of several are seated."""
+        up, many = self.upper, np.flatnonzero(n > 1)
+        cls = (context & CLASS).astype(np.int64)
+        key = owner * 512 + cls
+        if (key[1:] >= key[:-1]).all():
+            new = np.append(True, key[1:] != key[:-1])[: len(key)]
+            entry, at = key[new], np.cumsum(new) - 1
+        else:
+            entry, at = np.unique(key, return_inverse=True)
         k_owner, k_cls = entry // 512, entry % 512
+        own, mat, mcls, size = owner[many], at[many], cls[many], n[many]
+        seed, before = word[own], context[many]
         count = lambda t: np.bincount(at, t, len(entry)).astype(np.int64)
         t, tk = np.ones(len(n), np.int64), np.ones(len(entry), np.int64)
         nk = count(t)
         out = [(t, nk, tk)]
         for sweep, tables in enumerate(links):
-            totals = up.sweeps[sweep]
-            alone = nk[at] == t  # without this pair the class has no such dish
-            others = np.where(alone, 0, np.maximum(nk[at] - t - up.d * tk[at], 0))
-            c0 = np.bincount(k_owner, tk, len(word))[owner] - np.where(alone, tk[at], 0)
-            p = others / (up.theta + totals.customers[cls]) + up.back(totals)[cls] * up.base(totals, c0)
-            t = self.own._reseat(n, p, tables - t, Draws(word[owner] ^ textkit.mix(context, sweep + 1)))
+            totals, tm = up.sweeps[sweep], t[many]
+            alone = nk[mat] == tm  # without this pair the class has no such dish
+            others = np.where(alone, 0, np.maximum(nk[mat] - tm - up.d * tk[mat], 0))
+            c0 = np.bincount(k_owner, tk, len(word))[own] - np.where(alone, tk[mat], 0)
+            p = others / (up.theta + totals.customers[mcls]) + up.back(totals)[mcls] * up.base(totals, c0)
+            t = t.copy()
+            t[many] = self.own._reseat(size, p, tables[many] - tm, Draws(seed ^ textkit.mix(before, sweep + 1)))
             nk = count(t)
             tk = up.sweep(sweep, word, k_owner, k_cls, nk, tk)
             out.append((t, nk, tk))
@@ -292,43 +336,43 @@ LINK = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("sweep", pa.int
 SELF, ASKED = -2, -3  # buckets of a part's own restaurants and of chunks' questions
 
 
-def _restaurants(context: np.ndarray, parts: int):
-    """The distinct words before, by part and number, where each part starts, and each pair's place among them."""
-    u, at = np.unique(context, return_inverse=True)
-    part = part_of(u, parts)
-    order = np.argsort(part, kind="stable")
-    place = np.empty(len(u), np.int64)
-    place[order] = np.arange(len(u))
-    return u[order], np.searchsorted(part[order], np.arange(parts + 1)), place[at]
-
-
-def _links(right: pa.Table, ends: np.ndarray, upto: int) -> list[np.ndarray]:
-    """By sweep, the tables of each restaurant (in order) before it."""
-    out = [np.zeros(ends[-1], np.int64) for _ in range(upto)]
+def _links(right: pa.Table, x: Counts, upto: int) -> list[np.ndarray]:
+    """By sweep, the tables of the restaurants x.moving before it: those at the start, and what came on top."""
+    start, more = np.zeros(len(x.u), np.int64), [np.zeros(len(x.moving), np.int64) for _ in range(upto)]
     for r in right.select(["bucket", "sweep", "b"]).to_pylist():
-        if r["bucket"] >= 0 and r["sweep"] < upto:
-            out[r["sweep"]][ends[r["bucket"]] : ends[r["bucket"] + 1]] = np.frombuffer(r["b"], "<u4")
+        b, sweep = r["bucket"], r["sweep"]
+        if b >= 0 and sweep == 0:
+            start[x.ends[b] : x.ends[b + 1]] = np.frombuffer(r["b"], "<u4")
+        elif b >= 0 and sweep < upto:
+            more[sweep][x.moving_ends[b] : x.moving_ends[b + 1]] = np.frombuffer(r["b"], "<u4")
+    out = []
+    for m in more:
+        total = start.copy()
+        total[x.moving] += m
+        out.append(total[x.at])
     return out
 
 
 def _stats(model: Pairs, upto: int, contexts: int, parts: int):
-    """After the last sweep, tables by restaurant for each part, and one row (bucket -1) of counts of counts and,
-    by class, customers and tables."""
+    """After the last sweep, tables by restaurant for each part (first all, then what came on top of that where any may),
+    and one row (bucket -1) of counts of counts and, by class, customers and tables."""
 
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+    def run(key, left, right):
         if left.num_rows == 0:
             return _rows(SENT, [])
-        word, owner, context, n = _flat(left)
-        u, ends, at = _restaurants(context, parts)
-        k_owner, k_cls, _, seated = model.seat(word, owner, context, n, [x[at] for x in _links(right, ends, upto)])
+        x = Counts(left, parts)
+        k_owner, k_cls, _, seated = model.seat(x.word, x.owner, x.context, x.n, _links(right, x, upto))
         t, nk, tk = seated[-1]
-        c0 = np.bincount(k_owner, tk, len(word))
-        numbers = [*(int((x == i).sum()) for x in (n, nk, c0) for i in (1, 2)), len(word), int(n.sum())]
-        part = left.column("part")[0].as_py()
-        x = [float(i) for i in numbers] + np.bincount(k_cls, nk, contexts + 1).tolist() + np.bincount(k_cls, tk, contexts + 1).tolist()
-        total = np.bincount(at, t, len(u)).astype("<u4")
-        sent = [(part, int(b), _bin(u[ends[b] : ends[b + 1]]), _bin(total[ends[b] : ends[b + 1]]), None) for b in np.flatnonzero(np.diff(ends))]
-        return _rows(SENT, [(part, -1, None, None, x), *sent])
+        c0 = np.bincount(k_owner, tk, len(x.word))
+        numbers = [*(int((v == i).sum()) for v in (x.n, nk, c0) for i in (1, 2)), len(x.word), int(x.n.sum())]
+        facts = [float(i) for i in numbers] + np.bincount(k_cls, nk, contexts + 1).tolist() + np.bincount(k_cls, tk, contexts + 1).tolist()
+        if upto:
+            u, ends, total = x.u[x.moving], x.moving_ends, np.bincount(x.at, t - 1, len(x.u))[x.moving]
+        else:
+            u, ends, total = x.u, x.ends, np.bincount(x.at, minlength=len(x.u))
+        total = total.astype("<u4")
+        sent = [(x.part, int(b), _bin(u[ends[b] : ends[b + 1]]), _bin(total[ends[b] : ends[b + 1]]), None) for b in np.flatnonzero(np.diff(ends))]
+        return _rows(SENT, [(x.part, -1, None, None, facts), *sent])
 
     return run
 
@@ -336,7 +380,7 @@ def _stats(model: Pairs, upto: int, contexts: int, parts: int):
 def _totals(sweep: int):
     """Tables of a bucket's restaurants added up: in the order in which each part sent them, and once for the bucket itself."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(table):
         sent = table.to_pylist()
         each = [np.frombuffer(r["a"], "<u8") for r in sent]
         u, at = np.unique(np.concatenate(each), return_inverse=True)
@@ -367,20 +411,25 @@ def _answers(model: Pairs, sweeps: int, keep: int, parts: int):
     unseen = np.array([up.base(t, np.zeros(1))[0] for t in kept])
     back = np.stack([up.back(t) for t in kept], axis=1)
 
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        word, owner, context, n = _flat(left)
-        u, ends, at = _restaurants(context, parts)
-        k_owner, k_cls, _, seated = model.seat(word, owner, context, n, [x[at] for x in _links(right, ends, sweeps)])
-        seated = seated[-keep:]
-        c = np.bincount(owner, n, len(word))
-        own = np.mean([np.maximum(n - model.own.d * t, 0) for t, _, _ in seated], axis=0)
-        k_own = np.stack([np.maximum(nk - up.d * tk, 0) / (up.theta + x.customers[k_cls]) for (_, nk, tk), x in zip(seated, kept, strict=True)], axis=1)
-        p0 = np.stack([up.base(x, np.bincount(k_owner, tk, len(word))) for (_, _, tk), x in zip(seated, kept, strict=True)], axis=1)
-        name = textkit.mix(context ^ textkit.mix(word[owner], 0x3A), 0x3B)
+    def run(key, left, right):
+        if left.num_rows:
+            x = Counts(left, parts)
+            word, context, owner = x.word, x.context, x.owner
+            k_owner, k_cls, _, seated = model.seat(x.word, x.owner, x.context, x.n, _links(right, x, sweeps))
+            seated = seated[-keep:]
+            c = np.bincount(owner, x.n, len(word))
+            own = np.mean([np.maximum(x.n - model.own.d * t, 0) for t, _, _ in seated], axis=0)
+            k_own = np.stack([np.maximum(nk - up.d * tk, 0) / (up.theta + v.customers[k_cls]) for (_, nk, tk), v in zip(seated, kept, strict=True)], axis=1)
+            p0 = np.stack([up.base(v, np.bincount(k_owner, tk, len(word))) for (_, _, tk), v in zip(seated, kept, strict=True)], axis=1)
+        else:  # no word of this part was learnt
+            word, context, owner = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            k_owner, k_cls, c, own, k_own, p0 = owner, owner, np.zeros(0), np.zeros(0), np.zeros((0, keep)), np.zeros((0, keep))
+        name = textkit.mix(context ^ textkit.mix(word, 0x3A)[owner], 0x3B)
         order = np.argsort(name)
         name, own = name[order], own[order]
         entry = k_owner * 512 + k_cls
         mine = {r["sweep"]: (np.frombuffer(r["a"], "<u8"), np.frombuffer(r["b"], "<u4")) for r in right.filter(pa.compute.equal(right.column("bucket"), SELF)).to_pylist()}
+        nothing = (np.zeros(0, np.uint64), np.zeros(0))
         out = []
         for r in right.filter(pa.compute.equal(right.column("bucket"), ASKED)).to_pylist():
             w, size, asked = np.frombuffer(r["a"], "<u8"), np.frombuffer(r["b"], "<i4"), np.frombuffer(r["d"], "<u8")
@@ -390,9 +439,10 @@ def _answers(model: Pairs, sweeps: int, keep: int, parts: int):
             count[known], root[known] = c[i[known]], p0[i[known]]
             tables = np.zeros((len(w), keep), "<f4")
             for k in range(keep):
-                have, total = mine.get(sweeps - keep + 1 + k, (np.zeros(0, np.uint64), np.zeros(0)))
-                j, there = _find(have, w)
-                tables[there, k] = total[j[there]]
+                for sweep in (0, sweeps - keep + 1 + k):
+                    have, total = mine.get(sweep, nothing)
+                    j, there = _find(have, w)
+                    tables[there, k] += total[j[there]]
             j, there = _find(name, textkit.mix(asked ^ textkit.mix(w[who], 0x3A), 0x3B))
             pair = np.zeros(len(asked), "<f4")
             pair[there] = own[j[there]]
@@ -411,7 +461,7 @@ def _answers(model: Pairs, sweeps: int, keep: int, parts: int):
 def _score(model: Pairs, keep: int, contexts: int, parts: int, n_train: int, n_types: int, kind: pa.DataType):
     d, theta = model.own.d, model.own.theta
 
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+    def run(key, left, right):
         done = []
         answers = right.to_pylist()
         for blob in left.column("blob"):
@@ -477,12 +527,14 @@ def score_texts(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: s
     del dealt  # a frame that is held keeps its shuffle files
     scratch.release(spark)
     ask = "part int, chunk long, w binary, sizes binary, context binary, n binary"
-    said = chunks.mapInArrow(_requests(contexts, parts, True), ask).repartition(parts, "part").groupBy("part").applyInArrow(_merge, "part int, w binary, sizes binary, context binary, n binary")
     name = scratch.table(spark, "counts")  # bucketed by part: totals and questions come to the counts
-    said.write.bucketBy(parts, "part").option("compression", "uncompressed").saveAsTable(name)
+    for turn in range(COUNT_TURNS):
+        said = chunks.mapInArrow(_requests(contexts, parts, True, turn, COUNT_TURNS), ask).repartition(parts, "part").groupBy("part")
+        said = said.applyInArrow(_merge(parts), "part int, w binary, sizes binary, u binary, at binary, n binary")
+        said.write.mode("append" if turn else "errorifexists").bucketBy(parts, "part").option("compression", "uncompressed").saveAsTable(name)
+        del said
+        scratch.release(spark)
     counts = spark.table(name).groupBy("part")
-    del said
-    scratch.release(spark)
 
     rate = lambda a, b: min(0.95, max(0.05, (a + 0.5) / (a + 2 * b + 1.0)))
     links = spark.createDataFrame([], LINKS)
