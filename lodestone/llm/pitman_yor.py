@@ -37,7 +37,7 @@ END = np.uint64(0xE0D0F7E875A11CE5)
 CLASS = np.uint64(511)
 LINKS = "part int, bucket int, sweep int, a binary, b binary, chunk long, d binary"
 CHUNK_BYTES = 9 << 20
-COUNT_TURNS, TURNS = 2, 5  # in which parts are told their counts, and chunks ask and are answered: what is on disk at a time
+TURNS = 5  # in which chunks ask and are answered, so that a fifth of the pairs is on disk at a time
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray, contexts: int):
@@ -71,6 +71,14 @@ def _bin(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values).tobytes()
 
 
+def _zip(values: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(_bin(values))
+
+
+def _unzip(data: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+
+
 def _rows(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
 
@@ -120,8 +128,8 @@ def _asked(table: pa.Table, contexts: int):
 ASK = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("w", pa.binary()), ("sizes", pa.binary()), ("context", pa.binary()), ("n", pa.binary())])
 
 
-def _requests(contexts: int, parts: int, counts: bool, turn: int = 0, turns: int = 1):
-    """One row by chunk and part (of those of the turn): its words there, their numbers of pairs, the words before, and
+def _requests(contexts: int, parts: int, counts: bool):
+    """One row by chunk and part: its words there, their numbers of pairs, the words before, and
     training counts (of all that have any) or none (of all)."""
 
     def run(batches):
@@ -140,10 +148,9 @@ def _requests(contexts: int, parts: int, counts: bool, turn: int = 0, turns: int
                 ends = np.searchsorted(part[order], np.arange(parts + 1))
                 out = []
                 for p in np.flatnonzero(np.diff(ends)):
-                    if p % turns != turn:
-                        continue
                     i = order[ends[p] : ends[p + 1]]
-                    who, size = np.unique(owner[i], return_counts=True)
+                    head = np.flatnonzero(np.append(True, owner[i[1:]] != owner[i[:-1]]))
+                    who, size = owner[i[head]], np.diff(np.append(head, len(i)))
                     out.append((int(p), chunk.as_py(), _bin(word[who]), _bin(size.astype("<i4")), _bin(word[before[i]]), _bin(n[i]) if counts else None))
                 yield from _rows(ASK, out).to_batches()
 
@@ -176,8 +183,7 @@ def _merge(parts: int):
         total = np.add.reduceat(n.astype(np.uint64), head)
         u, place = _restaurants(context[head], parts)
         size = np.bincount(own[head], minlength=len(word))
-        pack = zstandard.ZstdCompressor(level=1).compress
-        return _rows(COUNTS, [(table.column("part")[0].as_py(), _bin(word), pack(_bin(size.astype("<i4"))), _bin(u), _bin(place.astype("<u4")), pack(_bin(total)))])
+        return _rows(COUNTS, [(table.column("part")[0].as_py(), _bin(word), _zip(size.astype("<i4")), _bin(u), _bin(place.astype("<u4")), _zip(total))])
 
     return run
 
@@ -187,12 +193,11 @@ class Counts:
 
     def __init__(self, table: pa.Table, parts: int):
         row = table.to_pylist()[0]
-        unpack = zstandard.ZstdDecompressor().decompress
         self.part = row["part"]
         self.word, self.u = np.frombuffer(row["w"], "<u8"), np.frombuffer(row["u"], "<u8")
         self.at = np.frombuffer(row["at"], "<u4").astype(np.int64)
-        self.n = np.frombuffer(unpack(row["n"]), "<u8").astype(np.int64)
-        self.owner = np.repeat(np.arange(len(self.word)), np.frombuffer(unpack(row["sizes"]), "<i4"))
+        self.n = _unzip(row["n"], "<u8").astype(np.int64)
+        self.owner = np.repeat(np.arange(len(self.word)), _unzip(row["sizes"], "<i4"))
         self.ends = np.searchsorted(part_of(self.u, parts), np.arange(parts + 1))
         has = np.zeros(len(self.u), bool)
         has[self.at[self.n > 1]] = True
@@ -273,37 +278,43 @@ class Pairs:
     def __init__(self, d: float, upper: Model):
         self.own, self.upper = Model(d), upper
 
-    def seat(self, word, owner, context, n, links: list[np.ndarray]):
-        """The class entries (their words, classes, and each pair's entry), and at the start and after each sweep
-        tables by pair, customers and tables by entry. links: by sweep, the tables of each pair's restaurant before it.
-        A single customer has one table, whatever is drawn: only pairs of several are seated."""
-        up, many = self.upper, np.flatnonzero(n > 1)
-        cls = (context & CLASS).astype(np.int64)
-        key = owner * 512 + cls
+    def entries(self, owner, context):
+        """The class entries (their words and classes) and each pair's entry."""
+        key = owner * 512 + (context & CLASS).astype(np.int64)
         if (key[1:] >= key[:-1]).all():
             new = np.append(True, key[1:] != key[:-1])[: len(key)]
             entry, at = key[new], np.cumsum(new) - 1
         else:
             entry, at = np.unique(key, return_inverse=True)
-        k_owner, k_cls = entry // 512, entry % 512
-        own, mat, mcls, size = owner[many], at[many], cls[many], n[many]
-        seed, before = word[own], context[many]
-        count = lambda t: np.bincount(at, t, len(entry)).astype(np.int64)
-        t, tk = np.ones(len(n), np.int64), np.ones(len(entry), np.int64)
-        nk = count(t)
-        out = [(t, nk, tk)]
+        return entry // 512, entry % 512, at
+
+    def step(self, word, owner, context, n, entries, t, tk, sweep: int, tables):
+        """One sweep: tables by pair, customers and tables by entry. tables: of each pair's restaurant before it.
+        A single customer has one table, whatever is drawn: only pairs of several are seated."""
+        k_owner, k_cls, at = entries
+        up, totals, many = self.upper, self.upper.sweeps[sweep], np.flatnonzero(n > 1)
+        own, mat, tm = owner[many], at[many], t[many]
+        mcls = k_cls[mat]
+        nk = np.bincount(at, t, len(k_owner)).astype(np.int64)
+        alone = nk[mat] == tm  # without this pair the class has no such dish
+        others = np.where(alone, 0, np.maximum(nk[mat] - tm - up.d * tk[mat], 0))
+        c0 = np.bincount(k_owner, tk, len(word))[own] - np.where(alone, tk[mat], 0)
+        p = others / (up.theta + totals.customers[mcls]) + up.back(totals)[mcls] * up.base(totals, c0)
+        t = t.copy()
+        t[many] = self.own._reseat(n[many], p, tables[many] - tm, Draws(word[own] ^ textkit.mix(context[many], sweep + 1)))
+        nk = np.bincount(at, t, len(k_owner)).astype(np.int64)
+        return t, nk, up.sweep(sweep, word, k_owner, k_cls, nk, tk)
+
+    def seat(self, word, owner, context, n, links: list[np.ndarray]):
+        """The class entries (their words, classes, and each pair's entry), and at the start and after each sweep
+        tables by pair, customers and tables by entry. links: by sweep, the tables of each pair's restaurant before it."""
+        entries = self.entries(owner, context)
+        t, tk = np.ones(len(n), np.int64), np.ones(len(entries[0]), np.int64)
+        out = [(t, np.bincount(entries[2], t, len(tk)).astype(np.int64), tk)]
         for sweep, tables in enumerate(links):
-            totals, tm = up.sweeps[sweep], t[many]
-            alone = nk[mat] == tm  # without this pair the class has no such dish
-            others = np.where(alone, 0, np.maximum(nk[mat] - tm - up.d * tk[mat], 0))
-            c0 = np.bincount(k_owner, tk, len(word))[own] - np.where(alone, tk[mat], 0)
-            p = others / (up.theta + totals.customers[mcls]) + up.back(totals)[mcls] * up.base(totals, c0)
-            t = t.copy()
-            t[many] = self.own._reseat(size, p, tables[many] - tm, Draws(seed ^ textkit.mix(before, sweep + 1)))
-            nk = count(t)
-            tk = up.sweep(sweep, word, k_owner, k_cls, nk, tk)
+            t, nk, tk = self.step(word, owner, context, n, entries, t, tk, sweep, tables)
             out.append((t, nk, tk))
-        return k_owner, k_cls, at, out
+        return *entries, out
 
 
 class Draws:
@@ -333,36 +344,46 @@ class Draws:
 
 SENT = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("x", pa.list_(pa.float64()))])
 LINK = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("sweep", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("chunk", pa.int64()), ("d", pa.binary())])
-SELF, ASKED = -2, -3  # buckets of a part's own restaurants and of chunks' questions
+SELF, ASKED, STATE = -2, -3, -4  # buckets of a part's own restaurants, of chunks' questions, and of how a part's customers sit
 
 
-def _links(right: pa.Table, x: Counts, upto: int) -> list[np.ndarray]:
-    """By sweep, the tables of the restaurants x.moving before it: those at the start, and what came on top."""
-    start, more = np.zeros(len(x.u), np.int64), [np.zeros(len(x.moving), np.int64) for _ in range(upto)]
+def _links(right: pa.Table, x: Counts, sweep: int) -> np.ndarray:
+    """The tables of each pair's restaurant before a sweep: those at the start, and what came on top."""
+    total, more = np.zeros(len(x.u), np.int64), np.zeros(len(x.moving), np.int64)
     for r in right.select(["bucket", "sweep", "b"]).to_pylist():
-        b, sweep = r["bucket"], r["sweep"]
-        if b >= 0 and sweep == 0:
-            start[x.ends[b] : x.ends[b + 1]] = np.frombuffer(r["b"], "<u4")
-        elif b >= 0 and sweep < upto:
-            more[sweep][x.moving_ends[b] : x.moving_ends[b + 1]] = np.frombuffer(r["b"], "<u4")
-    out = []
-    for m in more:
-        total = start.copy()
-        total[x.moving] += m
-        out.append(total[x.at])
-    return out
+        b = r["bucket"]
+        if b >= 0 and r["sweep"] == 0:
+            total[x.ends[b] : x.ends[b + 1]] = np.frombuffer(r["b"], "<u4")
+        elif b >= 0 and r["sweep"] == sweep:
+            more[x.moving_ends[b] : x.moving_ends[b + 1]] = np.frombuffer(r["b"], "<u4")
+    total[x.moving] += more
+    return total[x.at]
+
+
+def _state(right: pa.Table, x: Counts, sweep: int, entries: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tables by pair and by entry after a sweep; before the first, one each."""
+    t, tk = np.ones(len(x.n), np.int64), np.ones(entries, np.int64)
+    for r in right.filter(pa.compute.equal(right.column("bucket"), STATE)).to_pylist():
+        if r["sweep"] == sweep:
+            t[x.n > 1], tk[:] = _unzip(r["a"], "<u4"), _unzip(r["b"], "<u4")
+    return t, tk
 
 
 def _stats(model: Pairs, upto: int, contexts: int, parts: int):
-    """After the last sweep, tables by restaurant for each part (first all, then what came on top of that where any may),
-    and one row (bucket -1) of counts of counts and, by class, customers and tables."""
+    """The last sweep: how customers sit, tables by restaurant for each part (first all, then what came on top of that
+    where any may), and one row (bucket -1) of counts of counts and, by class, customers and tables."""
 
     def run(key, left, right):
         if left.num_rows == 0:
             return _rows(SENT, [])
         x = Counts(left, parts)
-        k_owner, k_cls, _, seated = model.seat(x.word, x.owner, x.context, x.n, _links(right, x, upto))
-        t, nk, tk = seated[-1]
+        context = x.context
+        entries = model.entries(x.owner, context)
+        k_owner, k_cls, at = entries
+        t, tk = _state(right, x, upto - 1, len(k_owner))
+        nk = np.bincount(at, t, len(tk)).astype(np.int64)
+        if upto:
+            t, nk, tk = model.step(x.word, x.owner, context, x.n, entries, t, tk, upto - 1, _links(right, x, upto - 1))
         c0 = np.bincount(k_owner, tk, len(x.word))
         numbers = [*(int((v == i).sum()) for v in (x.n, nk, c0) for i in (1, 2)), len(x.word), int(x.n.sum())]
         facts = [float(i) for i in numbers] + np.bincount(k_cls, nk, contexts + 1).tolist() + np.bincount(k_cls, tk, contexts + 1).tolist()
@@ -372,11 +393,19 @@ def _stats(model: Pairs, upto: int, contexts: int, parts: int):
             u, ends, total = x.u, x.ends, np.bincount(x.at, minlength=len(x.u))
         total = total.astype("<u4")
         sent = [(x.part, int(b), _bin(u[ends[b] : ends[b + 1]]), _bin(total[ends[b] : ends[b + 1]]), None) for b in np.flatnonzero(np.diff(ends))]
-        return _rows(SENT, [(x.part, -1, None, None, facts), *sent])
+        state = (x.part, STATE, _zip(t[x.n > 1].astype("<u4")), _zip(tk.astype("<u4")), None)
+        return _rows(SENT, [(x.part, -1, None, None, facts), state, *sent])
 
     return run
 
 
+def _add(table):
+    """The sum of the lists of a group of parts."""
+    x = table.column("x").combine_chunks()
+    total = np.asarray(x.flatten()).reshape(len(x), -1).sum(axis=0)
+    return pa.table({"x": pa.array([total.tolist()], pa.list_(pa.float64()))})
+
+
 def _totals(sweep: int):
     """Tables of a bucket's restaurants added up: in the order in which each part sent them, and once for the bucket itself."""
 
@@ -404,6 +433,55 @@ def _find(have: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return i, have[i] == want
 
 
+FINAL = pa.schema([("part", pa.int32()), *((c, pa.binary()) for c in ("w", "c", "sizes", "cls", "nk", "tk", "one", "many", "n", "t", "u", "tables"))])
+
+
+def _name(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """A pair by 48 bits: its part's pairs are few beside that."""
+    return textkit.mix(context ^ textkit.mix(word, 0x3A), 0x3B) & np.uint64((1 << 48) - 1)
+
+
+def _six(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _unsix(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return wide.view("<u8").reshape(-1)
+
+
+def _final(model: Pairs, sweeps: int, keep: int, parts: int):
+    """What answers need of a part: its words and entries, names of its pairs (of one customer, and of several with
+    theirs), and tables of its words as restaurants, in the sweeps that are kept."""
+
+    def run(key, left, right):
+        if left.num_rows == 0:
+            return _rows(FINAL, [])
+        x = Counts(left, parts)
+        context = x.context
+        k_owner, k_cls, at = model.entries(x.owner, context)
+        states = [_state(right, x, s, len(k_owner)) for s in range(sweeps - keep + 1, sweeps + 1)]
+        name = _name(context, x.word[x.owner])
+        one, many = name[x.n == 1], np.flatnonzero(x.n > 1)
+        one.sort()
+        many = many[np.argsort(name[many])]
+        mine = {r["sweep"]: (np.frombuffer(r["a"], "<u8"), np.frombuffer(r["b"], "<u4")) for r in right.filter(pa.compute.equal(right.column("bucket"), SELF)).to_pylist()}
+        u, start = mine.get(0, (np.zeros(0, np.uint64), np.zeros(0, "<u4")))
+        tables = np.tile(start.astype("<u4"), (keep, 1))
+        for k in range(keep):
+            have, more = mine.get(sweeps - keep + 1 + k, (u[:0], start[:0]))
+            tables[k, np.searchsorted(u, have)] += more
+        nk = np.stack([np.bincount(at, t, len(k_owner)) for t, _ in states]).astype("<u4")
+        row = (
+            x.part, _bin(x.word), _zip(np.bincount(x.owner, x.n, len(x.word)).astype("<u8")), _zip(np.bincount(k_owner, minlength=len(x.word)).astype("<u4")), _zip(k_cls.astype("<u2")),
+            _zip(nk), _zip(np.stack([tk for _, tk in states]).astype("<u4")), _six(one), _six(name[many]), _zip(x.n[many].astype("<u8")), _zip(np.stack([t[many] for t, _ in states]).astype("<u4")), _bin(u), _zip(tables),
+        )
+        return _rows(FINAL, [row])
+
+    return run
+
+
 def _answers(model: Pairs, sweeps: int, keep: int, parts: int):
     """To each question of a chunk: of its words the counts and, as words before, the tables by sample; of its pairs
     what their restaurants hold themselves; of its (word, class) entries the class's probability by sample."""
@@ -413,23 +491,21 @@ def _answers(model: Pairs, sweeps: int, keep: int, parts: int):
 
     def run(key, left, right):
         if left.num_rows:
-            x = Counts(left, parts)
-            word, context, owner = x.word, x.context, x.owner
-            k_owner, k_cls, _, seated = model.seat(x.word, x.owner, x.context, x.n, _links(right, x, sweeps))
-            seated = seated[-keep:]
-            c = np.bincount(owner, x.n, len(word))
-            own = np.mean([np.maximum(x.n - model.own.d * t, 0) for t, _, _ in seated], axis=0)
-            k_own = np.stack([np.maximum(nk - up.d * tk, 0) / (up.theta + v.customers[k_cls]) for (_, nk, tk), v in zip(seated, kept, strict=True)], axis=1)
-            p0 = np.stack([up.base(v, np.bincount(k_owner, tk, len(word))) for (_, _, tk), v in zip(seated, kept, strict=True)], axis=1)
+            r = left.to_pylist()[0]
+            word, one, many = np.frombuffer(r["w"], "<u8"), _unsix(r["one"]), _unsix(r["many"])
+            c, k_cls = _unzip(r["c"], "<u8").astype(np.float64), _unzip(r["cls"], "<u2").astype(np.int64)
+            k_owner = np.repeat(np.arange(len(word)), _unzip(r["sizes"], "<u4"))
+            nk, tk = (_unzip(r[x], "<u4").reshape(keep, -1) for x in ("nk", "tk"))
+            n, t = _unzip(r["n"], "<u8").astype(np.float64), _unzip(r["t"], "<u4").reshape(keep, -1)
+            u, u_tables = np.frombuffer(r["u"], "<u8"), _unzip(r["tables"], "<u4").reshape(keep, -1)
         else:  # no word of this part was learnt
-            word, context, owner = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-            k_owner, k_cls, c, own, k_own, p0 = owner, owner, np.zeros(0), np.zeros(0), np.zeros((0, keep)), np.zeros((0, keep))
-        name = textkit.mix(context ^ textkit.mix(word, 0x3A)[owner], 0x3B)
-        order = np.argsort(name)
-        name, own = name[order], own[order]
+            word = one = many = u = np.zeros(0, np.uint64)
+            c, n, k_owner, k_cls = np.zeros(0), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            nk = tk = t = u_tables = np.zeros((keep, 0), np.int64)
+        own = np.maximum(n - model.own.d * t, 0).mean(axis=0)
+        k_own = np.stack([np.maximum(nk[i] - up.d * tk[i], 0) / (up.theta + v.customers[k_cls]) for i, v in enumerate(kept)], axis=1)
+        p0 = np.stack([up.base(v, np.bincount(k_owner, tk[i], len(word))) for i, v in enumerate(kept)], axis=1)
         entry = k_owner * 512 + k_cls
-        mine = {r["sweep"]: (np.frombuffer(r["a"], "<u8"), np.frombuffer(r["b"], "<u4")) for r in right.filter(pa.compute.equal(right.column("bucket"), SELF)).to_pylist()}
-        nothing = (np.zeros(0, np.uint64), np.zeros(0))
         out = []
         for r in right.filter(pa.compute.equal(right.column("bucket"), ASKED)).to_pylist():
             w, size, asked = np.frombuffer(r["a"], "<u8"), np.frombuffer(r["b"], "<i4"), np.frombuffer(r["d"], "<u8")
@@ -438,13 +514,11 @@ def _answers(model: Pairs, sweeps: int, keep: int, parts: int):
             count, root = np.zeros(len(w)), np.tile(unseen, (len(w), 1))
             count[known], root[known] = c[i[known]], p0[i[known]]
             tables = np.zeros((len(w), keep), "<f4")
-            for k in range(keep):
-                for sweep in (0, sweeps - keep + 1 + k):
-                    have, total = mine.get(sweep, nothing)
-                    j, there = _find(have, w)
-                    tables[there, k] += total[j[there]]
-            j, there = _find(name, textkit.mix(asked ^ textkit.mix(w[who], 0x3A), 0x3B))
-            pair = np.zeros(len(asked), "<f4")
+            j, there = _find(u, w)
+            tables[there] = u_tables[:, j[there]].T
+            name = _name(asked, w[who])
+            pair = np.where(_find(one, name)[1], 1 - model.own.d, 0).astype("<f4")
+            j, there = _find(many, name)
             pair[there] = own[j[there]]
             ask = np.unique(who * 512 + (asked & CLASS).astype(np.int64))
             a, cls = ask // 512, ask % 512
@@ -528,12 +602,12 @@ def score_texts(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: s
     scratch.release(spark)
     ask = "part int, chunk long, w binary, sizes binary, context binary, n binary"
     name = scratch.table(spark, "counts")  # bucketed by part: totals and questions come to the counts
-    for turn in range(COUNT_TURNS):
-        said = chunks.mapInArrow(_requests(contexts, parts, True, turn, COUNT_TURNS), ask).repartition(parts, "part").groupBy("part")
-        said = said.applyInArrow(_merge(parts), "part int, w binary, sizes binary, u binary, at binary, n binary")
-        said.write.mode("append" if turn else "errorifexists").bucketBy(parts, "part").option("compression", "uncompressed").saveAsTable(name)
-        del said
-        scratch.release(spark)
+    said = chunks.mapInArrow(_requests(contexts, parts, True), ask).repartition(parts, "part").groupBy("part")
+    said = said.applyInArrow(_merge(parts), "part int, w binary, sizes binary, u binary, at binary, n binary")
+    said.write.bucketBy(parts, "part").option("compression", "uncompressed").saveAsTable(name)
+    del said
+    scratch.release(spark)
+    counted = name
     counts = spark.table(name).groupBy("part")
 
     rate = lambda a, b: min(0.95, max(0.05, (a + 0.5) / (a + 2 * b + 1.0)))
@@ -544,26 +618,34 @@ def score_texts(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: s
         path = scratch.folder(spark, f"lm-sent-{sweep}")
         sent.write.option("compression", "zstd").parquet(path)
         sent = spark.read.schema(sent.schema).parquet(path)
+        facts = sent.where("bucket = -1").select("x", F.pmod("part", F.lit(16)).alias("k")).groupBy("k").applyInArrow(_add, "x array<double>")
         x = np.zeros(8 + 2 * (contexts + 1))
-        for r in sent.where("bucket = -1").select(F.posexplode("x")).groupBy("pos").agg(F.sum("col").alias("s")).collect():
-            x[r["pos"]] = r["s"]
+        for r in facts.collect():
+            x += np.array(r["x"])
         if sweep == 0:
             model, n_types, n_train = Pairs(rate(x[0], x[1]), Model(rate(x[2], x[3]))), int(x[6]), int(x[7])
         model.upper.sweeps.append(Totals(x[8 : 9 + contexts].copy(), x[9 + contexts :].copy(), n_types, rate(x[4], x[5])))
         totals = sent.where("bucket >= 0").groupBy("bucket").applyInArrow(_totals(sweep), LINKS)
-        links = links.unionByName(scratch.write(totals, f"lm-totals-{sweep}"))
+        state = sent.where(F.col("bucket") == STATE).select("part", "bucket", F.lit(sweep).alias("sweep"), "a", "b", F.lit(None).cast("long").alias("chunk"), F.lit(None).cast("binary").alias("d"))
+        links = links.unionByName(scratch.write(totals.unionByName(state), f"lm-totals-{sweep}"))
         scratch.remove(spark, path)
-        del sent, totals
+        del sent, totals, state, facts
         scratch.release(spark)
 
     out = T.StructType([*(T.StructField(c, base.schema[c].dataType) for c in ("id", "train")), *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
     score = _score(model, keep, contexts, parts, n_train, n_types, to_arrow_type(kind))
+    name = scratch.table(spark, "model")
+    final = counts.cogroup(links.groupBy("part")).applyInArrow(_final(model, sweeps, keep, parts), ", ".join(f"{f.name} {'int' if f.name == 'part' else 'binary'}" for f in FINAL))
+    final.write.bucketBy(parts, "part").option("compression", "uncompressed").saveAsTable(name)
+    spark.sql(f"DROP TABLE {counted}")
+    final = spark.table(name).groupBy("part")
+    scratch.release(spark)
     turns = []
     for turn in range(TURNS):
         mine = chunks.where(F.pmod(F.xxhash64("chunk"), F.lit(TURNS)) == turn)
         asked = mine.mapInArrow(_requests(contexts, parts, False), ask)
         asked = asked.select("part", F.lit(ASKED).alias("bucket"), F.lit(0).alias("sweep"), F.col("w").alias("a"), F.col("sizes").alias("b"), "chunk", F.col("context").alias("d"))
-        answers = counts.cogroup(links.unionByName(asked).groupBy("part")).applyInArrow(_answers(model, sweeps, keep, parts), "chunk long, part int, c binary, tables binary, own binary, parent binary")
+        answers = final.cogroup(asked.groupBy("part")).applyInArrow(_answers(model, sweeps, keep, parts), "chunk long, part int, c binary, tables binary, own binary, parent binary")
         turns.append(scratch.write(mine.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, out), f"lm-scores-{turn}"))
         del asked, answers
         scratch.release(spark)
