@@ -37,7 +37,7 @@ END = np.uint64(0xE0D0F7E875A11CE5)
 CLASS = np.uint64(511)
 LINKS = "part int, bucket int, sweep int, a binary, b binary, chunk long, d binary"
 CHUNK_BYTES = 9 << 20
-TURNS = 5  # in which chunks ask and are answered, so that a fifth of the pairs is on disk at a time
+TURNS = 4  # in which chunks ask and are answered, so that a quarter of the pairs is on disk at a time
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray, contexts: int):
