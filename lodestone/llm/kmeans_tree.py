@@ -168,7 +168,7 @@ def _walk(t: Tree, dim: int, population: np.ndarray, least: int):
 def _scan(dim: int, k: int):
     """The k best of each query in one block of a shard, over the leaves it visits there."""
 
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+    def run(key, left, right):
         kinds = {"query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.float64()}
         if left.num_rows == 0 or right.num_rows == 0:
             return pa.table({n: pa.array([], t) for n, t in kinds.items()})
@@ -179,32 +179,29 @@ def _scan(dim: int, k: int):
         ids, leaf, v = ids[order], leaf[order], v[order]
         qid, q, leaves = np.asarray(right.column("qid")), _matrix(right.column("q"), dim), right.column("leaves").combine_chunks()
         wanted, asker = np.asarray(leaves.flatten()), np.repeat(np.arange(len(qid)), np.asarray(leaves.value_lengths()))
+        take = min(k + len(ids) - len(np.unique(ids)), len(ids))  # an id of several vectors may take several places
         out = []
-        for x in np.unique(wanted):
-            a, b = np.searchsorted(leaf, [x, x + 1])
-            if a == b:
-                continue
-            rows, take = asker[wanted == x], min(k, b - a)
-            for i in range(0, len(rows), 512):
-                some = rows[i : i + 512]
-                s = q[some] @ v[a:b].T
-                s[qid[some, None] == ids[None, a:b]] = -np.inf
-                edge = np.partition(s, b - a - take, axis=1)[:, b - a - take]
-                limit = np.where(np.isfinite(edge), edge - 1e-9 * (1 + np.abs(edge)), -np.finfo(float).max)
-                for j, row in enumerate(some):
-                    near = a + np.flatnonzero(s[j] >= limit[j])
-                    exact = (v[near] * q[row]).sum(axis=1)
-                    first = np.lexsort((ids[near], -exact))[:take]
-                    out.append((np.full(len(first), row), ids[near][first], exact[first]))
-        if not out:
-            return pa.table({n: pa.array([], t) for n, t in kinds.items()})
-        row, vec, score = (np.concatenate(x) for x in zip(*out, strict=True))
-        order = np.lexsort((-score, vec, row))
-        order = order[np.append(True, (np.diff(vec[order]) != 0) | (np.diff(row[order]) != 0))]
-        order = order[np.lexsort((vec[order], -score[order], row[order]))]
-        row, vec, score = row[order], vec[order], score[order]
-        best = np.arange(len(row)) - np.searchsorted(row, row) < k
-        return pa.table({"query_id": qid[row[best]], "vec_id": vec[best], "score": score[best]})
+        for first in range(0, len(qid), 512):
+            mine = (asker >= first) & (asker < first + 512)
+            rows, of = asker[mine] - first, wanted[mine]
+            some, own = q[first : first + 512], qid[first : first + 512]
+            s = np.full((len(some), len(ids)), -np.inf)
+            for x in np.unique(of):
+                a, b = np.searchsorted(leaf, [x, x + 1])
+                who = rows[of == x]
+                s[who, a:b] = some[who] @ v[a:b].T
+            s[own[:, None] == ids[None]] = -np.inf
+            edge = np.partition(s, len(ids) - take, axis=1)[:, len(ids) - take]
+            limit = np.where(np.isfinite(edge), edge - 1e-9 * (1 + np.abs(edge)), -np.finfo(float).max)
+            row, at = np.nonzero(s >= limit[:, None])
+            exact = (v[at] * some[row]).sum(axis=1)
+            order = np.lexsort((-exact, ids[at], row))
+            order = order[np.append(True, (np.diff(ids[at][order]) != 0) | (np.diff(row[order]) != 0))[: len(order)]]
+            order = order[np.lexsort((ids[at][order], -exact[order], row[order]))]
+            row, at, exact = row[order], at[order], exact[order]
+            best = np.arange(len(row)) - np.searchsorted(row, row) < k
+            out.append((own[row[best]], ids[at[best]], exact[best]))
+        return pa.table(dict(zip(kinds, (np.concatenate(x) for x in zip(*out, strict=True)), strict=True)))
 
     return run
 
@@ -217,13 +214,14 @@ def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return df
 
 
-def search(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, sample: int = 32768, target: float = 0.97) -> DataFrame:
+def search(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, sample: int = 32768, target: float = 0.95) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of df with the largest inner product with each query found.
 
     Ties go to smaller ids; rows with the query's id are not its candidates. Null ids, and vectors
     that are null, empty, zero, of another length than most, or with null or non-finite components
-    take no part. Repeated rows count once. sample bounds the rows the tree is fitted on; target is
-    the recall that calibration asks for. Empty tables give no rows.
+    take no part. Repeated rows count once. sample bounds the rows the tree is fitted on, and its leaves
+    (of 16 sampled rows at least), which are all that the driver counts; target is the recall that
+    calibration asks for. Other columns are ignored, whatever their names. Empty tables give no rows.
     """
     spark = scratch.session(df)
     rows = usable(df, id_col, vec_col)
@@ -234,12 +232,12 @@ def search(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: s
     rows = rows.where(F.size("v") == dim)
     asked = usable(queries, id_col, vec_col).where(F.size("v") == dim).withColumnsRenamed({"id": "qid", "v": "q"})
     x = _matrix(rows.orderBy(F.xxhash64("id")).limit(sample).select("v").toArrow().column(0), dim)
-    tree = calibrate(build(x, max(16, len(x) // max(16, min(2048, int(np.sqrt(total)))))), x, k, target)
+    tree = calibrate(build(x, max(16, len(x) // max(16, 4 * int(np.sqrt(total))))), x, k, target)
     homed = rows.mapInArrow(_assign(tree, dim), "id long, v array<double>, leaf long")
     population = np.zeros(tree.leaves, np.int64)
-    for r in homed.groupBy("leaf").count().collect():
-        population[r["leaf"]] = r["count"]
-    shards = max(1, -(-total // SHARD))
+    for r in homed.groupBy("leaf").agg(F.countDistinct("id").alias("n")).collect():  # a row for each leaf
+        population[r["leaf"]] = r["n"]
+    shards = min(tree.leaves, max(1, -(-total // SHARD)))
     shard = lambda leaf: F.floor(leaf * shards / tree.leaves).cast("long")  # noqa: E731  siblings have neighbouring numbers
     walked = asked.mapInArrow(_walk(tree, dim, population, k + 1), "qid long, q array<double>, leaves array<long>").select("qid", "q", F.explode("leaves").alias("leaf"))
     guests = np.zeros(shards, np.int64)
