@@ -564,3 +564,6 @@ def stream_status(spark, d):
 def stream_duplicates(spark, d):
     """Ranges that brought nothing new, by file."""
     return _settled(spark, d).groupBy("file_id").agg(F.sum("n_duplicates").alias("n_duplicates"), F.count_if(F.col("disposition") == "conflict").alias("n_conflicts"))
+
+
+from . import content  # noqa: E402, F401  registers its queries

@@ -143,3 +143,22 @@ def test_three_cycle_is_renames_not_swaps(spark):
     w = spark.createDataFrame([(i, n, 1, n * 2, n * 3) for i, n in enumerate("abc")], "file_id long, name string, length long, md5_16k string, md5_full string")
     d = spark.createDataFrame([("b", 1, "aa", "aaa"), ("c", 1, "bb", "bbb"), ("a", 1, "cc", "ccc")], "path string, length long, md5_16k string, md5_full string")
     assert {r["class"] for r in placement.plan(w, d).collect()} == {"rename"}
+
+
+def test_window_checksums():
+    import zlib
+
+    import numpy as np
+
+    from lodestone.functions import windows
+
+    data = np.random.default_rng(5).integers(0, 256, 3000, dtype=np.uint8)
+    for size in (1, 2, 3, 7, 64, 100, 1023, 3000):
+        got = windows.window_crcs(data, size)
+        assert got.tolist() == [zlib.crc32(data[i : i + size].tobytes()) for i in range(3000 - size + 1)]
+    keep, windows.SEGMENT = windows.SEGMENT, 50
+    try:
+        assert windows.window_crcs(data, 17).tolist() == [zlib.crc32(data[i : i + 17].tobytes()) for i in range(3000 - 16)]
+    finally:
+        windows.SEGMENT = keep
+    assert windows.window_crcs(data[:4], 5).tolist() == []
