@@ -133,3 +133,34 @@ def first_fit_regex(pattern: str) -> str:
         if p:
             out += f"(?:(?!{re.escape(p)}).)*+{re.escape(p)}"
     return out + ("$" if parts[-1] else ".*$")
+
+
+def after_traversal(path: Column, drives: bool = True) -> Column:
+    """What comes after the last parent step and, of that, after drives, shares, roots and steps that stay in place."""
+    p = F.replace(F.substring_index(path, "\x00", 1), F.lit("\\"), F.lit("/"))
+    p = F.regexp_replace(p, r"^(?s:.*)/\.\.(?:/|$)", "")
+    start = r"//[^/]*/[^/]*/|[./]*/"
+    return F.regexp_replace(p, rf"^(?:(?s:.):|{start})+" if drives else rf"^(?:{start})+", "")
+
+
+def old_next_volume(name: Column, index: Column) -> Column:
+    """The name of a volume after the first in the old numbering: .r00 is index 1."""
+    base = F.regexp_replace(name, r"\.(rar|RAR)$", "")
+    n = F.greatest(index - 1, F.lit(0)).cast("string")
+    return F.concat(base, F.lit(".r"), F.lpad(n, F.greatest(F.length(n), F.lit(2)), "0"))
+
+
+def group_key(folder: Column, name: Column, first_member: Column) -> Column:
+    """Volumes of one archive: folder and set name; where the name says nothing, the first member's name."""
+    told = extension(name).rlike(r"^(rar|rev|[rs]\d\d|\d{3})$")
+    return F.concat_ws(":", folder, F.when(told, set_hint(name)).otherwise(F.coalesce(F.nullif(first_member, F.lit("")), set_hint(name))))
+
+
+def related_label(label: Column, name: Column) -> Column:
+    """Whether a name is of a set: its set name is the label, or it begins with the label."""
+    return (set_hint(name) == label) | F.startswith(name, label)
+
+
+def made_by_create(name: Column) -> Column:
+    """Temporary files of writers: hidden names that end in .tmp."""
+    return name.rlike(r"^\..*\.tmp$")

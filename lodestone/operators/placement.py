@@ -57,3 +57,8 @@ def present_first(candidates: DataFrame) -> DataFrame:
     """The first folder that has a file: (file_id, folder) of the least rank."""
     w = Window.partitionBy("file_id").orderBy("rank")
     return candidates.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "rank")
+
+
+def canonical(placed: DataFrame) -> DataFrame:
+    """By set: whether all its files lie where they belong, and how many don't. placed: set_id, class."""
+    return placed.groupBy("set_id").agg(F.bool_and(F.col("class") == "exact").alias("canonical"), F.count_if(F.col("class") != "exact").alias("n_elsewhere"))

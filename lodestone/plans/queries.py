@@ -70,13 +70,20 @@ def slice_manifest(spark, d):
     return manifest.slice_manifest(files(spark, d), SIZE).drop("crc32")
 
 
-@query()
+#: CRC-32 by its table, a byte a step: the register begins and ends inverted
+_CRC_TABLE = "SELECT list(c ORDER BY i) AS tbl FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS c FROM range(0, 256) AS r(i))"
+_CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(range(0, {n}), lambda k: CAST('0x' || substr({h}, CAST(k * 2 + 1 AS BIGINT), 2) AS BIGINT))), lambda c, b: xor(c >> 8, tbl[(xor(c, b) & 255) + 1])), 4294967295)"
+_BLOCKS = f"""SELECT source AS set_id, doc_id AS file_id, i AS slice_index, octet_length(b) AS n, b || unhex(repeat('00', CAST({SIZE} - octet_length(b) AS INTEGER))) AS p FROM (
+  SELECT source, doc_id, i, array_slice(encode(text), i*{SIZE}+1, (i+1)*{SIZE}) AS b FROM documents, unnest(range(0, CAST(ceil(octet_length(encode(text))/{SIZE}.0) AS BIGINT))) AS t(i))"""
+
+
+@query(f"SELECT set_id, file_id, slice_index, CAST(n AS BIGINT) AS length, md5(p) AS md5, {_CRC.format(n=SIZE, h='h')} AS crc32 FROM (SELECT *, hex(p) AS h FROM ({_BLOCKS})), ({_CRC_TABLE})")
 def slice_crc32(spark, d):
     """md5 and crc32 of zero-padded slices."""
     return manifest.slice_manifest(files(spark, d), SIZE, pad=True)
 
 
-@query()
+@query(f"SELECT file_id, {_CRC.format(n='n', h='h')} AS crc32, true AS agrees FROM (SELECT doc_id AS file_id, octet_length(encode(text)) AS n, hex(encode(text)) AS h FROM documents WHERE octet_length(encode(text)) > 0), ({_CRC_TABLE})")
 def file_crc32(spark, d):
     """File checksums folded from padded slice checksums, against the direct ones."""
     f = files(spark, d)
@@ -499,7 +506,8 @@ def recovery_encode(spark, d):
     return out.select("set_id", "exponent", F.md5("data").alias("md5"))
 
 
-@query()
+@query(f"""SELECT set_id, "index", true AS "right" FROM (SELECT doc_id // 200 AS set_id, row_number() OVER (PARTITION BY doc_id // 200 ORDER BY doc_id, i) - 1 AS "index" FROM (
+SELECT doc_id, unnest(range(0, CAST(ceil(octet_length(encode(text))/{SIZE}.0) AS BIGINT))) AS i FROM documents)) WHERE "index" IN (1, 4, 7)""")
 def repair_roundtrip(spark, d):
     """Slices 1, 4 and 7 of every set are lost and restored; `right` compares them with what was lost."""
     s = _parity_slices(spark, d)
@@ -545,13 +553,21 @@ def _settled(spark, d) -> DataFrame:
     return run.settle(session.verdicts(_feed(spark, d), expected, SIZE), ["file_id", "slice_index"], "verdicts")
 
 
-@query()
+#: by the feed's rule every range of a file comes but of each 11th file, of which the first alone does
+_SETTLED = f"""SELECT doc_id AS file_id, i AS slice_index, CASE WHEN doc_id % 11 = 0 AND n > 764 THEN 'buffered' ELSE 'verified' END AS disposition, NOT (doc_id % 11 = 0 AND n > 764) AND NOT (doc_id % 7 = 0 AND i = 0) AS valid,
+  CAST(CASE WHEN doc_id % 11 = 0 AND n > 764 THEN 764 ELSE 0 END AS BIGINT) AS buffered
+FROM (SELECT doc_id, octet_length(encode(text)) AS n, unnest(range(0, CAST(ceil(octet_length(encode(text))/{SIZE}.0) AS BIGINT))) AS i FROM documents) WHERE doc_id % 11 <> 0 OR i = 0"""
+
+
+@query(_SETTLED)
 def stream_verdicts(spark, d):
     """Slices settled by a stream of ranges."""
     return _settled(spark, d).drop("n_duplicates")
 
 
-@query()
+@query(f"""SELECT file_id, n_slices, n_valid, CASE WHEN begun THEN n_bad ELSE n_slices END AS running_missing, n_slices - n_valid AS final_missing, n_valid = n_slices AS complete FROM (
+SELECT doc_id AS file_id, any_value(CAST(ceil(octet_length(encode(text))/{SIZE}.0) AS BIGINT)) AS n_slices, count(*) FILTER (WHERE s.valid) AS n_valid, count(*) FILTER (WHERE NOT s.valid AND s.disposition <> 'buffered') AS n_bad, count(s.file_id) > 0 AS begun
+FROM documents LEFT JOIN ({_SETTLED}) s ON s.file_id = doc_id GROUP BY doc_id)""")
 def stream_status(spark, d):
     """Both views of the files after the stream: the running one and the final one."""
     from ..streaming import session
@@ -566,4 +582,4 @@ def stream_duplicates(spark, d):
     return _settled(spark, d).groupBy("file_id").agg(F.sum("n_duplicates").alias("n_duplicates"), F.count_if(F.col("disposition") == "conflict").alias("n_conflicts"))
 
 
-from . import content  # noqa: E402, F401  registers its queries
+from . import content, sets  # noqa: E402, F401  they register their queries

@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,33 +33,33 @@ def pieces(feed: DataFrame, size: int) -> DataFrame:
 
 def _settle(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """verdict: 0 open, 1 valid, 2 invalid, 3 conflict, 4 over budget."""
-    data, mask, verdict, repeats = (bytearray(), bytearray(), 0, 0) if not state.exists else (lambda s: (bytearray(s[0]), bytearray(s[1]), s[2], s[3]))(state.get)
-    wanted, length = None, 0
+    held, told, verdict, repeats = state.get if state.exists else (b"", b"", 0, 0)
+    data, mask = (np.frombuffer(x, np.uint8).copy() for x in (held, told))
     for pdf in frames:
-        for row in pdf.itertuples():
-            wanted, length = row.md5, int(row.length)
+        for at, piece, wanted, length in zip(pdf["at"], pdf["piece"], pdf["md5"], pdf["length"], strict=True):
             if verdict:
                 repeats += 1
                 continue
-            if not data:
+            if not len(data):
                 if length > MOST_BUFFERED:
                     verdict = 4
                     continue
-                data, mask = bytearray(length), bytearray(length)
-            a, b = int(row.at), min(int(row.at) + len(row.piece), length)
-            new = bytes(row.piece)[: b - a]
-            if all(mask[a:b]) and data[a:b] == new:
-                repeats += 1
-            elif any(m and x != y for m, x, y in zip(mask[a:b], data[a:b], new, strict=True)):
+                data, mask = np.zeros(int(length), np.uint8), np.zeros(int(length), np.uint8)
+            a = int(at)
+            new = np.frombuffer(bytes(piece), np.uint8)[: len(data) - a]
+            own, there = data[a : a + len(new)], mask[a : a + len(new)]
+            if ((own != new) & (there == 1)).any():
                 verdict = 3
+            elif there.all():
+                repeats += 1
             else:
-                data[a:b], mask[a:b] = new, b"\x01" * (b - a)
-                if all(mask):
+                own[:], there[:] = new, 1
+                if mask.all():
                     verdict = 1 if hashlib.md5(data).hexdigest() == wanted else 2
-    held = sum(mask) if not verdict else 0
-    state.update((bytes(data) if not verdict else b"", bytes(mask) if not verdict else b"", verdict, repeats))
+    open_ = not verdict
+    state.update((data.tobytes() if open_ else b"", mask.tobytes() if open_ else b"", verdict, repeats))
     said = ("buffered", "verified", "verified", "conflict", "budget")[verdict]
-    yield pd.DataFrame({"file_id": [key[0]], "slice_index": [key[1]], "disposition": [said], "valid": [verdict == 1], "buffered": [held], "n_duplicates": [repeats]})
+    yield pd.DataFrame({"file_id": [key[0]], "slice_index": [key[1]], "disposition": [said], "valid": [verdict == 1], "buffered": [int(mask.sum()) if open_ else 0], "n_duplicates": [repeats]})
 
 
 def verdicts(feed: DataFrame, expected: DataFrame, size: int) -> DataFrame:

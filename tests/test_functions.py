@@ -162,3 +162,48 @@ def test_window_checksums():
     finally:
         windows.SEGMENT = keep
     assert windows.window_crcs(data[:4], 5).tolist() == []
+
+
+def test_header_facts(spark):
+    from lodestone.sources import containers, headers
+
+    magic = containers.SIGNATURES["archive5"]
+    digest = bytes(range(32))
+    extra = headers.extra_record(headers.EXTRA_HASH, b"\0" + digest) + headers.extra_record(headers.EXTRA_LINK, b"\1\0" + headers.number(4) + b"x/yz")
+    whole = magic + headers.record(headers.MAIN, headers.main_fields(3, solid=True))
+    whole += headers.record(headers.FILE, headers.file_fields("dir/ä.txt", 10, attributes=33, mtime=5, crc=7, method=3), headers.SPLIT_AFTER, extra, b"0123456789")
+    ends = [len(whole)]
+    whole += headers.record(headers.SERVICE, headers.file_fields("CMT", None))
+    whole += headers.record(headers.END, headers.number(1))
+    broken = bytearray(whole)
+    broken[ends[0] + 6] ^= 1
+    secret = magic + headers.record(headers.ENCRYPTION, headers.number(0) + headers.number(0) + b"\x0f" + bytes(16)) + b"noise" * 9
+    rows = [("whole", whole), ("broken", bytes(broken)), ("cut", whole[: ends[0] - 12]), ("secret", secret), ("other", b"PK.."), ("none", None), ("bare", magic)]
+    found = headers.header_facts(spark.createDataFrame(rows, "path string, content binary"))
+    by = {}
+    for r in found.orderBy("path", "place").collect():
+        by.setdefault(r["path"], []).append(r)
+    assert [r["kind"] for r in by["whole"]] == ["main", "file", "service", "end"] and [r["kind"] for r in by["broken"]] == ["main", "file"]
+    assert [r["kind"] for r in by["secret"]] == ["encryption"] and by["secret"][0]["encrypted"] and not set(by) & {"other", "none", "bare"}
+    f = by["whole"][1]
+    assert (f["name"], f["unpacked_size"], f["data_size"], f["attributes"], f["mtime"], f["crc32"], f["method"]) == ("dir/ä.txt", 10, 10, 33, 5, 7, 3)
+    assert f["split_after"] and not f["split_before"] and f["blake2"] == digest.hex() and f["link"] == "x/yz" and not f["encrypted"]
+    assert whole[f["data_offset"] : f["data_offset"] + f["data_size"]] == b"0123456789" and by["whole"][2]["unpacked_size"] is None
+    v = {r["path"]: r for r in headers.volume_facts(found).collect()}
+    assert v["whole"]["volume"] == 3 and v["whole"]["solid"] and v["whole"]["closed"] and v["whole"]["more_volumes"] and not v["broken"]["closed"] and v["secret"]["encrypted"]
+    import hashlib
+
+    assert headers.password_check(b"12345678" + hashlib.sha256(b"12345678").digest()[:4]) and not headers.password_check(b"123456789012")
+
+
+def test_numbers_and_texts(spark):
+    from pyspark.sql import functions as F
+
+    from lodestone.functions import names, scalars
+
+    row = spark.range(1).select(
+        scalars.bit_length(F.lit(0)), scalars.bit_length(F.lit(255)), scalars.decimal_width(F.lit(0)), scalars.checked_volume(F.lit(1 << 20)), scalars.align16(F.lit(17)), scalars.align16(F.lit("18446744073709551615").cast("decimal(20,0)")),
+        scalars.over_limit(F.lit(5), F.lit(None).cast("long"), F.lit(9), 5, 10, 8), names.made_by_create(F.lit(".a.tmp")), names.group_key(F.lit("d"), F.lit("data.bin"), F.lit("m")), names.group_key(F.lit("d"), F.lit("a.part1.rar"), F.lit("m")),
+        names.after_traversal(F.lit("C:/x"), drives=False), names.after_traversal(F.lit("../../..x")), names.after_traversal(F.lit("a/../\x00b")),
+    ).first()
+    assert list(map(lambda x: int(x) if hasattr(x, "quantize") else x, row)) == [0, 8, 1, None, 32, None, "dictionary", True, "d:m", "d:a", "C:/x", "..x", ""]
