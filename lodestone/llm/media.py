@@ -211,7 +211,9 @@ def _facts(batches):
 def store(docs: DataFrame, table: str, id_col: str = "doc_id", text_col: str = "text", unit: int = 576, turns: int = 2) -> DataFrame:
     """Writes the records of all distinct payloads to a bucketed table (p, media); returns (id, n_bytes, p, n_chunks).
 
-    A payload is the text's UTF-8 bytes (null: none) and bytes 255 up to a positive multiple of unit.
+    A payload is the text's UTF-8 bytes (null: none) and bytes 255 up to a positive multiple of unit. Equal
+    payloads are one record; repeated rows and null ids stay; other columns are ignored; an empty table
+    gives no rows and an empty table.
     turns: payloads are written in so many parts, by digest, so that less is shuffled at a time.
     """
     spark = scratch.session(docs)
@@ -229,13 +231,16 @@ def store(docs: DataFrame, table: str, id_col: str = "doc_id", text_col: str = "
     for turn in range(turns):  # a turn's shuffle goes before the next begins
         whole = base.mapInArrow(_bytes(unit, turn, turns), "p binary, z binary").groupBy("p").agg(F.first("z").alias("z"))
         records = whole.join(flags, "p", "left").mapInArrow(_records, "p binary, media binary")
-        records.write.mode("append" if turn else "errorifexists").bucketBy(buckets, "p").option("compression", "uncompressed").saveAsTable(table)
+        scratch.bucketed(records, table, buckets, "p", append=bool(turn))
         scratch.release(spark)
     return listed.select("id", "n_bytes", "p", F.size("chunks").alias("n_chunks"))
 
 
 def read_back(spark, table: str) -> DataFrame:
-    """Rebuilt and verified payloads of a stored table: p and the facts of payload and record."""
+    """Rebuilt and verified payloads of a stored table: p and the facts of payload and record.
+
+    A payload that differs from its digest, or misses a chunk, is an error. An empty table gives no rows.
+    """
     records = spark.table(table)
     given = records.mapInArrow(_given, "chunk binary, data binary")
     missing = records.mapInArrow(_away, "p binary, chunk binary").join(given, "chunk").groupBy("p").agg(F.collect_list("data").alias("data"))
@@ -250,8 +255,8 @@ def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     null ids stay; other columns are ignored; an empty table gives no rows.
     """
     spark = scratch.session(docs)
-    table = scratch.table(spark, "media")
+    table = scratch.table("media")
     listed = store(docs, table, id_col, text_col, unit)
     facts = scratch.write(read_back(spark, table), "media-facts")
-    spark.sql(f"DROP TABLE {table}")
+    scratch.drop_table(spark, table)
     return listed.join(facts, "p").drop("p").withColumnRenamed("id", id_col)

@@ -594,21 +594,17 @@ def score_texts(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: s
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(F.expr(train), F.lit(False)).alias("train"))
     kind = base.schema["id"].dataType
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = scratch.table(spark, "chunks")  # bucketed by chunk: the answers come to the texts
     dealt = base.mapInArrow(_chunks(CHUNK_BYTES), "chunk long, blob binary").repartition(parts, "chunk")
-    dealt.write.bucketBy(parts, "chunk").option("compression", "uncompressed").saveAsTable(name)
-    chunks = spark.table(name)
+    chunks = scratch.bucketed(dealt, scratch.table("chunks"), parts, "chunk")  # the answers come to the texts
     del dealt  # a frame that is held keeps its shuffle files
     scratch.release(spark)
     ask = "part int, chunk long, w binary, sizes binary, context binary, n binary"
-    name = scratch.table(spark, "counts")  # bucketed by part: totals and questions come to the counts
+    name = scratch.table("counts")
     said = chunks.mapInArrow(_requests(contexts, parts, True), ask).repartition(parts, "part").groupBy("part")
     said = said.applyInArrow(_merge(parts), "part int, w binary, sizes binary, u binary, at binary, n binary")
-    said.write.bucketBy(parts, "part").option("compression", "uncompressed").saveAsTable(name)
+    counts = scratch.bucketed(said, name, parts, "part").groupBy("part")  # totals come to the counts
     del said
     scratch.release(spark)
-    counted = name
-    counts = spark.table(name).groupBy("part")
 
     rate = lambda a, b: min(0.95, max(0.05, (a + 0.5) / (a + 2 * b + 1.0)))
     links = spark.createDataFrame([], LINKS)
@@ -634,11 +630,9 @@ def score_texts(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: s
 
     out = T.StructType([*(T.StructField(c, base.schema[c].dataType) for c in ("id", "train")), *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
     score = _score(model, keep, contexts, parts, n_train, n_types, to_arrow_type(kind))
-    name = scratch.table(spark, "model")
     final = counts.cogroup(links.groupBy("part")).applyInArrow(_final(model, sweeps, keep, parts), ", ".join(f"{f.name} {'int' if f.name == 'part' else 'binary'}" for f in FINAL))
-    final.write.bucketBy(parts, "part").option("compression", "uncompressed").saveAsTable(name)
-    spark.sql(f"DROP TABLE {counted}")
-    final = spark.table(name).groupBy("part")
+    final = scratch.bucketed(final, scratch.table("model"), parts, "part").groupBy("part")  # questions come to the model
+    scratch.drop_table(spark, name)
     scratch.release(spark)
     turns = []
     for turn in range(TURNS):

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 BATCH_BYTES = 4 << 20
 _ROOTS: dict[str, SparkSession] = {}
+_TABLES: dict[str, str] = {}
 
 
 def root(spark: SparkSession) -> str:
@@ -35,13 +36,25 @@ def folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def table(spark: SparkSession, prefix: str) -> str:
-    """A new name for a bucketed table of the session's catalog; dropped when the driver ends."""
-    name = f"{prefix}_{uuid.uuid4().hex}"
-    if not _ROOTS:
-        atexit.register(_clean)
+def bucketed(df: DataFrame, name: str, buckets: int, by: str, append: bool = False) -> DataFrame:
+    """Writes df as a bucketed table of the session's catalog whose files lie in the shared folder, not in the warehouse."""
+    spark = df.sparkSession
+    path = _TABLES.setdefault(name, folder(spark, name))
     _ROOTS[f"table:{name}"] = spark
-    return name
+    df.write.mode("append" if append else "errorifexists").bucketBy(buckets, by).option("compression", "uncompressed").option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
+def table(prefix: str) -> str:
+    """A new name for a bucketed table; dropped, files and all, when the driver ends."""
+    return f"{prefix}_{uuid.uuid4().hex}"
+
+
+def drop_table(spark: SparkSession, name: str) -> None:
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    _ROOTS.pop(f"table:{name}", None)
+    if name in _TABLES:
+        remove(spark, _TABLES.pop(name))
 
 
 def session(df: DataFrame) -> SparkSession:
@@ -101,8 +114,8 @@ def _clean() -> None:
             if spark.sparkContext._jsc is None:
                 continue
             if path.startswith("table:"):
-                spark.sql(f"DROP TABLE IF EXISTS {path[6:]}")
-            else:
+                drop_table(spark, path[6:])
+            elif path in _ROOTS:
                 remove(spark, path)
         except Exception:  # noqa: BLE001  the session has ended: nothing is left to ask
             return

@@ -251,10 +251,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = base.schema["id"].dataType.simpleString()
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = scratch.table(spark, "texts")
     packed = base.mapInArrow(_pack, f"uid long, id {kind}, n_bytes long, z binary")
-    packed.repartition(buckets, "uid").write.bucketBy(buckets, "uid").option("compression", "uncompressed").saveAsTable(name)
-    texts = spark.table(name)
+    texts = scratch.bucketed(packed.repartition(buckets, "uid"), scratch.table("texts"), buckets, "uid")
     scratch.release(spark)
 
     anchors = texts.where(F.col("n_bytes") >= length).select("uid", "n_bytes", "z").mapInArrow(_anchors(length, k), "uid long, at int, key long, ctx long")
