@@ -115,10 +115,13 @@ def cut_lines(text: str, gone: list[int]) -> str:
 
 
 def _rewrite(batches):
+    """(d, text, gone, lines): the text without its lost lines, and how many lines it had."""
     for batch in batches:
-        at, cut = batch.schema.get_field_index("text"), batch.schema.get_field_index("gone")
-        new = [t.as_py() if g.as_py() is None or t.as_py() is None else cut_lines(t.as_py(), g.as_py()) for t, g in zip(batch.column(at), batch.column(cut), strict=True)]
-        yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
+        d, text, gone = (batch.column(batch.schema.get_field_index(c)) for c in ("d", "text", "gone"))
+        new = [t.as_py() if g.as_py() is None or t.as_py() is None else cut_lines(t.as_py(), g.as_py()) for t, g in zip(text, gone, strict=True)]
+        count = [np.bincount(line_spans(data, offsets)[2], minlength=len(offsets) - 1) for _, data, offsets in textkit.segments(batch)]
+        lines = np.concatenate(count).astype(np.int32) if count else np.zeros(0, np.int32)
+        yield pa.RecordBatch.from_arrays([d, pa.array(new, text.type), gone, pa.array(lines)], ["d", "text", "gone", "lines"])
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 2, gone: str = "_gone", lines: str = "_lines", alone: int | None = None) -> DataFrame:
@@ -159,10 +162,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = grams.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("id", "uid", "start")).alias("first")).where("n > 1")
     later = grams.join(first, [*key]).where(~((F.col("uid") == F.col("first.uid")) & (F.col("start") == F.col("first.start"))))
     lost = later.groupBy("uid").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_set(F.sequence("start", F.col("start") + F.col("width") - 1))))).alias("gone"))
-    count = scratch.write(rows.select("uid", F.size("lines").alias("lines")).join(lost, "uid", "left"), "lines-lost")
+    lost = scratch.write(lost, "lines-lost")
     scratch.drop(rows, grams)
-    del rows, grams, base, prints, shared, marked, near, first, later, lost
+    del rows, grams, base, prints, shared, marked, near, first, later
     scratch.release(docs.sparkSession)
-    out = whole.join(count, "uid").drop("uid")
-    out = out.mapInArrow(_rewrite, out.schema)
+    asked = scratch.flagged(whole, lost, "uid", "hit")  # texts that lose nothing stay where they are
+    both = asked.where("hit").drop("hit").join(lost, "uid", "left").unionByName(asked.where("not hit").drop("hit").withColumn("gone", F.lit(None).cast(ints)))
+    both = both.drop("uid")
+    out = both.mapInArrow(_rewrite, T.StructType([*both.schema.fields, T.StructField("lines", T.IntegerType())]))
     return out.select(*(F.col("text").alias(c) if c == text_col else F.col("d").getField(c).alias(c) for c in docs.columns), F.col("gone").alias(gone), F.col("lines").alias(lines))

@@ -40,7 +40,6 @@ from pyspark.sql import types as T
 
 from . import graph, scratch, textkit
 
-SLOTS = 1 << 25
 FLUSH, HOT = 1 << 20, 256  # signatures that a task gathers before it sends them; members of one among them that make it hot
 
 
@@ -334,17 +333,6 @@ def _block_pair(n: int, num: int, den: int):
     return run
 
 
-def _known(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The rows whose node may be one of nodes', by a bitmap of SLOTS bits: a table of SLOTS / 64 rows at most,
-    whatever the input, is all that is broadcast. It only thins what the join after it moves: with more than some
-    ten million candidate sets it lets most rows through, and all texts are moved once."""
-    slot = F.pmod(F.xxhash64("node"), F.lit(SLOTS))
-    bitmap = nodes.select(F.shiftright(slot, 6).alias("word"), slot.alias("slot")).groupBy("word").agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits"))
-    asked = rows.withColumn("at", slot)
-    hit = (F.shiftright("at", 6) == F.col("word")) & F.expr("(bits & shiftleft(1L, cast(at % 64 as int))) <> 0")
-    return asked.join(F.broadcast(bitmap), hit).select(*rows.columns)
-
-
 def _candidates(base: DataFrame, n: int, num: int, den: int, turns: int) -> DataFrame:
     """(u, v) edges between nodes such that every two similar sets lie in one component."""
     spark = base.sparkSession
@@ -395,7 +383,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     family = scratch.write(classes.withColumn("node", F.expr("hi & -2L")).join(family, "node").select("node", "uid", "hi", "lo", "family", "copies"), "jaccard-families")
     scratch.drop(edges)
     found = base.mapInArrow(_texts(n), "hi long, lo long, text string").withColumn("node", F.expr("hi & -2L"))
-    text = _known(found, family).drop("node").join(family.drop("node"), ["hi", "lo"]).groupBy("uid", "family", "copies").agg(F.first("text").alias("text"))
+    found = scratch.flagged(found, family, "node", "hit").where("hit").drop("node", "hit")
+    text = found.join(family.drop("node"), ["hi", "lo"]).groupBy("uid", "family", "copies").agg(F.first("text").alias("text"))
     text = scratch.write(text, "jaccard-texts")
     scratch.release(spark)
     extent = text.groupBy("family").agg(F.count("*").alias("m"), F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum(F.octet_length("text")) / block_bytes)).cast("int").alias("blocks")).where("m > 1")

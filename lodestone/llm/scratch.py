@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_BYTES = 4 << 20
+SLOTS = 1 << 25
 _ROOTS: dict[str, SparkSession] = {}
 _TABLES: dict[str, str] = {}
 
@@ -72,6 +73,17 @@ def col(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def flagged(rows: DataFrame, keys: DataFrame, key: str, flag: str) -> DataFrame:
+    """rows with a boolean column: false where the key is surely none of keys'. By a bitmap of SLOTS bits: a table of
+    SLOTS / 64 rows at most, whatever the input, is all that is broadcast. It only spares what need not move to the join
+    after it; with more than some ten million keys it flags most rows, and all are moved once."""
+    slot = F.pmod(F.xxhash64(key), F.lit(SLOTS))
+    bitmap = keys.select(F.shiftright(slot, 6).alias("_word"), slot.alias("_slot")).groupBy("_word").agg(F.expr("bit_or(shiftleft(1L, cast(_slot % 64 as int)))").alias("_bits"))
+    asked = rows.withColumn("_at", slot).join(F.broadcast(bitmap), F.shiftright("_at", 6) == F.col("_word"), "left")
+    hit = F.coalesce(F.expr("(_bits & shiftleft(1L, cast(_at % 64 as int))) <> 0"), F.lit(False))
+    return asked.select(*rows.columns, hit.alias(flag))
+
+
 def write(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back."""
     spark = df.sparkSession
