@@ -40,6 +40,12 @@ CHUNK_BYTES = 9 << 20
 TURNS = 4  # in which chunks ask and are answered, so that a quarter of the pairs is on disk at a time
 
 
+@functools.lru_cache(4)
+def _classes(contexts: int) -> np.ndarray:
+    """The class of a word, from 1 on, by its last two bytes."""
+    return np.uint64(1) + textkit.mix(np.arange(1 << 16, dtype=np.uint64), 0xC0) % np.uint64(contexts)
+
+
 def tokens(data: np.ndarray, offsets: np.ndarray, contexts: int):
     """Words' numbers (a hash; class in the low bits, 0: the end) with an end for each text, and their rows."""
     rows = len(offsets) - 1
@@ -47,19 +53,19 @@ def tokens(data: np.ndarray, offsets: np.ndarray, contexts: int):
     for i, j in textkit.slices(offsets):
         b, o = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         start, end, row, h = textkit.word_hashes(b, o)
-        last = textkit.LOWER[b[end - 1]].astype(np.uint64) if len(end) else np.zeros(0, np.uint64)
-        before = np.where(end - start > 1, textkit.LOWER[b[np.maximum(end - 2, 0)]], 0).astype(np.uint64) if len(end) else last
+        last = textkit.LOWER[b[end - 1]].astype(np.uint16) if len(end) else np.zeros(0, np.uint16)
+        before = np.where(end - start > 1, textkit.LOWER[b[np.maximum(end - 2, 0)]], 0).astype(np.uint16) if len(end) else last
         words.append(h)
         owner.append(row + i)
-        tails.append(last * np.uint64(256) + before)
+        tails.append(last * np.uint16(256) + before)
     h = np.concatenate(words) if words else np.zeros(0, np.uint64)
     row = np.concatenate(owner) if owner else np.zeros(0, np.int64)
-    tail = np.concatenate(tails) if tails else np.zeros(0, np.uint64)
+    tail = np.concatenate(tails) if tails else np.zeros(0, np.uint16)
     count = np.bincount(row, minlength=rows)
     n = len(h) + rows
     all_h, all_row = np.full(n, END & ~CLASS), np.repeat(np.arange(rows, dtype=np.int32), count + 1)
     place = np.arange(len(h)) + row
-    all_h[place] = (h & ~CLASS) | (np.uint64(1) + textkit.mix(tail, 0xC0) % np.uint64(contexts))
+    all_h[place] = (h & ~CLASS) | _classes(contexts)[tail]
     return all_h, all_row
 
 
@@ -67,6 +73,11 @@ def part_of(word: np.ndarray, parts: int) -> np.ndarray:
     return (textkit.mix(word, 0x9A27) % np.uint64(parts)).astype(np.int64)
 
 
+def by_part(part: np.ndarray, parts: int) -> np.ndarray:
+    """A stable order by part; sixteen bits sort by radix."""
+    return np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
+
+
 def _bin(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values).tobytes()
 
@@ -144,7 +155,7 @@ def _requests(contexts: int, parts: int, counts: bool):
                     keep = n > 0
                     owner, before, n = owner[keep], before[keep], n[keep]
                 part = part_of(word, parts)[owner]
-                order = np.argsort(part, kind="stable")
+                order = by_part(part, parts)
                 ends = np.searchsorted(part[order], np.arange(parts + 1))
                 out = []
                 for p in np.flatnonzero(np.diff(ends)):
@@ -177,7 +188,7 @@ def _merge(parts: int):
         w, sizes, context, n = read("w", "<u8"), read("sizes", "<i4"), read("context", "<u8"), read("n", "<u4")
         word, at = np.unique(w, return_inverse=True)
         own = np.repeat(at, sizes)
-        order = np.lexsort((context, context & CLASS, own))
+        order = np.lexsort((context, own * 512 + (context & CLASS).astype(np.int64)))
         own, context, n = own[order], context[order], n[order]
         head = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (context[1:] != context[:-1])))
         total = np.add.reduceat(n.astype(np.uint64), head)
@@ -543,7 +554,7 @@ def _score(model: Pairs, keep: int, contexts: int, parts: int, n_train: int, n_t
             word, owner, before, pair, row = _asked(table, contexts)
             cls = (word[before] & CLASS).astype(np.int64)
             w_part = part_of(word, parts)
-            order_w, order = np.argsort(w_part, kind="stable"), np.argsort(w_part[owner], kind="stable")
+            order_w, order = by_part(w_part, parts), by_part(w_part[owner], parts)
             ends_w, ends = np.searchsorted(w_part[order_w], np.arange(parts + 1)), np.searchsorted(w_part[owner][order], np.arange(parts + 1))
             if sorted(r["part"] for r in answers) != np.flatnonzero(np.diff(ends_w)).tolist():
                 raise ValueError("the answers do not match the chunk's words")
