@@ -69,7 +69,12 @@ class Scheme:
         self.k = np.array([2 * b * (self.den - self.num) // (self.den + self.num) for _, b in found])
         self.high = found[-2][1]
 
-    def signatures(self, row: np.ndarray, feature: np.ndarray, rows: int):
+    def signatures(self, row: np.ndarray, feature: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, signature) of distinct features by row."""
+        r, _, s, _ = self.counted(row, feature, rows)
+        return r, s
+
+    def counted(self, row: np.ndarray, feature: np.ndarray, rows: int):
         """(row, band step, signature) of distinct features by row, and by row and step how many a partner shares at least."""
         size = np.bincount(row, minlength=rows)
         self.grow(int(size.max(initial=1)))
@@ -197,7 +202,7 @@ def _signatures(n: int, num: int, den: int, parts: int, turn: int, turns: int):
                         seen.add(known)
                         fresh[i] = True
                 use = fresh[row]
-                r, step, sig, need = scheme.signatures(row[use], feature[use], len(count))
+                r, step, sig, need = scheme.counted(row[use], feature[use], len(count))
                 if turns > 1:
                     mine = textkit.mix(sig, 0x7E) % np.uint64(turns) == turn
                     r, step, sig = r[mine], step[mine], sig[mine]
