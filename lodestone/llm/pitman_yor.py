@@ -14,8 +14,9 @@ alike. Predictive probabilities are averaged over the last sweeps.
 A word's number holds its class in the low bits, and a word before is named by its number. Words and
 restaurants are dealt into the same parts. In a sweep each part sends the tables of its words to the
 parts of their restaurants, added up by restaurant, and gets the restaurants' totals back. Texts are
-dealt into chunks of bounded size. A chunk asks each part once, with the pairs it needs, so what
-moves follows the distinct pairs of chunks and not tokens.
+cut into words once and dealt into chunks of bounded size, which keep numbers and not texts. A chunk
+asks each part once, with the pairs it needs, so what moves follows the distinct pairs of chunks and
+not tokens. Words of a chunk are in order of class and number: the pairs of a word lie class by class.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from __future__ import annotations
 import functools
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 import zstandard
@@ -94,60 +96,106 @@ def _rows(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
 
 
-def _chunks(limit: int):
-    """Rows of (chunk, blob): documents of about `limit` bytes, compressed."""
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers compressed byte by byte: the high bytes are few."""
+    size = values.dtype.itemsize
+    return _zip(values.view(np.uint8).reshape(-1, size).T)
+
+
+def _unplanes(data: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(_unzip(data, "u1").reshape(size, -1).T).view(kind).reshape(-1)
+
+
+def _by_class(word: np.ndarray) -> np.ndarray:
+    """A word's number with the class in the high bits."""
+    return (word << np.uint64(55)) | (word >> np.uint64(9))
+
+
+def _by_hash(word: np.ndarray) -> np.ndarray:
+    """Back from _by_class."""
+    return (word << np.uint64(9)) | (word >> np.uint64(55))
+
+
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order, and each value's place among them; by a hash table."""
+    at, found = pd.factorize(values)
+    order = np.argsort(found)
+    place = np.empty(len(found), np.int64)
+    place[order] = np.arange(len(found))
+    return found[order], place[at]
+
+
+CHUNK = pa.schema([("chunk", pa.int64()), ("rows", pa.binary()), ("words", pa.binary()), ("at", pa.binary())])
+
+
+def _chunks(contexts: int, limit: int):
+    """Rows of (chunk, rows, words, at): documents of about `limit` bytes; of each its id, whether it is learnt from and
+    its number of tokens, then the distinct words of all in order of class and number, and each token's place there."""
 
     def run(batches):
-        pid, number, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
+        pid, number, held, said, size = TaskContext.get().partitionId() << 32, 0, [], [], 0
 
         def flush():
             whole = pa.Table.from_batches(held).combine_chunks()
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, whole.schema) as out:
                 out.write_table(whole)
-            blob = zstandard.ZstdCompressor(level=3).compress(sink.getvalue().to_pybytes())
-            return pa.RecordBatch.from_arrays([pa.array([pid + number]), pa.array([blob], pa.binary())], ["chunk", "blob"])
+            rows = zstandard.ZstdCompressor(level=3).compress(sink.getvalue().to_pybytes())
+            word, at = _distinct(np.concatenate(said))
+            steps = np.diff(word, prepend=np.uint64(0))
+            return _rows(CHUNK, [(pid + number, rows, _planes(steps), _planes(at.astype("<u4")))]).to_batches()
 
         for batch in batches:
-            for part, data, _ in textkit.segments(batch):
-                held.append(part)
+            for part, data, offsets in textkit.segments(batch):
+                h, row = tokens(data, offsets, contexts)
+                said.append(_by_class(h))
+                n = pa.array(np.bincount(row, minlength=part.num_rows))
+                held.append(pa.RecordBatch.from_arrays([part.column("id"), part.column("train"), n], ["id", "train", "n"]))
                 size += len(data) + 16 * part.num_rows
                 if size >= limit:
-                    yield flush()
-                    number, held, size = number + 1, [], 0
+                    yield from flush()
+                    number, held, said, size = number + 1, [], [], 0
         if held:
-            yield flush()
+            yield from flush()
 
     return run
 
 
-def _open(blob: bytes) -> pa.Table:
-    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)).read_all()
+def _open(rows: bytes) -> pa.Table:
+    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(rows)).read_all()
 
 
-def _asked(table: pa.Table, contexts: int):
+def _asked(table: pa.Table, words: bytes, places: bytes):
     """The distinct words of a chunk and (word, word before) pairs in order, and where each token's is."""
-    data, offsets = textkit.buffers(table.column("text"))
-    h, row = tokens(data, offsets, contexts)
-    word, at = np.unique(h, return_inverse=True)
+    word = _by_hash(np.cumsum(_unplanes(words, "<u8"), dtype=np.uint64))
+    at = _unplanes(places, "<u4").astype(np.int64)
+    n = np.asarray(table.column("n"))
+    row = np.repeat(np.arange(len(n), dtype=np.int32), n)
     before = np.concatenate([[0], at[:-1]])
-    before[np.diff(row, prepend=-1) != 0] = np.searchsorted(word, END & ~CLASS)
+    before[np.cumsum(n) - n] = 0  # the end of a text is the one word of class 0
     key, pair = np.unique(at * len(word) + before, return_inverse=True)
-    return word, key // len(word), key % len(word), pair, row
+    owner = key // len(word)
+    return word, owner, key - owner * len(word), pair, row
+
+
+def _new(owner: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    """Where pairs of another word or class begin, in pairs by word and class."""
+    return np.append(True, (owner[1:] != owner[:-1]) | (cls[1:] != cls[:-1]))[: len(owner)]
 
 
 ASK = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("w", pa.binary()), ("sizes", pa.binary()), ("context", pa.binary()), ("n", pa.binary())])
 
 
-def _requests(contexts: int, parts: int, counts: bool):
+def _requests(parts: int, counts: bool):
     """One row by chunk and part: its words there, their numbers of pairs, the words before, and
     training counts (of all that have any) or none (of all)."""
 
     def run(batches):
         for batch in batches:
-            for chunk, blob in zip(batch.column(0), batch.column(1), strict=True):
-                table = _open(blob.as_py())
-                word, owner, before, pair, row = _asked(table, contexts)
+            for chunk in batch.to_pylist():
+                table = _open(chunk["rows"])
+                word, owner, before, pair, row = _asked(table, chunk["words"], chunk["at"])
                 n = None
                 if counts:
                     train = np.asarray(table.column("train").combine_chunks().cast(pa.int8()))[row]
@@ -162,7 +210,7 @@ def _requests(contexts: int, parts: int, counts: bool):
                     i = order[ends[p] : ends[p + 1]]
                     head = np.flatnonzero(np.append(True, owner[i[1:]] != owner[i[:-1]]))
                     who, size = owner[i[head]], np.diff(np.append(head, len(i)))
-                    out.append((int(p), chunk.as_py(), _bin(word[who]), _bin(size.astype("<i4")), _bin(word[before[i]]), _bin(n[i]) if counts else None))
+                    out.append((int(p), chunk["chunk"], _bin(word[who]), _bin(size.astype("<i4")), _bin(word[before[i]]), _bin(n[i]) if counts else None))
                 yield from _rows(ASK, out).to_batches()
 
     return run
@@ -171,30 +219,26 @@ def _requests(contexts: int, parts: int, counts: bool):
 COUNTS = pa.schema([("part", pa.int32()), ("w", pa.binary()), ("sizes", pa.binary()), ("u", pa.binary()), ("at", pa.binary()), ("n", pa.binary())])
 
 
-def _restaurants(context: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct words before, by part and number, and each pair's place among them."""
-    u, at = np.unique(context, return_inverse=True)
-    order = np.argsort(part_of(u, parts), kind="stable")
-    place = np.empty(len(u), np.int64)
-    place[order] = np.arange(len(u))
-    return u[order], place[at]
-
-
 def _merge(parts: int):
-    """The counts of a part over all chunks, by word, class and word before."""
+    """The counts of a part over all chunks, by word, class and word before; the words before by part and number."""
 
     def run(table):
         read = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
         w, sizes, context, n = read("w", "<u8"), read("sizes", "<i4"), read("context", "<u8"), read("n", "<u4")
-        word, at = np.unique(w, return_inverse=True)
-        own = np.repeat(at, sizes)
-        order = np.lexsort((context, own * 512 + (context & CLASS).astype(np.int64)))
-        own, context, n = own[order], context[order], n[order]
-        head = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (context[1:] != context[:-1])))
-        total = np.add.reduceat(n.astype(np.uint64), head)
-        u, place = _restaurants(context[head], parts)
-        size = np.bincount(own[head], minlength=len(word))
-        return _rows(COUNTS, [(table.column("part")[0].as_py(), _bin(word), _zip(size.astype("<i4")), _bin(u), _bin(place.astype("<u4")), _zip(total))])
+        word, at = _distinct(w)
+        u, of = _distinct(_by_class(context))
+        key = np.repeat(at, sizes) * len(u) + of
+        order = np.argsort(key)
+        key = key[order]
+        head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        total = np.add.reduceat(n[order].astype(np.uint64), head)
+        own, of = np.divmod(key[head], len(u))
+        u = _by_hash(u)
+        by = np.lexsort((u, part_of(u, parts)))
+        place = np.empty(len(u), np.int64)
+        place[by] = np.arange(len(u))
+        size = np.bincount(own, minlength=len(word))
+        return _rows(COUNTS, [(table.column("part")[0].as_py(), _bin(word), _zip(size.astype("<i4")), _bin(u[by]), _bin(place[of].astype("<u4")), _zip(total))])
 
     return run
 
@@ -344,13 +388,19 @@ class Draws:
         normal = np.sqrt(-2 * np.log(np.maximum(u, 1e-300))) * np.cos(2 * np.pi * v)
         mean = n * p
         # small means by inversion of the Poisson law, large ones by the normal law
-        k, term, cum = np.zeros(len(n), np.int64), np.exp(-np.minimum(mean, 30)), np.zeros(len(n))
+        k = np.rint(mean + normal * np.sqrt(mean * (1 - p))).astype(np.int64)
+        left = np.flatnonzero((mean < 12) & (n > 1))
+        k[left], mean, u = 0, mean[left], u[left]
+        term, cum = np.exp(-mean), np.zeros(len(left))
         for i in range(40):
             cum += term
-            k += u > cum
-            term = term * np.minimum(mean, 30) / (i + 1)
-        big = np.rint(mean + normal * np.sqrt(mean * (1 - p))).astype(np.int64)
-        return np.where(n <= 1, one * (n > 0), np.clip(np.where(mean < 12, k, big), 0, n))
+            more = u > cum
+            left, mean, u, term, cum = left[more], mean[more], u[more], term[more], cum[more]
+            if not len(left):
+                break
+            k[left] += 1
+            term = term * mean / (i + 1)
+        return np.where(n <= 1, one * (n > 0), np.clip(k, 0, n))
 
 
 SENT = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("x", pa.list_(pa.float64()))])
@@ -517,6 +567,8 @@ def _answers(model: Pairs, sweeps: int, keep: int, parts: int):
         k_own = np.stack([np.maximum(nk[i] - up.d * tk[i], 0) / (up.theta + v.customers[k_cls]) for i, v in enumerate(kept)], axis=1)
         p0 = np.stack([up.base(v, np.bincount(k_owner, tk[i], len(word))) for i, v in enumerate(kept)], axis=1)
         entry = k_owner * 512 + k_cls
+        place = np.searchsorted(one, many)
+        have, value = np.insert(one, place, many), np.insert(np.full(len(one), 1 - model.own.d, "<f4"), place, own)
         out = []
         for r in right.filter(pa.compute.equal(right.column("bucket"), ASKED)).to_pylist():
             w, size, asked = np.frombuffer(r["a"], "<u8"), np.frombuffer(r["b"], "<i4"), np.frombuffer(r["d"], "<u8")
@@ -527,12 +579,12 @@ def _answers(model: Pairs, sweeps: int, keep: int, parts: int):
             tables = np.zeros((len(w), keep), "<f4")
             j, there = _find(u, w)
             tables[there] = u_tables[:, j[there]].T
-            name = _name(asked, w[who])
-            pair = np.where(_find(one, name)[1], 1 - model.own.d, 0).astype("<f4")
-            j, there = _find(many, name)
-            pair[there] = own[j[there]]
-            ask = np.unique(who * 512 + (asked & CLASS).astype(np.int64))
-            a, cls = ask // 512, ask % 512
+            j, there = _find(have, _name(asked, w[who]))
+            pair = np.zeros(len(who), "<f4")
+            pair[there] = value[j[there]]
+            cls = (asked & CLASS).astype(np.int64)
+            ask = np.flatnonzero(_new(who, cls))
+            a, cls = who[ask], cls[ask]
             parent = back[cls] * root[a]
             j, there = _find(entry, i[a] * 512 + cls)
             there &= known[a]
@@ -543,19 +595,20 @@ def _answers(model: Pairs, sweeps: int, keep: int, parts: int):
     return run
 
 
-def _score(model: Pairs, keep: int, contexts: int, parts: int, n_train: int, n_types: int, kind: pa.DataType):
+def _score(model: Pairs, keep: int, parts: int, n_train: int, n_types: int, kind: pa.DataType):
     d, theta = model.own.d, model.own.theta
 
     def run(key, left, right):
         done = []
         answers = right.to_pylist()
-        for blob in left.column("blob"):
-            table = _open(blob.as_py())
-            word, owner, before, pair, row = _asked(table, contexts)
-            cls = (word[before] & CLASS).astype(np.int64)
+        for chunk in left.to_pylist():
+            table = _open(chunk["rows"])
+            word, owner, before, pair, row = _asked(table, chunk["words"], chunk["at"])
+            new = _new(owner, (word & CLASS)[before])
             w_part = part_of(word, parts)
-            order_w, order = by_part(w_part, parts), by_part(w_part[owner], parts)
-            ends_w, ends = np.searchsorted(w_part[order_w], np.arange(parts + 1)), np.searchsorted(w_part[owner][order], np.arange(parts + 1))
+            part = w_part[owner]
+            order_w, order = by_part(w_part, parts), by_part(part, parts)
+            ends_w, ends = np.searchsorted(w_part[order_w], np.arange(parts + 1)), np.searchsorted(part[order], np.arange(parts + 1))
             if sorted(r["part"] for r in answers) != np.flatnonzero(np.diff(ends_w)).tolist():
                 raise ValueError("the answers do not match the chunk's words")
             c, tables, own, parent = np.zeros(len(word)), np.zeros((len(word), keep)), np.zeros(len(owner)), np.zeros((len(owner), keep))
@@ -564,8 +617,7 @@ def _score(model: Pairs, keep: int, contexts: int, parts: int, n_train: int, n_t
                 i, j = order_w[ends_w[p] : ends_w[p + 1]], order[ends[p] : ends[p + 1]]
                 c[i], tables[i] = np.frombuffer(r["c"]), np.frombuffer(r["tables"], "<f4").reshape(-1, keep)
                 own[j] = np.frombuffer(r["own"], "<f4")
-                _, entry = np.unique(owner[j] * 512 + cls[j], return_inverse=True)
-                parent[j] = np.frombuffer(r["parent"], "<f4").reshape(-1, keep)[entry]
+                parent[j] = np.frombuffer(r["parent"], "<f4").reshape(-1, keep)[np.cumsum(new[j]) - 1]
             p = (own + ((theta + d * tables[before]) * parent).mean(axis=1)) / (theta + c[before])
             value, base, known = np.log10(p), np.log10((c + 0.5) / (n_train + 0.5 * (n_types + 1))), c > 0
             rows = table.num_rows
@@ -605,13 +657,13 @@ def score_texts(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: s
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(F.expr(train), F.lit(False)).alias("train"))
     kind = base.schema["id"].dataType
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = base.mapInArrow(_chunks(CHUNK_BYTES), "chunk long, blob binary").repartition(parts, "chunk")
+    dealt = base.mapInArrow(_chunks(contexts, CHUNK_BYTES), "chunk long, rows binary, words binary, at binary").repartition(parts, "chunk")
     chunks = scratch.bucketed(dealt, scratch.table("chunks"), parts, "chunk")  # the answers come to the texts
     del dealt  # a frame that is held keeps its shuffle files
     scratch.release(spark)
     ask = "part int, chunk long, w binary, sizes binary, context binary, n binary"
     name = scratch.table("counts")
-    said = chunks.mapInArrow(_requests(contexts, parts, True), ask).repartition(parts, "part").groupBy("part")
+    said = chunks.mapInArrow(_requests(parts, True), ask).repartition(parts, "part").groupBy("part")
     said = said.applyInArrow(_merge(parts), "part int, w binary, sizes binary, u binary, at binary, n binary")
     counts = scratch.bucketed(said, name, parts, "part").groupBy("part")  # totals come to the counts
     del said
@@ -640,7 +692,7 @@ def score_texts(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: s
         scratch.release(spark)
 
     out = T.StructType([*(T.StructField(c, base.schema[c].dataType) for c in ("id", "train")), *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
-    score = _score(model, keep, contexts, parts, n_train, n_types, to_arrow_type(kind))
+    score = _score(model, keep, parts, n_train, n_types, to_arrow_type(kind))
     final = counts.cogroup(links.groupBy("part")).applyInArrow(_final(model, sweeps, keep, parts), ", ".join(f"{f.name} {'int' if f.name == 'part' else 'binary'}" for f in FINAL))
     final = scratch.bucketed(final, scratch.table("model"), parts, "part").groupBy("part")  # questions come to the model
     scratch.drop_table(spark, name)
@@ -648,7 +700,7 @@ def score_texts(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: s
     turns = []
     for turn in range(TURNS):
         mine = chunks.where(F.pmod(F.xxhash64("chunk"), F.lit(TURNS)) == turn)
-        asked = mine.mapInArrow(_requests(contexts, parts, False), ask)
+        asked = mine.mapInArrow(_requests(parts, False), ask)
         asked = asked.select("part", F.lit(ASKED).alias("bucket"), F.lit(0).alias("sweep"), F.col("w").alias("a"), F.col("sizes").alias("b"), "chunk", F.col("context").alias("d"))
         answers = final.cogroup(asked.groupBy("part")).applyInArrow(_answers(model, sweeps, keep, parts), "chunk long, part int, c binary, tables binary, own binary, parent binary")
         turns.append(scratch.write(mine.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, out), f"lm-scores-{turn}"))

@@ -98,8 +98,8 @@ def runs(keep: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of every word; rows are those of offsets."""
-    start, end = runs(~SPACE[data], offsets)
-    return start, end, np.searchsorted(offsets, start, "right") - 1
+    start, end = runs((data != 0x20) & (data - np.uint8(9) > 4), offsets)  # as SPACE has it, by comparisons
+    return start, end, np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(start, offsets)))
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = True, lanes: int = 1) -> np.ndarray:
