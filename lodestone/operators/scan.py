@@ -1,13 +1,16 @@
 """Known slices at every byte of damaged, shifted or foreign files.
 
 Each file of a set is scanned against the set's slices: the checksum of every window, looked up among
-the known ones, then the digest of those that hit. Files and tables meet in blocks: files up to some
-bytes, tables up to TABLE slices, so that a set of any size is many tasks.
+the known ones; what hits is joined with the slices by its digest. Files and tables of checksums meet in
+blocks: a table has TABLE slices at most, and a block of files has FILE_BYTES, or more if its table is
+large, so that tables move no more bytes than files do. A set of any size is many tasks; files of a set
+of more than TABLE slices are scanned once for each of its tables.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,38 +19,99 @@ from pyspark.sql import functions as F
 
 from ..functions import windows
 
-TABLE, FILE_BYTES = 32_768, 64 << 20
-HITS = "set_id {set}, path {path}, offset long, length long, md5 string"
+TABLE, FILE_BYTES, PIECE, HELD = 1 << 23, 8 << 20, 4 << 20, 1 << 20
+#: Shares of a set, of slices by checksum, of files by path: a large set is many tasks where it meets what is known
+#: of it. A table is some shares, so a set has as many tables at most; beyond TABLE * SHARES slices they are larger.
+SHARES = 16
+#: Bytes of a table for each slice: a checksum, and for one that is short its length too.
+ENTRY = 6
+HITS = "set_id {set}, path {path}, offset long, length long, md5 string, crc32 long"
+
+
+def _packed(size: int):
+    """Slices to pieces of a set's tables: checksums of whole ones, length and checksum of short ones, as bytes."""
+
+    def run(batches):
+        held: dict[tuple, list] = {}
+        n = 0
+
+        def told():
+            keys = [np.concatenate(x) for x in held.values()]
+            whole = [k[k >> np.uint64(32) == size].astype("<u4").tobytes() for k in keys]
+            short = [k[k >> np.uint64(32) < size].astype("<u8").tobytes() for k in keys]
+            return pa.RecordBatch.from_arrays([pa.array([s for s, _ in held], kind), pa.array([x for _, x in held], pa.int32()), pa.array(whole, pa.binary()), pa.array(short, pa.binary())], names=["set_id", "_share", "whole", "short"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kind = batch.schema.field("set_id").type
+            sets = batch.column("set_id").dictionary_encode()
+            keys = (np.asarray(batch.column("length")).astype(np.uint64) << np.uint64(32)) | np.asarray(batch.column("crc32")).astype(np.uint64)
+            place = np.asarray(sets.indices).astype(np.int64) * SHARES + (keys % np.uint64(SHARES)).astype(np.int64)
+            order = np.argsort(place, kind="stable")
+            groups, first = np.unique(place[order], return_index=True)
+            names = sets.dictionary.to_pylist()
+            for g, part in zip(groups.tolist(), np.split(keys[order], first[1:]), strict=True):
+                held.setdefault((names[g // SHARES], g % SHARES), []).append(part)
+            n += len(keys)
+            if n >= HELD:
+                yield told()
+                held, n = {}, 0
+        if held:
+            yield told()
+
+    return run
+
+
+def _pieces(files: list[tuple]) -> Iterator[list[tuple]]:
+    """(path, data) by some PIECE bytes; a larger file is alone."""
+    some, n = [], 0
+    for f in files:
+        if some and n + len(f[1]) > PIECE:
+            yield some
+            some, n = [], 0
+        some.append(f)
+        n += len(f[1])
+    if some:
+        yield some
 
 
 def _find(size: int):
     def run(key, left, right):
-        names = ["set_id", "path", "offset", "length", "md5"]
-        kinds = [left.schema.field("set_id").type, left.schema.field("path").type, pa.int64(), pa.int64(), pa.string()]
+        names = ["set_id", "path", "offset", "length", "md5", "crc32"]
+        kinds = [left.schema.field("set_id").type, left.schema.field("path").type, pa.int64(), pa.int64(), pa.string(), pa.int64()]
         out: list[tuple] = []
-        crc, md5 = np.asarray(right.column("crc32")).astype(np.uint32), right.column("md5").to_pylist()
-        length = np.asarray(right.column("length"))
-        known = set(md5)
-        whole = np.unique(crc[length == size])
-        tails = sorted({int(n) for n in length[length < size]})
-        by_tail = {n: set(crc[length == n].tolist()) for n in tails}
-        for s, path, data in zip(*(left.column(c).to_pylist() for c in ("set_id", "path", "data")), strict=True):
-            if data is None:
-                continue
-            flat = np.frombuffer(data, np.uint8)
-            found = windows.window_crcs(flat, size)
-            if len(whole) and len(found):
-                spot = np.minimum(np.searchsorted(whole, found), len(whole) - 1)
-                for at in np.flatnonzero(whole[spot] == found).tolist():
-                    h = hashlib.md5(data[at : at + size]).hexdigest()
-                    if h in known:
-                        out.append((s, path, at, size, h))
-            for n in tails:  # short slices count at the end of a file only
-                if n <= len(data) and int(windows.window_crcs(flat[len(flat) - n :], n)[0]) in by_tail[n]:
-                    h = hashlib.md5(data[len(data) - n :]).hexdigest()
-                    if h in known:
-                        out.append((s, path, len(data) - n, n, h))
-        columns = list(zip(*out, strict=True)) if out else [[]] * 5
+        whole, short = (np.unique(np.frombuffer(b"".join(right.column(c).to_pylist()), d)) for c, d in (("whole", "<u4"), ("short", "<u8")))
+        bits = min(24, len(whole).bit_length() + 4)
+        shift, flags = np.uint32(32 - bits), np.zeros(1 << bits, bool)
+        flags[whole >> shift] = True
+        most = int(short[-1] >> np.uint64(32)) if len(short) else 0
+        edges = np.searchsorted(short, np.arange(most + 2, dtype=np.uint64) << np.uint64(32))
+
+        def add(f, at, n, crc):
+            out.append((set_id, f[0], at, n, hashlib.md5(f[1][at : at + n]).hexdigest(), crc))
+
+        files = [(p, d) for p, d in zip(left.column("path").to_pylist(), left.column("data").to_pylist(), strict=True) if d]
+        set_id = left.column("set_id")[0].as_py() if files else None
+        for piece in _pieces(sorted(files, key=lambda f: -len(f[1]))):
+            flat = np.frombuffer(b"".join(d for _, d in piece) if len(piece) > 1 else piece[0][1], np.uint8)
+            lengths = np.array([len(d) for _, d in piece])
+            ends = np.cumsum(lengths)
+            starts = ends - lengths
+            for a, found in windows.window_segments(flat, size) if len(whole) and lengths[0] >= size else ():
+                at = np.flatnonzero(flags[found >> shift])
+                at = at[whole[np.minimum(np.searchsorted(whole, found[at]), len(whole) - 1)] == found[at]]
+                crcs, at = found[at], at + a
+                f = np.searchsorted(starts, at, "right") - 1
+                inside = at + size <= ends[f]  # not over the end of a file
+                for i, x, c in zip(f[inside].tolist(), (at - starts[f])[inside].tolist(), crcs[inside].tolist(), strict=True):
+                    add(piece[i], x, size, c)
+            for n, found in windows.end_crcs(flat, ends, lengths, most):  # short slices count at the end of a file only
+                known = short[edges[n] : edges[n + 1]]
+                if len(known):
+                    for i in np.flatnonzero(np.isin(found, known.astype(np.uint32))).tolist():
+                        add(piece[i], int(lengths[i]) - n, n, int(found[i]))
+        columns = list(zip(*out, strict=True)) if out else [[]] * len(names)
         return pa.table([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     return run
@@ -60,16 +124,22 @@ def hits(files: DataFrame, known: DataFrame, size: int) -> DataFrame:
     Slices of `size` bytes are found at any byte, shorter ones at a file's end. Null contents and files
     shorter than a slice give none; a repeated path is scanned each time and its hits are one.
     """
-    k = known.where(F.col("length") > 0).select("set_id", "length", "md5", "crc32").distinct()
-    tables = k.groupBy("set_id").agg(F.ceil(F.count("*") / TABLE).cast("int").alias("tables"))
-    extent = files.groupBy("set_id").agg(F.ceil(F.sum(F.octet_length("data")) / FILE_BYTES).cast("int").alias("blocks"))
-    both = tables.join(extent.where("blocks > 0"), "set_id")
-    left = files.join(both, "set_id").withColumn("fb", F.pmod(F.xxhash64("path"), "blocks").cast("int")).withColumn("tb", F.explode(F.sequence(F.lit(0), F.col("tables") - 1)))
-    right = k.join(both, "set_id").withColumn("tb", F.pmod(F.xxhash64("md5"), "tables").cast("int")).withColumn("fb", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    k = known.where((F.col("length") > 0) & (F.col("length") <= size)).select("set_id", "length", "md5", "crc32").distinct()
+    tables = k.groupBy("set_id").agg(F.count("*").alias("slices")).withColumn("tables", F.least(F.ceil(F.col("slices") / TABLE), F.lit(SHARES)).cast("int"))
+    extent = files.groupBy("set_id").agg(F.sum(F.octet_length("data")).alias("bytes"))
+    block = F.greatest(F.lit(FILE_BYTES).cast("double"), ENTRY * F.col("slices") / F.col("tables"))
+    both = tables.join(extent, "set_id").withColumn("blocks", F.ceil(F.col("bytes") / block).cast("int")).where("blocks > 0").select("set_id", "tables", "blocks")
+    both = both.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    kind, path = (files.schema[c].dataType.simpleString() for c in ("set_id", "path"))
+    left = files.withColumn("_share", F.pmod(F.xxhash64("path"), F.lit(SHARES)).cast("int")).join(both, ["set_id", "_share"])
+    left = left.withColumn("fb", F.pmod(F.xxhash64(F.lit(1), "path"), "blocks").cast("int")).withColumn("tb", F.explode(F.sequence(F.lit(0), F.col("tables") - 1)))
+    right = k.where("set_id is not null").select("set_id", "length", "crc32").mapInArrow(_packed(size), f"set_id {kind}, _share int, whole binary, short binary")
+    right = right.join(both, ["set_id", "_share"]).withColumn("tb", F.pmod("_share", "tables")).withColumn("fb", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     key = ("set_id", "tb", "fb")
-    schema = HITS.format(set=files.schema["set_id"].dataType.simpleString(), path=files.schema["path"].dataType.simpleString())
-    found = left.select(*key, "path", "data").groupBy(*key).cogroup(right.select(*key, "length", "md5", "crc32").groupBy(*key)).applyInArrow(_find(size), schema)
-    return found.distinct()
+    schema = HITS.format(set=kind, path=path)
+    found = left.select(*key, "path", "data").groupBy(*key).cogroup(right.select(*key, "whole", "short").groupBy(*key)).applyInArrow(_find(size), schema)
+    found = found.join(k, ["set_id", "length", "md5", "crc32"], "left_semi")
+    return found.select("set_id", "path", "offset", "length", "md5").distinct()
 
 
 def ranked(found: DataFrame, known: DataFrame, size: int) -> DataFrame:
