@@ -145,12 +145,18 @@ def hits(files: DataFrame, known: DataFrame, size: int) -> DataFrame:
 def ranked(found: DataFrame, known: DataFrame, size: int) -> DataFrame:
     """(set_id, path, offset, file_id, slice_index): of the slices with a place's bytes the first by rank, 0 the one that
     belongs there, 1 another of the same file, 2 any; then the least file and index. path is a file's id."""
-    j = found.join(known.select("set_id", "md5", "file_id", "slice_index"), ["set_id", "md5"])
-    own = F.col("path") == F.col("file_id")
-    rank = F.when(own & (F.col("slice_index") * size == F.col("offset")), 0).when(own, 1).otherwise(2)
-    w = Window.partitionBy("set_id", "path", "offset").orderBy("rank", "file_id", "slice_index")
-    j = j.withColumn("rank", rank).withColumn("_n", F.row_number().over(w)).where("_n = 1")
-    return j.select("set_id", "path", "offset", "file_id", "slice_index", "rank")
+    by_file = known.groupBy("set_id", "md5", F.col("file_id").alias("_file")).agg(F.min("slice_index").alias("_index"))
+    first = by_file.groupBy("set_id", "md5").agg(F.min(F.struct(F.col("_file").isNull().alias("_null"), F.col("_file").alias("file_id"), F.col("_index").alias("slice_index"))).alias("_first"))
+    own = by_file.where("_file is not null").withColumnRenamed("_file", "path")
+    here = known.select("set_id", "md5", F.col("file_id").alias("path"), (F.col("slice_index") * size).alias("offset")).distinct().withColumn("_here", F.lit(True))
+    # a row for each place throughout: slices of the same bytes never meet all places that hold them
+    j = found.join(first, ["set_id", "md5"]).join(own, ["set_id", "md5", "path"], "left").join(here, ["set_id", "md5", "path", "offset"], "left")
+    rank = F.when(F.col("_here"), 0).when(F.col("_index").isNotNull(), 1).otherwise(2)
+    file_id = F.when(rank < 2, F.col("path")).otherwise(F.col("_first.file_id"))
+    index = F.when(rank == 0, F.floor(F.col("offset") / size)).when(rank == 1, F.col("_index")).otherwise(F.col("_first.slice_index"))
+    j = j.select("set_id", "path", "offset", file_id.alias("file_id"), index.cast("long").alias("slice_index"), rank.alias("rank"))
+    w = Window.partitionBy("set_id", "path", "offset").orderBy("rank", F.asc_nulls_last("file_id"), "slice_index")  # files of one path
+    return j.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
 def chained(chosen: DataFrame, size: int) -> DataFrame:

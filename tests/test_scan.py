@@ -69,3 +69,35 @@ def test_checksums_by_lanes_and_from_ends():
     got = {n: found.tolist() for n, found in windows.end_crcs(data, ends, lengths, 99)}
     assert got == {n: [zlib.crc32(data[e - n : e].tobytes()) for e, x in zip(ends, lengths, strict=True) if x >= n] for n in range(1, 71)}
     assert [n for n, _ in windows.end_crcs(data, ends, lengths, 3)] == [1, 2, 3]
+
+
+def test_copies_are_ranked_in_proportion(spark):
+    """Places and slices of the same bytes: a row for each place, not one for each pair."""
+    n = 30_000
+    found = spark.range(n).selectExpr("'s' as set_id", "id * 2 as path", "16l as offset", "16l as length", "'m' as md5")
+    known = spark.range(n).selectExpr("'s' as set_id", "id + 7 as file_id", "id % 3 as slice_index", "16l as length", "'m' as md5", "0l as crc32")
+    began = time.perf_counter()
+    got = {x["path"]: (x["file_id"], x["slice_index"], x["rank"]) for x in scan.ranked(found, known, 16).collect()}
+    assert time.perf_counter() - began < 60 and len(got) == n
+    for p, told in got.items():
+        own = 7 <= p < n + 7
+        assert told == ((p, (p - 7) % 3, 0 if (p - 7) % 3 == 1 else 1) if own else (7, 0, 2))
+
+
+def test_ranks_by_brute_force(spark):
+    size = 16
+    base, moved = awkward(random.Random(9), size)
+    base += [("a", None, b"no name's own bytes" * 3), ("a", None, base[0][2])]
+    moved += [("a", p, base[i][2] + base[i + 1][2]) for p in (3, None) for i in (10, 12)]  # files of one path, and of none
+    moved.append(("a", 600, b"no name's own bytes" * 3))
+    known = slices(base, size)
+    at = {(s, p, a, m) for s, p, a, _, m in brute(moved, known, size)}
+    best = {}
+    for s, p, a, m in at:
+        rank = lambda f, i: 2 if f is None or f != p else int(i * size != a)  # noqa: B023, E731
+        ranks = [(rank(f, i), f is None, f or 0, i) for x, f, i, _, d, _ in known if (x, d) == (s, m)]
+        best[s, p, a] = min([*ranks, best.get((s, p, a), (9,))])
+    want = {(*place, None if null else f, i, k) for place, (k, null, f, i) in best.items()}
+    found = scan.hits(spark.createDataFrame(moved, "set_id string, path long, data binary"), spark.createDataFrame(known, KNOWN), size)
+    got = [tuple(x) for x in scan.ranked(found, spark.createDataFrame(known + known[:9], KNOWN), size).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
