@@ -167,7 +167,8 @@ def chained(chosen: DataFrame, size: int) -> DataFrame:
 
 
 def harvested(slices: DataFrame, found: DataFrame, known: DataFrame) -> DataFrame:
-    """verify_slices rows, valid also where some file of the set holds the slice's bytes at any place."""
-    there = found.join(known.select("set_id", "md5", "file_id", "slice_index"), ["set_id", "md5"]).select("file_id", "slice_index").distinct().withColumn("_found", F.lit(True))
+    """verify_slices rows, valid also where some file of the set holds the slice's bytes at any place; in_place: valid before."""
+    held = known.join(found.select("set_id", "md5").distinct(), ["set_id", "md5"], "left_semi")
+    there = held.select("file_id", "slice_index").distinct().withColumn("_found", F.lit(True))
     j = slices.join(there, ["file_id", "slice_index"], "left")
-    return j.select("set_id", "file_id", "slice_index", (F.col("valid") | F.coalesce("_found", F.lit(False))).alias("valid"))
+    return j.select("set_id", "file_id", "slice_index", (F.col("valid") | F.coalesce("_found", F.lit(False))).alias("valid"), F.col("valid").alias("in_place"))

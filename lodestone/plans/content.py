@@ -69,8 +69,7 @@ def scan_harvest(spark, d):
     moved = copy(spark, d).where("file_id % 7 <> 0")
     v = verify.verify_slices(known, manifest.slice_manifest(moved, SIZE))
     after = scan.harvested(v, _hits(spark, d), known)
-    j = v.join(after.withColumnRenamed("valid", "_after").drop("set_id"), ["file_id", "slice_index"])
-    return j.groupBy("set_id").agg(F.count("*").alias("n_slices"), F.count_if(~F.col("valid")).alias("lost_in_place"), F.count_if(~F.col("_after")).alias("missing_slices"))
+    return after.groupBy("set_id").agg(F.count("*").alias("n_slices"), F.count_if(~F.col("in_place")).alias("lost_in_place"), F.count_if(~F.col("valid")).alias("missing_slices"))
 
 
 @query(f"""SELECT *, CASE WHEN missing_slices = 0 THEN 'not_needed' WHEN missing_slices <= recovery_slices THEN 'repairable' ELSE 'insufficient' END AS repairability FROM (

@@ -101,3 +101,15 @@ def test_ranks_by_brute_force(spark):
     found = scan.hits(spark.createDataFrame(moved, "set_id string, path long, data binary"), spark.createDataFrame(known, KNOWN), size)
     got = [tuple(x) for x in scan.ranked(found, spark.createDataFrame(known + known[:9], KNOWN), size).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_copies_are_harvested_in_proportion(spark):
+    """Places and lost slices of the same bytes: each slice is mended once, whatever the number of places."""
+    n = 30_000
+    found = spark.range(n).selectExpr("'s' as set_id", "id as path", "16l as offset", "16l as length", "'m' as md5")
+    known = spark.range(n).selectExpr("'s' as set_id", "id as file_id", "0l as slice_index", "16l as length", "if(id % 10 = 0, 'other', 'm') as md5", "0l as crc32")
+    lost = known.selectExpr("set_id", "file_id", "slice_index", "file_id % 4 = 0 as valid")
+    began = time.perf_counter()
+    got = scan.harvested(lost, found, known).collect()
+    assert time.perf_counter() - began < 60 and len(got) == n
+    assert all(x["in_place"] == (x["file_id"] % 4 == 0) and x["valid"] == (x["file_id"] % 4 == 0 or x["file_id"] % 10 != 0) for x in got)
