@@ -113,3 +113,24 @@ def test_copies_are_harvested_in_proportion(spark):
     got = scan.harvested(lost, found, known).collect()
     assert time.perf_counter() - began < 60 and len(got) == n
     assert all(x["in_place"] == (x["file_id"] % 4 == 0) and x["valid"] == (x["file_id"] % 4 == 0 or x["file_id"] % 10 != 0) for x in got)
+
+
+@pytest.mark.parametrize("name", ["scan_harvest", "scan_ranked", "scan_repairability", "scan_runs", "scan_shifted"])
+def test_queries_on_many_lengths(spark, tmp_path, name):
+    """Two sets of files of seven hundred lengths with copies: as the SQL says, and in seconds."""
+    import duckdb
+
+    from lodestone.plans import queries
+
+    r = random.Random(11)
+    texts = ["".join(r.choices("abcdefgh ", k=1030 + i)) for i in range(700)]
+    rows = [(i, texts[i // 5 * 3 if i % 5 == 0 else i], f"src{i % 2}") for i in range(700)] + [(700, "", "src0"), (707, "", "src1")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    began = time.perf_counter()
+    got = queries.QUERIES[name](spark, str(tmp_path))
+    columns, got = got.columns, [tuple(x) for x in got.collect()]
+    assert time.perf_counter() - began < 60
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.execute(f"SELECT {', '.join(chr(34) + c + chr(34) for c in columns)} FROM ({queries.ORACLES[name]})").fetchall()
+    assert got and sorted(got) == sorted(want)
