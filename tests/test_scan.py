@@ -134,3 +134,21 @@ def test_queries_on_many_lengths(spark, tmp_path, name):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     want = con.execute(f"SELECT {', '.join(chr(34) + c + chr(34) for c in columns)} FROM ({queries.ORACLES[name]})").fetchall()
     assert got and sorted(got) == sorted(want)
+
+
+def test_runs_of_a_moved_file(spark):
+    """A file that was moved on by some bytes is one run; one with bytes between its slices is several."""
+    r, size = random.Random(10), 16
+    data = r.randbytes(10 * size + 5)
+    moved = [("s", 1, b"xyz" + data), ("s", 2, data[: 3 * size] + b"?" + data[3 * size :]), ("s", 3, data[size : 2 * size] * 2)]
+    known = spark.createDataFrame(slices([("s", 1, data)], size), KNOWN)
+    chosen = scan.ranked(scan.hits(spark.createDataFrame(moved, "set_id string, path long, data binary"), known, size), known, size)
+    got = {}
+    for x in scan.chained(chosen, size).orderBy("path", "offset").collect():
+        got.setdefault((x["path"], x["run"]), []).append((x["offset"], x["slice_index"], x["rank"]))
+    assert got == {
+        (1, 1): [(3 + i * size, i, 1) for i in range(11)],
+        (2, 1): [(i * size, i, 2) for i in range(3)],
+        (2, 2): [(i * size + 1, i, 2) for i in range(3, 11)],
+        (3, 1): [(0, 1, 2), (size, 1, 2)],
+    }
