@@ -26,6 +26,9 @@ SHARES = 16
 #: Bytes of a table for each slice: a checksum, and for one that is short its length too.
 ENTRY = 6
 HITS = "set_id {set}, path {path}, offset long, length long, md5 string, crc32 long"
+HELD_ROWS = "set_id {set}, length long, md5 string, crc32 long"
+#: Hits that are Python objects at once: in a run of one byte every place is a hit.
+ROWS = 1 << 16
 
 
 def _packed(size: int):
@@ -76,11 +79,16 @@ def _pieces(files: list[tuple]) -> Iterator[list[tuple]]:
         yield some
 
 
-def _find(size: int):
+def _find(size: int, places: bool):
+    """Rows of HITS, or without `places` of HELD_ROWS: what is held at some place, once a block."""
+
     def run(key, left, right):
-        names = ["set_id", "path", "offset", "length", "md5", "crc32"]
-        kinds = [left.schema.field("set_id").type, left.schema.field("path").type, pa.int64(), pa.int64(), pa.string(), pa.int64()]
+        at_place = [("path", left.schema.field("path").type), ("offset", pa.int64())] if places else []
+        schema = pa.schema([("set_id", left.schema.field("set_id").type), *at_place, ("length", pa.int64()), ("md5", pa.string()), ("crc32", pa.int64())])
         out: list[tuple] = []
+        batches: list[pa.RecordBatch] = []
+        last: dict[tuple, tuple] = {}  # where bytes of a length and checksum were met last
+        met: set[tuple] = set()
         whole, short = (np.unique(np.frombuffer(b"".join(right.column(c).to_pylist()), d)) for c, d in (("whole", "<u4"), ("short", "<u8")))
         bits = min(24, len(whole).bit_length() + 4)
         shift, flags = np.uint32(32 - bits), np.zeros(1 << bits, bool)
@@ -88,8 +96,26 @@ def _find(size: int):
         most = int(short[-1] >> np.uint64(32)) if len(short) else 0
         edges = np.searchsorted(short, np.arange(most + 2, dtype=np.uint64) << np.uint64(32))
 
+        def told():
+            if out:
+                batches.append(pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema))
+                out.clear()
+
         def add(f, at, n, crc):
-            out.append((set_id, f[0], at, n, hashlib.md5(f[1][at : at + n]).hexdigest(), crc))
+            data = f[1][at : at + n]
+            if not places:
+                d, x = last.get((n, crc), (b"", 0))
+                if d[x : x + n] == data:
+                    return
+                last[n, crc] = f[1], at
+            row = (n, hashlib.md5(data).hexdigest(), crc)
+            if places:
+                out.append((set_id, f[0], at, *row))
+            elif row not in met:
+                met.add(row)
+                out.append((set_id, *row))
+            if len(out) >= ROWS:
+                told()
 
         files = [(p, d) for p, d in zip(left.column("path").to_pylist(), left.column("data").to_pylist(), strict=True) if d]
         set_id = left.column("set_id")[0].as_py() if files else None
@@ -101,29 +127,25 @@ def _find(size: int):
             for a, found in windows.window_segments(flat, size) if len(whole) and lengths[0] >= size else ():
                 at = np.flatnonzero(flags[found >> shift])
                 at = at[whole[np.minimum(np.searchsorted(whole, found[at]), len(whole) - 1)] == found[at]]
-                crcs, at = found[at], at + a
-                f = np.searchsorted(starts, at, "right") - 1
-                inside = at + size <= ends[f]  # not over the end of a file
-                for i, x, c in zip(f[inside].tolist(), (at - starts[f])[inside].tolist(), crcs[inside].tolist(), strict=True):
-                    add(piece[i], x, size, c)
+                for b in range(0, len(at), ROWS):
+                    crcs, some = found[at[b : b + ROWS]], at[b : b + ROWS] + a
+                    f = np.searchsorted(starts, some, "right") - 1
+                    inside = some + size <= ends[f]  # not over the end of a file
+                    for i, x, c in zip(f[inside].tolist(), (some - starts[f])[inside].tolist(), crcs[inside].tolist(), strict=True):
+                        add(piece[i], x, size, c)
             for n, found in windows.end_crcs(flat, ends, lengths, most):  # short slices count at the end of a file only
                 known = short[edges[n] : edges[n + 1]]
                 if len(known):
                     for i in np.flatnonzero(np.isin(found, known.astype(np.uint32))).tolist():
                         add(piece[i], int(lengths[i]) - n, n, int(found[i]))
-        columns = list(zip(*out, strict=True)) if out else [[]] * len(names)
-        return pa.table([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)
+        told()
+        return pa.Table.from_batches(batches, schema)
 
     return run
 
 
-def hits(files: DataFrame, known: DataFrame, size: int) -> DataFrame:
-    """(set_id, path, offset, length, md5): every place of `files` that holds a known slice's bytes.
-
-    files: set_id, path, data; known: set_id, length, md5, crc32, of slices as they are, not padded.
-    Slices of `size` bytes are found at any byte, shorter ones at a file's end. Null contents and files
-    shorter than a slice give none; a repeated path is scanned each time and its hits are one.
-    """
+def _scanned(files: DataFrame, known: DataFrame, size: int, places: bool) -> tuple[DataFrame, DataFrame]:
+    """What has a known slice's checksum, and the known slices."""
     k = known.where((F.col("length") > 0) & (F.col("length") <= size)).select("set_id", "length", "md5", "crc32").distinct()
     tables = k.groupBy("set_id").agg(F.count("*").alias("slices")).withColumn("tables", F.least(F.ceil(F.col("slices") / TABLE), F.lit(SHARES)).cast("int"))
     extent = files.groupBy("set_id").agg(F.sum(F.octet_length("data")).alias("bytes"))
@@ -136,12 +158,29 @@ def hits(files: DataFrame, known: DataFrame, size: int) -> DataFrame:
     right = k.where("set_id is not null").select("set_id", "length", "crc32").mapInArrow(_packed(size), f"set_id {kind}, _share int, whole binary, short binary")
     right = right.join(both, ["set_id", "_share"]).withColumn("tb", F.pmod("_share", "tables")).withColumn("fb", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     key = ("set_id", "tb", "fb")
-    schema = HITS.format(set=kind, path=path)
-    found = left.select(*key, "path", "data").groupBy(*key).cogroup(right.select(*key, "whole", "short").groupBy(*key)).applyInArrow(_find(size), schema)
+    schema = (HITS if places else HELD_ROWS).format(set=kind, path=path)
+    return left.select(*key, "path", "data").groupBy(*key).cogroup(right.select(*key, "whole", "short").groupBy(*key)).applyInArrow(_find(size, places), schema), k
+
+
+def hits(files: DataFrame, known: DataFrame, size: int) -> DataFrame:
+    """(set_id, path, offset, length, md5): every place of `files` that holds a known slice's bytes.
+
+    files: set_id, path, data; known: set_id, length, md5, crc32, of slices as they are, not padded.
+    Slices of `size` bytes are found at any byte, shorter ones at a file's end. Null contents and files
+    shorter than a slice give none; a repeated path is scanned each time and its hits are one.
+    """
+    found, k = _scanned(files, known, size, True)
     found = found.join(k, ["set_id", "length", "md5", "crc32"], "left_semi")
     return found.select("set_id", "path", "offset", "length", "md5").distinct()
 
 
+def held(files: DataFrame, known: DataFrame, size: int) -> DataFrame:
+    """(set_id, length, md5): what `hits` finds, without its places: a row for each slice's bytes, not one for each
+    place. Every byte is looked at all the same."""
+    found, k = _scanned(files, known, size, False)
+    return found.distinct().join(k, ["set_id", "length", "md5", "crc32"], "left_semi").select("set_id", "length", "md5").distinct()
+
+
 def ranked(found: DataFrame, known: DataFrame, size: int) -> DataFrame:
     """(set_id, path, offset, file_id, slice_index): of the slices with a place's bytes the first by rank, 0 the one that
     belongs there, 1 another of the same file, 2 any; then the least file and index. path is a file's id."""
@@ -167,8 +206,9 @@ def chained(chosen: DataFrame, size: int) -> DataFrame:
 
 
 def harvested(slices: DataFrame, found: DataFrame, known: DataFrame) -> DataFrame:
-    """verify_slices rows, valid also where some file of the set holds the slice's bytes at any place; in_place: valid before."""
-    held = known.join(found.select("set_id", "md5").distinct(), ["set_id", "md5"], "left_semi")
-    there = held.select("file_id", "slice_index").distinct().withColumn("_found", F.lit(True))
+    """verify_slices rows, valid also where some file of the set holds the slice's bytes at any place (found: of `held`, or
+    of `hits`); in_place: valid before."""
+    mended = known.join(found.select("set_id", "md5").distinct(), ["set_id", "md5"], "left_semi")
+    there = mended.select("file_id", "slice_index").distinct().withColumn("_found", F.lit(True))
     j = slices.join(there, ["file_id", "slice_index"], "left")
     return j.select("set_id", "file_id", "slice_index", (F.col("valid") | F.coalesce("_found", F.lit(False))).alias("valid"), F.col("valid").alias("in_place"))

@@ -68,7 +68,7 @@ def scan_harvest(spark, d):
     known = _known(spark, d)
     moved = copy(spark, d).where("file_id % 7 <> 0")
     v = verify.verify_slices(known, manifest.slice_manifest(moved, SIZE))
-    after = scan.harvested(v, _hits(spark, d), known)
+    after = scan.harvested(v, scan.held(_shifted(spark, d), known, SIZE), known)
     return after.groupBy("set_id").agg(F.count("*").alias("n_slices"), F.count_if(~F.col("in_place")).alias("lost_in_place"), F.count_if(~F.col("valid")).alias("missing_slices"))
 
 

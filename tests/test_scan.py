@@ -152,3 +152,65 @@ def test_runs_of_a_moved_file(spark):
         (2, 2): [(i * size + 1, i, 2) for i in range(3, 11)],
         (3, 1): [(0, 1, 2), (size, 1, 2)],
     }
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_held_by_brute_force(spark, monkeypatch, small):
+    """What is held anywhere, in one block and one table or in many."""
+    size = 16
+    base, moved = awkward(random.Random(12), size)
+    known = slices(base, size)
+    for k, v in {"TABLE": 20, "FILE_BYTES": 300, "HELD": 10, "ROWS": 7}.items() if small else ():
+        monkeypatch.setattr(scan, k, v)
+    moved, known = spark.createDataFrame(moved, "set_id string, path long, data binary"), spark.createDataFrame(known, KNOWN)
+    got = [tuple(x) for x in scan.held(moved, known, size).collect()]
+    want = brute([tuple(x) for x in moved.collect()], [tuple(x) for x in known.collect()], size)
+    assert len(got) == len(set(got)) and set(got) == {(s, n, m) for s, _, _, n, m in want}
+    assert {tuple(x) for x in scan.hits(moved, known, size).collect()} == want
+
+
+def test_checksums_that_clash():
+    """Other bytes of a slice's checksum, before it and between its places, hide it from no one."""
+    import pyarrow as pa
+
+    size = 16
+    first = b"the bytes of it!"
+    # four last bytes that bring another beginning to the same checksum, bit by bit
+    crcs = {i: zlib.crc32(b"another one " + (1 << i if i >= 0 else 0).to_bytes(4, "little")) for i in range(-1, 32)}
+    rows, want, end = [(crcs[i] ^ crcs[-1], 1 << i) for i in range(32)], zlib.crc32(first) ^ crcs[-1], 0
+    for bit in range(32):
+        pivot = next(x for x in rows if x[0] >> bit & 1)
+        rows = [(x[0] ^ pivot[0], x[1] ^ pivot[1]) if x[0] >> bit & 1 else x for x in rows if x is not pivot]
+        if want >> bit & 1:
+            want, end = want ^ pivot[0], end ^ pivot[1]
+    other = b"another one " + end.to_bytes(4, "little")
+    assert zlib.crc32(other) == zlib.crc32(first) and other != first
+    left = pa.table({"set_id": ["s"], "path": [1], "data": [other + first + first + other + first]})
+    right = pa.table({"whole": [np.array([zlib.crc32(first)], "<u4").tobytes()], "short": [b""]})
+    got = scan._find(size, False)(None, left, right).to_pydict()
+    assert sorted(got["md5"]) == sorted(hashlib.md5(x).hexdigest() for x in (first, other))
+    assert scan._find(size, True)(None, left, right).to_pydict()["offset"] == [0, 16, 32, 48, 64]
+
+
+def test_repairability_of_runs_of_one_byte(spark, tmp_path):
+    """Where every place of a file is a hit, the scan tells what is held, not where: no row for each byte."""
+    from lodestone.plans import queries
+
+    n = 600_000
+    rows = [(i, "a" * n if i % 7 == 0 else f"{i:05}" * 300, "s") for i in range(1, 23)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(x) for x in queries.QUERIES["scan_repairability"](spark, str(tmp_path)).collect()]
+    slices_of = -(-n // 1024)
+    assert got == [("s", 2 * 2, (3 * slices_of + 19 * 2 + 5) // 10, "repairable")]  # files 11 and 22 are lost
+    store = spark._jsparkSession.sharedState().statusStore()
+    told = []
+    for e in range(store.executionsCount() - 1, -1, -1):
+        run = store.executionsList().apply(e)
+        nodes = store.planGraph(run.executionId()).allNodes()
+        scans = [nodes.apply(i) for i in range(nodes.size()) if nodes.apply(i).name().startswith("FlatMapCoGroupsInArrow")]
+        if scans:
+            values = store.executionMetrics(run.executionId())
+            metrics = scans[0].metrics()
+            told = [values.get(m.accumulatorId()).get() for m in (metrics.apply(i) for i in range(metrics.size())) if m.name() == "number of output rows"]
+            break
+    assert [int(x.replace(",", "")) for x in told] == [2]  # a whole slice and the last one
